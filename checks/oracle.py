@@ -32,7 +32,8 @@ def rdiv(n: str, d: str, p: int) -> str:
 
 
 def even(x: str, p: int) -> str:
-    return f"round_even({x}, {p})"
+    """Half-even rounding; adding zero turns -0.0 into 0.0."""
+    return f"(round_even({x}, {p}) + 0.0)"
 
 
 MODE = "(CASE ({}) % 3 WHEN 0 THEN 'expression' WHEN 1 THEN 'massage' ELSE 'stimulation' END)"
@@ -415,7 +416,7 @@ def _week(end: str, model: str | None) -> str:
         "complete_sessions": 0, "valid_sessions": 0,
     }
     return f"""
-      SELECT {', '.join(f'round(avg(CAST({n} AS DOUBLE)), {d}) AS {n}' for n, d in digits.items())}
+      SELECT {', '.join(f'round(avg(CAST({n} AS DOUBLE)) + 1e-9, {d}) AS {n}' for n, d in digits.items())}
       FROM (SELECT evt_dt, sum(dau) AS dau, sum(devices) AS active_devices, sum(new_users) AS new_users,
               sum(new_devices) AS new_devices, sum(sessions) AS sessions, CAST(sum(h_c) AS DOUBLE) / 1e2 AS duration_hours,
               CAST(sum(adm_c * sessions) AS DOUBLE) / CAST(100 * sum(sessions) AS DOUBLE) AS avg_dur_min,
@@ -524,7 +525,7 @@ def _k8(end: str, model: str | None) -> str:
         f"""
     WITH {_three(end, model)}, o1 AS ({_ONE.format(_UD.format(at.format(end)))}),
       o2 AS ({_ONE.format(_UD.format(at.format(end + ' - 1')))}),
-      o7 AS (SELECT round(avg(r), 4) AS one FROM (
+      o7 AS (SELECT round(avg(r) + 1e-9, 4) AS one FROM (
         SELECT evt_dt, CAST(count(CASE WHEN n = 1 THEN 1 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS r
         FROM ({_UD.format(week)}) GROUP BY evt_dt))
     SELECT n.sessions AS total_sessions, n.avg_sessions_per_user, o1.one AS one_per_day_pct,

@@ -159,7 +159,11 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"transform(filter(sequence(0, greatest({count}, 1) - 1), j -> j < {count}),"
             f" j -> named_struct('n', {first} + j, {struct}))"
         )
-    rows = base(spark, sf_dir).selectExpr(
+    rows = base(spark, sf_dir)
+    # A session becomes a dozen JSON rows: use all cores even if the input is a single small file.
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism, "event_id")
+    rows = rows.selectExpr(
         "*",
         f"if(dur is null, null, {_mode_rows('modes').rsplit(' as ', 1)[0]}) as modes",
         "if(k % 2 = 0, 'remote_app', 'manual') as op_source",

@@ -122,6 +122,11 @@ def _at(name: str, when: Column) -> Column:
     return value if digits is None else F.round(value, digits)
 
 
+def _mean(value: Column, digits: int) -> Column:
+    """Mean over days; decimal, so that half-way cases do not depend on the order of summation."""
+    return F.round(F.avg(value.cast("decimal(28,12)")), digits).cast("double")
+
+
 def compare_days(marts: Marts, end: str, device_code: str | None = None) -> DataFrame:
     """One row: every metric on the latest day <= ``end`` (``now_*``), on the latest day before ``end``
     (``prev_*``), and its mean over the days present among the seven before ``end`` (``week_*``).
@@ -137,7 +142,7 @@ def compare_days(marts: Marts, end: str, device_code: str | None = None) -> Data
     for name, (_, digits) in SNAPSHOT_DIGITS.items():
         columns.append(_at(name, F.lit(True)).alias(f"now_{name}"))
         columns.append(_at(name, before).alias(f"prev_{name}"))
-        columns.append(F.round(F.avg(F.when(week, F.col(f"{name}_own")).cast("double")), digits).alias(f"week_{name}"))
+        columns.append(_mean(F.when(week, F.col(f"{name}_own")), digits).alias(f"week_{name}"))
     return days.agg(*columns)
 
 
@@ -152,7 +157,7 @@ def seven_day_mean(marts: Marts, end: str, device_code: str | None = None) -> Da
     last = as_date(end)
     days = _day_metrics(marts.daily.where(F.col("evt_dt").between(F.date_sub(last, 6), last)), device_code)
     return days.agg(
-        *[F.round(F.avg(F.col(f"{n}_own").cast("double")), d).alias(n) for n, (_, d) in SNAPSHOT_DIGITS.items()]
+        *[_mean(F.col(f"{n}_own"), d).alias(n) for n, (_, d) in SNAPSHOT_DIGITS.items()]
     )
 
 
@@ -301,7 +306,7 @@ def sessions_yesterday(marts: Marts, end: str, device_code: str | None = None) -
     row = wanted.join(per_day, "evt_dt", "left").agg(
         F.round(F.max(only("now", share)), 4).alias("now_one"),
         F.round(F.max(only("prev", share)), 4).alias("prev_one"),
-        F.round(F.avg(only("week", share)), 4).alias("week_one"),
+        _mean(only("week", share), 4).alias("week_one"),
         F.max(only("now", F.col("most"))).alias("max_sessions_single_user"),
     )
     return one_row(row, compare_days(marts, end, device_code)).select(

@@ -27,33 +27,32 @@ EXTRA_FIELDS = [
     "payload",
     "endReason",
 ]
+EXTRA_NUMBERS = ["evtTimestamp", "usedModeCount"]
 
 
 def explode_events(raw: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """One row per device event of the report days start..end (all days when not given).
 
-    A narrow job: one scan, no shuffle. ``extraData`` may be a JSON object or a JSON string;
-    ``get_json_object`` returns the text in both cases.
+    A narrow job: one scan, no shuffle. ``json_tuple`` parses each JSON text once for all its fields,
+    and filters on them stay above it instead of being turned into further parses. It gives text
+    for any value, so ``extraData`` may be a JSON object or a JSON string.
     """
     rows = raw.where(F.col("eventname") == EVENT_NAME)
     if start:
         rows = rows.where(F.col("dt") >= F.lit(start).cast("date"))
     if end:
         rows = rows.where(F.col("dt") <= F.lit(end).cast("date"))
-    rows = rows.withColumn("extraData", F.get_json_object("content", "$.extraData"))
+    outer = ["extraData", *CONTENT_FIELDS]
+    rows = rows.drop("eventname").select("*", F.json_tuple("content", *outer).alias(*outer))
     rows = rows.where(F.col("extraData").isNotNull())
 
-    # json_tuple reads every field of a document in one parse.
-    extra = EXTRA_FIELDS + ["evtTimestamp", "usedModeCount"]
-    rows = rows.drop("eventname").select(
-        "*", F.json_tuple("extraData", *extra).alias(*[f"x_{name}" for name in extra])
-    )
-    rows = rows.select("*", F.json_tuple("content", *CONTENT_FIELDS).alias(*CONTENT_FIELDS))
-    rows = rows.select(
-        *[c for c in rows.columns if not c.startswith("x_")],
-        *[F.col(f"x_{name}").alias(name) for name in EXTRA_FIELDS],
-        F.col("x_evtTimestamp").try_cast("bigint").alias("evtTimestamp"),
-        F.col("x_usedModeCount").try_cast("int").alias("usedModeCount"),
+    inner = F.json_tuple("extraData", *EXTRA_FIELDS, *EXTRA_NUMBERS)
+    rows = rows.select("*", inner.alias(*EXTRA_FIELDS, *[f"{name}_text" for name in EXTRA_NUMBERS]))
+    rows = rows.withColumns(
+        {
+            "evtTimestamp": F.col("evtTimestamp_text").try_cast("bigint"),
+            "usedModeCount": F.col("usedModeCount_text").try_cast("int"),
+        }
     )
 
     seconds = ef.whole_seconds(F.col("evtTimestamp"))
