@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.plans.daily import build_daily
 from tidemark.plans.events import explode_events, latest_events
 from tidemark.plans.retention import build_retention
-from tidemark.plans.sessions import build_session_modes, build_sessions, rebuild_touched_sessions
+from tidemark.plans.sessions import build_session_modes, build_sessions, rebuild_touched_sessions, touched_days
 from tidemark.sources.tables import read_table
 from tidemark.sources.writers import write_days
 
@@ -29,7 +29,8 @@ def run_chain(
 ) -> None:
     """Run all five jobs for one business date; each overwrites only the days it computes.
 
-    ``full_days`` rebuilds every touched session day from all its events. Without it a late event
+    ``full_days`` rebuilds every touched session day from all its events, and the daily rows from the
+    oldest touched day on, because their cumulative totals change with it. Without it a late event
     makes its old day be replaced by what the report window alone contains, as the published jobs do.
     """
     write_days(latest_events(explode_events(raw, busi_date, busi_date)), root, "events")
@@ -43,8 +44,14 @@ def run_chain(
         write_days(build_session_modes(events, busi_date, late_days), root, "session_modes")
     sessions = read_table(spark, root, "sessions")
 
-    write_days(build_daily(sessions, events, busi_date, late_days, power_on_by_model), root, "daily")
     last = date.fromisoformat(busi_date)
+    oldest = None
+    if full_days:
+        # One date: the first day of the window, or an older one that got late sessions.
+        touched = touched_days(events, busi_date, late_days).agg(F.min("evt_dt")).first()[0]
+        oldest = min(filter(None, [touched, last - timedelta(days=late_days)])).isoformat()
+    daily = build_daily(sessions, events, busi_date, late_days, power_on_by_model, full_days_from=oldest)
+    write_days(daily, root, "daily")
     first = last - timedelta(days=RETENTION_DAYS - 1)
     write_days(build_retention(sessions, first.isoformat(), busi_date), root, "retention")
 

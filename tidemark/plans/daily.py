@@ -155,17 +155,25 @@ def build_daily(
     busi_date: str | None = None,
     late_days: int = 7,
     power_on_by_model: bool = False,
+    full_days_from: str | None = None,
 ) -> DataFrame:
     """The daily table for the window's days (all days when ``busi_date`` is not given).
 
+    ``full_days_from`` recomputes every day from that one on, and counts power-ons of any report day.
+
     As in the published job, the power-on count of a day is repeated on each of its model rows;
     ``power_on_by_model=True`` counts per model instead.
     """
     recent = sessions
     if busi_date:
         last = F.lit(busi_date).cast("date")
-        recent = sessions.where(F.col("evt_dt").between(F.date_sub(last, late_days), last))
-        events = report_window(events, busi_date, late_days)
+        if full_days_from:
+            first = F.lit(full_days_from).cast("date")
+            events = events.where((F.col("dt") <= last) & (F.col("evt_dt") >= first))
+        else:
+            first = F.date_sub(last, late_days)
+            events = report_window(events, busi_date, late_days)
+        recent = sessions.where(F.col("evt_dt").between(first, last))
         # Days after the last reported one do not change any total up to it.
         sessions = sessions.where(F.col("evt_dt") <= last)
 
