@@ -61,41 +61,34 @@ def version_trend(
 
 
 def filter_options(devices: DataFrame) -> DataFrame:
-    """Models, region labels, statuses and versions to choose from, in one long frame.
+    """Models, region labels, statuses and versions to choose from, in one long, ranked frame.
 
     The 200 kept versions are the first by text; only then are they ordered by value.
     """
-    models = devices.where(F.col("model").isNotNull()).select(F.col("model").alias("value")).distinct()
-    regions = (
-        devices.where(F.col("data_source").isNotNull())
-        .select("data_source")
-        .distinct()
-        .select(region_name(F.col("data_source")).alias("value"))
-        .distinct()
+    def option(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("option"), value.alias("value"))
+
+    source = F.col("data_source")
+    found = F.array(
+        option("model", F.col("model")),
+        option("region", F.when(source.isNotNull(), region_name(source))),
+        option("version", F.col("version")),
     )
-    versions = (
-        with_version(devices)
-        .where(F.col("version").isNotNull())
-        .select(F.col("version").alias("value"))
-        .distinct()
-        .orderBy("value")
-        .limit(VERSION_OPTIONS)
+    fixed = F.array(*[option("status", F.lit(name)) for name in STATUS_CODES])
+    # One scan for all lists; repeated values are dropped map-side.
+    values = with_version(devices).select(F.explode(found).alias("o")).select("o.*").distinct()
+    values = values.where(F.col("value").isNotNull()).unionByName(
+        devices.sparkSession.range(1).select(F.explode(fixed).alias("o")).select("o.*")
     )
-
-    def numbered(rows: DataFrame, kind: str, *order: Column) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy().orderBy(*order))
-        return rows.select(F.lit(kind).alias("option"), rank.alias("rank"), "value")
-
-    value = F.col("value")
-    statuses = devices.sparkSession.createDataFrame(
-        [("status", i + 1, name) for i, name in enumerate(STATUS_CODES)], "option string, rank int, value string"
-    )
-    return (
-        numbered(models, "model", value)
-        .unionByName(numbered(regions, "region", value))
-        .unionByName(statuses)
-        .unionByName(numbered(versions, "version", *version_order(value)))
+    by_text = Window.partitionBy("option").orderBy("value")
+    is_version, value = F.col("option") == "version", F.col("value")
+    kept = values.withColumn("place", F.row_number().over(by_text)).where(
+        ~is_version | (F.col("place") <= VERSION_OPTIONS)
     )
+    number = F.when(is_version, value.try_cast("double"))
+    order = [is_version & number.isNull(), number, value]
+    rank = F.row_number().over(Window.partitionBy("option").orderBy(*order))
+    return kept.select("option", rank.alias("rank"), "value").orderBy("option", "rank")
 
 
 def version_distribution(

@@ -85,15 +85,17 @@ SNAPSHOT_DIGITS = {
 }
 
 
-def _day_metrics(daily: DataFrame, device_code: str | None) -> DataFrame:
-    """Unrounded metrics per day: over all models, and (suffix ``_own``) over the chosen model only."""
-    own = F.lit(True) if not device_code else F.col("deviceCode") == device_code
+def _day_metrics(daily: DataFrame, device_code: str | None, names: list[str]) -> DataFrame:
+    """Unrounded metrics per day over all models, and over the chosen model only (suffix ``_own``)."""
+
+    def metrics(test: Column | None) -> dict[str, Column]:
+        def only(value: Column) -> Column:
+            return value if test is None else F.when(test, value)
 
-    def metrics(test: Column) -> dict[str, Column]:
         def total(name: str) -> Column:
-            return F.sum(F.when(test, F.col(name)))
+            return F.sum(only(F.col(name)))
 
-        minutes = F.when(test, F.col("avg_duration_min") * F.col("total_sessions"))
+        minutes = F.sum(only(F.col("avg_duration_min") * F.col("total_sessions")))
         return {
             "dau": total("dau"),
             "active_devices": total("active_devices"),
@@ -101,7 +103,7 @@ def _day_metrics(daily: DataFrame, device_code: str | None) -> DataFrame:
             "new_devices": total("new_devices"),
             "sessions": total("total_sessions"),
             "duration_hours": total("total_duration_h").cast("double"),
-            "avg_dur_min": ratio(hundredths(F.sum(minutes)), total("total_sessions") * 100),
+            "avg_dur_min": ratio(hundredths(minutes), total("total_sessions") * 100),
             "valid_rate": ratio(total("valid_sessions"), total("total_sessions")),
             "avg_sessions_per_user": ratio(total("total_sessions"), total("dau")),
             "dur_per_user_min": ratio(total("total_duration_sec"), total("dau") * 60),
@@ -110,8 +112,11 @@ def _day_metrics(daily: DataFrame, device_code: str | None) -> DataFrame:
             "valid_sessions": total("valid_sessions"),
         }
 
-    columns = [c.alias(name) for name, c in metrics(F.lit(True)).items()]
-    columns += [c.alias(f"{name}_own") for name, c in metrics(own).items()]
+    every = metrics(None)
+    columns = [every[name].alias(name) for name in names]
+    if device_code:
+        own = metrics(F.col("deviceCode") == device_code)
+        columns += [own[name].alias(f"{name}_own") for name in names]
     return daily.groupBy("evt_dt").agg(*columns)
 
 
@@ -127,8 +132,10 @@ def _mean(value: Column, digits: int) -> Column:
     return F.round(F.avg(value.cast("decimal(28,12)")), digits).cast("double")
 
 
-def compare_days(marts: Marts, end: str, device_code: str | None = None) -> DataFrame:
-    """One row: every metric on the latest day <= ``end`` (``now_*``), on the latest day before ``end``
+def compare_days(
+    marts: Marts, end: str, device_code: str | None = None, names: list[str] | None = None
+) -> DataFrame:
+    """One row: each metric on the latest day <= ``end`` (``now_*``), on the latest day before ``end``
     (``prev_*``), and its mean over the days present among the seven before ``end`` (``week_*``).
 
     The snapshots cover all models while the mean honours the model filter. All three come out of one
@@ -137,28 +144,36 @@ def compare_days(marts: Marts, end: str, device_code: str | None = None) -> Data
     day, last = F.col("evt_dt"), as_date(end)
     before = day <= F.date_sub(last, 1)
     week = day.between(F.date_sub(last, 7), F.date_sub(last, 1))
-    days = _day_metrics(marts.daily.where(day <= last), device_code)
+    names = names or list(SNAPSHOT_DIGITS)
+    days = _day_metrics(marts.daily.where(day <= last), device_code, names)
+    suffix = "_own" if device_code else ""
     columns = []
-    for name, (_, digits) in SNAPSHOT_DIGITS.items():
+    for name in names:
         columns.append(_at(name, F.lit(True)).alias(f"now_{name}"))
         columns.append(_at(name, before).alias(f"prev_{name}"))
-        columns.append(_mean(F.when(week, F.col(f"{name}_own")), digits).alias(f"week_{name}"))
+        mean = _mean(F.when(week, F.col(f"{name}{suffix}")), SNAPSHOT_DIGITS[name][1])
+        columns.append(mean.alias(f"week_{name}"))
     return days.agg(*columns)
 
 
 def daily_snapshot(marts: Marts, day: str) -> DataFrame:
     """All metrics of the latest day <= ``day``, over all models."""
-    row = compare_days(marts, day)
-    return row.select(*[F.col(f"now_{name}").alias(name) for name in SNAPSHOT_DIGITS])
+    return _snapshot(marts, day, list(SNAPSHOT_DIGITS))
+
+
+def _snapshot(marts: Marts, day: str, names: list[str]) -> DataFrame:
+    days = _day_metrics(marts.daily.where(F.col("evt_dt") <= as_date(day)), None, names)
+    return days.agg(*[_at(name, F.lit(True)).alias(name) for name in names])
 
 
 def seven_day_mean(marts: Marts, end: str, device_code: str | None = None) -> DataFrame:
     """Mean of the daily metrics over the days present in the seven that end with ``end``."""
     last = as_date(end)
-    days = _day_metrics(marts.daily.where(F.col("evt_dt").between(F.date_sub(last, 6), last)), device_code)
-    return days.agg(
-        *[_mean(F.col(f"{n}_own"), d).alias(n) for n, (_, d) in SNAPSHOT_DIGITS.items()]
-    )
+    rows = marts.daily.where(F.col("evt_dt").between(F.date_sub(last, 6), last))
+    if device_code:
+        rows = rows.where(F.col("deviceCode") == device_code)
+    days = _day_metrics(rows, None, list(SNAPSHOT_DIGITS))
+    return days.agg(*[_mean(F.col(n), digits).alias(n) for n, (_, digits) in SNAPSHOT_DIGITS.items()])
 
 
 def _change(out: str, name: str, points: bool = False) -> list[Column]:
@@ -174,18 +189,18 @@ def _change(out: str, name: str, points: bool = False) -> list[Column]:
 RATES = ["d1_user_ret", "d7_user_ret", "d1_device_ret", "d7_device_ret"]
 
 
-def _compare_rates(marts: Marts, end: str, bounded: bool) -> DataFrame:
+def _compare_rates(marts: Marts, end: str, bounded: bool, names: list[str] = RATES) -> DataFrame:
     """One row: each retention rate on the latest base day, the latest before ``end``, and the mean of
     the last seven rows before ``end``. ``bounded`` limits the latest row to base days <= ``end``."""
     day, last = F.col("base_dt"), as_date(end)
     past = F.when(day <= F.date_sub(last, 1), day)
-    rows = marts.retention.where(F.col("deviceCode") == ALL).select("base_dt", *RATES)
+    rows = marts.retention.where(F.col("deviceCode") == ALL).select("base_dt", *names)
     # One row per day in this table: ranking it in a single partition is cheap.
     rank = F.row_number().over(Window.partitionBy().orderBy(past.desc_nulls_last()))
     rows = rows.withColumn("rank", F.when(past.isNotNull(), rank))
     now = F.when(day <= last, day) if bounded else day
     columns = []
-    for name in RATES:
+    for name in names:
         columns.append(F.max_by(name, now).cast("double").alias(f"now_{name}"))
         columns.append(F.max_by(name, past).cast("double").alias(f"prev_{name}"))
         mean = F.round(F.avg(F.when(F.col("rank") <= 7, F.col(name))), 5)
@@ -198,7 +213,9 @@ def yesterday_card(marts: Marts, end: str, device_code: str | None = None) -> Da
 
     The D1 rate shown is that of the newest base day in the table, even past ``end``.
     """
-    both = one_row(compare_days(marts, end, device_code), _compare_rates(marts, end, bounded=False))
+    names = ["dau", "active_devices", "sessions", "duration_hours", "avg_dur_min", "valid_rate"]
+    days = compare_days(marts, end, device_code, names)
+    both = one_row(days, _compare_rates(marts, end, bounded=False, names=["d1_user_ret"]))
     return both.select(
         *[F.col(f"now_{n}").alias(n) for n in ("dau", "active_devices", "sessions", "duration_hours", "avg_dur_min")],
         F.bround(F.col("now_d1_user_ret") * 100, 1).alias("d1_ret"),
@@ -222,9 +239,8 @@ def retention_summary(marts: Marts, start: str, end: str, device_code: str | Non
         .agg(F.sum("dau").alias("dau"), F.sum("active_devices").alias("devices"))
         .agg(F.round(F.avg("dau"), 0).alias("avg_dau"), F.round(F.avg("devices"), 0).alias("avg_devices"))
     )
-    row = one_row(
-        means, activity, compare_days(marts, end, device_code), _compare_rates(marts, end, bounded=True)
-    )
+    days = compare_days(marts, end, device_code, ["dau", "new_users", "new_devices"])
+    row = one_row(means, activity, days, _compare_rates(marts, end, bounded=True))
     short = {name: name.replace("_ret", "") for name in RATES}
     return row.select(
         "avg_dau",
@@ -258,7 +274,8 @@ def sessions_summary(marts: Marts, start: str, end: str, device_code: str | None
         F.max("n").alias("max_sessions_single_user"),
     )
     none = F.lit(None).cast("double")
-    return one_row(days, compare_days(marts, end, device_code)).select(
+    change = compare_days(marts, end, device_code, ["sessions", "avg_sessions_per_user"])
+    return one_row(days, change).select(
         "one_per_day_pct",
         "max_sessions_single_user",
         *_change("sessions", "sessions"),
@@ -309,7 +326,8 @@ def sessions_yesterday(marts: Marts, end: str, device_code: str | None = None) -
         _mean(only("week", share), 4).alias("week_one"),
         F.max(only("now", F.col("most"))).alias("max_sessions_single_user"),
     )
-    return one_row(row, compare_days(marts, end, device_code)).select(
+    change = compare_days(marts, end, device_code, ["sessions", "avg_sessions_per_user"])
+    return one_row(row, change).select(
         F.col("now_sessions").alias("total_sessions"),
         F.col("now_avg_sessions_per_user").alias("avg_sessions_per_user"),
         F.col("now_one").alias("one_per_day_pct"),
@@ -331,7 +349,8 @@ def duration_summary(marts: Marts, start: str, end: str, device_code: str | None
         ratio(F.sum("total_duration_sec"), F.sum("dau") * F.countDistinct("evt_dt") * 60, 2).alias("daily_min_per_user"),
         ratio(F.sum("valid_sessions"), F.sum("total_sessions"), 5).alias("valid_session_rate_pct"),
     )
-    return one_row(totals, compare_days(marts, end, device_code)).select(
+    names = ["duration_hours", "avg_dur_min", "dur_per_user_min", "valid_rate"]
+    return one_row(totals, compare_days(marts, end, device_code, names)).select(
         *totals.columns,
         *_change("total_hours", "duration_hours"),
         *_change("avg_dur_min", "avg_dur_min"),
@@ -342,7 +361,8 @@ def duration_summary(marts: Marts, start: str, end: str, device_code: str | None
 
 def duration_yesterday(marts: Marts, end: str) -> DataFrame:
     """Duration metrics of the latest day <= ``end``, over all models."""
-    return daily_snapshot(marts, end).select(
+    row = _snapshot(marts, end, ["duration_hours", "avg_dur_min", "dur_per_user_min", "valid_rate"])
+    return row.select(
         F.col("duration_hours").alias("total_hours_yday"),
         F.col("avg_dur_min").alias("avg_dur_min_yday"),
         F.col("dur_per_user_min").alias("daily_per_user_yday"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import schemas
@@ -177,21 +179,16 @@ def build_daily(
         # Days after the last reported one do not change any total up to it.
         sessions = sessions.where(F.col("evt_dt") <= last)
 
-    day = activity(recent).alias("a")
-    total = cumulative(sessions).alias("c")
-    rows = day.join(
-        total,
-        (F.col("a.evt_dt") == F.col("c.evt_dt")) & F.col("a.deviceCode").eqNullSafe(F.col("c.deviceCode")),
-        "left",
-    ).select("a.*", *[f"c.{c}" for c in total.columns if c not in ("evt_dt", "deviceCode")])
-
-    power = power_on_counts(events, power_on_by_model).alias("p")
-    on = F.col("r.evt_dt") == F.col("p.evt_dt")
-    if power_on_by_model:
-        on = on & F.col("r.deviceCode").eqNullSafe(F.col("p.deviceCode"))
-    rows = rows.alias("r").join(power, on, "left").select(
-        "r.*", F.coalesce("p.power_on_cnt", F.lit(0)).alias("power_on_cnt")
-    )
+    # Three small frames of one row per (day, model) are stacked and folded: unlike a join this takes
+    # an unknown (NULL) model as a value of its own.
+    frames = [activity(recent), cumulative(sessions), power_on_counts(events, power_on_by_model)]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    keys = ["evt_dt", "deviceCode"]
+    rows = stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in stacked.columns if c not in keys])
+    power = F.col("power_on_cnt")
+    if not power_on_by_model:
+        power = F.max(power).over(Window.partitionBy("evt_dt"))
+    rows = rows.withColumn("power_on_cnt", F.coalesce(power, F.lit(0))).where(F.col("total_sessions").isNotNull())
 
     sessions_, users, seconds = F.col("total_sessions"), F.col("dau"), F.col("total_duration_sec")
     rows = rows.withColumns(

@@ -97,7 +97,7 @@ def _last(test: Column, order: Column, fields: list[str], with_day: bool = False
     day = [F.col("evt_dt")] if with_day else []
     row = F.struct(order.alias("at"), *day, *[F.col(f) for f in fields])
     # An event without a time still has an id to order by.
-    return F.max_by(row, F.when(test, order))
+    return F.max_by(F.when(test, row), F.when(test, order))
 
 
 def _finish(hours: DataFrame) -> DataFrame:
