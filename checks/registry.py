@@ -27,7 +27,14 @@ from tidemark.plans.daily import build_daily, cumulative
 from tidemark.plans.events import explode_events
 from tidemark.plans.retention import build_retention
 from tidemark.plans.sections import run_section
-from tidemark.plans.sessions import build_session_modes, build_sessions, rebuild_touched_sessions
+from tidemark.plans.sessions import (
+    affected_start_days,
+    build_session_modes,
+    build_sessions,
+    fold_hours,
+    rebuild_start_days,
+    touched_days,
+)
 from tidemark.sources.writers import latest_by_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +74,16 @@ def _resent(m: TestMarts) -> DataFrame:
     return latest.select("id", "dt", "eventName")
 
 
+def _touched(m: TestMarts) -> DataFrame:
+    """Every day with events in the last report days, rebuilt from all events known by then."""
+    known = m.events.where(F.col("dt") <= F.lit(END).cast("date"))
+    hours = fold_hours(known)
+    days = affected_start_days(hours, touched_days(m.events, END, 2))
+    return rebuild_start_days(hours, days).select(
+        "evt_dt", "useSessionId", "uid", "total_duration_sec", "mode_adj_cnt", "pause_cnt"
+    )
+
+
 def _chain(m: TestMarts) -> DataFrame:
     """Raw log to retention in one lazy plan, nothing written in between."""
     raw = testmap.raw_log(m.spark, m.sf_dir)
@@ -81,12 +98,7 @@ query(
         "evt_dt", "useSessionId", "uid", "is_complete", "total_duration_sec", "mode_adj_cnt", "level_adj_cnt", "pause_cnt"
     ),
 )
-query(
-    "m2_touched_rebuild",
-    lambda m: rebuild_touched_sessions(m.events, END, 2).select(
-        "evt_dt", "useSessionId", "uid", "total_duration_sec", "mode_adj_cnt", "pause_cnt"
-    ),
-)
+query("m2_touched_rebuild", _touched)
 query("m3_session_modes", lambda m: build_session_modes(m.events, "2024-02-07", 40))
 query("m4_daily", lambda m: build_daily(m.sessions, m.events, "2024-02-07", 40))
 query("m4_daily_power_by_model", lambda m: build_daily(m.sessions, m.events, "2024-02-07", 40, power_on_by_model=True))

@@ -54,6 +54,24 @@ def test_published_form_replaces_the_day(spark, tmp_path):
     assert ("s1", D("2024-01-01")) not in got and ("s2", D("2024-01-01")) in got
 
 
+def test_late_end_completes_an_old_session(spark, tmp_path):
+    root = str(tmp_path)
+    logs = [
+        log(1, "2024-01-01T23:50:00", "pump_session_start", "s", dt_="2024-01-01"),
+        log(2, "2024-01-01T10:00:00", "pump_session_start", "t", dt_="2024-01-01"),
+        log(3, "2024-01-02T00:10:00", "pump_session_end", "s", dt_="2024-01-20",
+            modeDuration=[{"durationSec": 900, "modeType": "m"}]),
+        log(4, None, "pump_user_evt", "t", dt_="2024-01-20", evtType="pause"),
+    ]
+    raw = frame(spark, "raw", logs)
+    for day in ("2024-01-01", "2024-01-20"):
+        run_chain(spark, raw, root, day)
+    got = rows(read_table(spark, root, "sessions"), "useSessionId", "evt_dt", "is_complete", "pause_cnt")
+    assert got == [("s", D("2024-01-01"), 1, 0), ("t", D("2024-01-01"), 0, 1)]
+    daily = read_table(spark, root, "daily").select("total_sessions", "complete_sessions").collect()
+    assert [tuple(r) for r in daily] == [(2, 1)]
+
+
 def test_rerun_changes_nothing(spark, tmp_path):
     root = str(tmp_path / "again")
     first = sessions_after(spark, root, True)
@@ -81,7 +99,7 @@ def test_marts_and_sql(spark, tmp_path):
     assert spark.read.json(paths["b"]).count() == marts.sessions.count()
 
 
-@pytest.mark.parametrize("table", ["raw", "events", "sessions", "session_modes", "daily", "retention", "user_flags", "devices"])
+@pytest.mark.parametrize("table", ["raw", "events", "session_hours", "sessions", "session_modes", "daily", "retention", "user_flags", "devices"])
 def test_round_trip(spark, tmp_path, table):
     df = frame(spark, table, [])
     write_days(df, str(tmp_path), table)

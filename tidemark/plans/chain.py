@@ -9,7 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.plans.daily import build_daily
 from tidemark.plans.events import explode_events, latest_events
 from tidemark.plans.retention import build_retention
-from tidemark.plans.sessions import build_session_modes, build_sessions, rebuild_touched_sessions, touched_days
+from tidemark.plans.sessions import (
+    affected_start_days,
+    build_session_modes,
+    build_sessions,
+    rebuild_start_days,
+    refold_days,
+    touched_days,
+)
 from tidemark.sources.tables import read_table
 from tidemark.sources.writers import write_days
 
@@ -37,7 +44,11 @@ def run_chain(
     events = read_table(spark, root, "events")
 
     if full_days:
-        write_days(rebuild_touched_sessions(events, busi_date, late_days), root, "sessions")
+        days = touched_days(events, busi_date, late_days)
+        write_days(refold_days(events, days, busi_date), root, "session_hours")
+        hours = read_table(spark, root, "session_hours")
+        start_days = affected_start_days(hours, days)
+        write_days(rebuild_start_days(hours, start_days), root, "sessions")
         write_days(rebuild_touched_modes(events, busi_date, late_days), root, "session_modes")
     else:
         write_days(build_sessions(events, busi_date, late_days), root, "sessions")
@@ -47,8 +58,8 @@ def run_chain(
     last = date.fromisoformat(busi_date)
     oldest = None
     if full_days:
-        # One date: the first day of the window, or an older one that got late sessions.
-        touched = touched_days(events, busi_date, late_days).agg(F.min("evt_dt")).first()[0]
+        # One date: the first day of the window, or an older one whose sessions were rebuilt.
+        touched = start_days.agg(F.min("evt_dt")).first()[0]
         oldest = min(filter(None, [touched, last - timedelta(days=late_days)])).isoformat()
     daily = build_daily(sessions, events, busi_date, late_days, power_on_by_model, full_days_from=oldest)
     write_days(daily, root, "daily")

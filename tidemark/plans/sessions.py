@@ -42,25 +42,31 @@ def report_window(events: DataFrame, busi_date: str, late_days: int) -> DataFram
 def build_sessions(events: DataFrame, busi_date: str | None = None, late_days: int = 7) -> DataFrame:
     """One row per (evt_dt, useSessionId) that has a start event.
 
-    Two grouping steps. The first works on (session, hour) and folds most rows map-side, so even a
-    session id that a large part of all events carries is spread over its hours and no task ever
-    gathers it whole. The second joins the few hour rows of each session. Repeated start or end events count
+    Two grouping steps, ``fold_hours`` and ``finish_sessions``. Repeated start or end events count
     once: the last by (evtTimestamp, id) wins, per event day for starts, as the table key demands.
     """
     if busi_date:
         events = report_window(events, busi_date, late_days)
-    rows = events.where(
+    return finish_sessions(fold_hours(events))
+
+
+def session_events(events: DataFrame) -> DataFrame:
+    """The events that shape a session."""
+    name = F.col("eventName")
+    return events.where(
         F.col("useSessionId").isNotNull()
-        & (
-            F.col("eventName").isin(START, END)
-            | (F.col("eventName") == ADJUST)
-            | ((F.col("eventName") == USER) & (F.col("evtType") == "pause"))
-        )
+        & (name.isin(START, END, ADJUST) | ((name == USER) & (F.col("evtType") == "pause")))
     )
-    return _finish(_fold_hours(rows))
 
 
-def _fold_hours(rows: DataFrame) -> DataFrame:
+def fold_hours(events: DataFrame) -> DataFrame:
+    """One row per (useSessionId, evt_dt, hour).
+
+    Most rows are folded map-side, and even a session id that a large part of all events carries is
+    spread over its hours, so no task ever gathers it whole. A row depends on the events of its own
+    event day only, which makes this the place to update when events arrive late.
+    """
+    rows = session_events(events)
     is_start = (F.col("eventName") == START) & F.col("evt_dt").isNotNull()
     is_end = F.col("eventName") == END
     is_adjust = F.col("eventName") == ADJUST
@@ -90,7 +96,7 @@ def _fold_hours(rows: DataFrame) -> DataFrame:
         # The hour's part of the path as one string: the second step then moves text, not lists.
         "path",
         F.when(F.size("steps") > 0, F.array_join(F.transform("steps", lambda s: s["step"]), ",")),
-    ).drop("steps")
+    ).select(*schemas.column_names(schemas.SESSION_HOURS))
 
 
 def _last(test: Column, order: Column, fields: list[str], with_day: bool = False) -> Column:
@@ -100,7 +106,8 @@ def _last(test: Column, order: Column, fields: list[str], with_day: bool = False
     return F.max_by(F.when(test, row), F.when(test, order))
 
 
-def _finish(hours: DataFrame) -> DataFrame:
+def finish_sessions(hours: DataFrame) -> DataFrame:
+    """Join the few hour rows of each session into its session rows."""
     sessions = hours.groupBy("useSessionId").agg(
         F.collect_list("start").alias("starts"),
         F.max_by("end", F.col("end.at")).alias("e"),
@@ -136,31 +143,44 @@ def _finish(hours: DataFrame) -> DataFrame:
 
 
 def touched_days(events: DataFrame, busi_date: str, late_days: int) -> DataFrame:
-    """Event days with a session start among the events of the report window."""
-    return (
-        report_window(events, busi_date, late_days)
-        .where((F.col("eventName") == START) & F.col("useSessionId").isNotNull() & F.col("evt_dt").isNotNull())
-        .select("evt_dt")
-        .distinct()
-    )
+    """Event days with a session event among those reported in the window."""
+    window = session_events(report_window(events, busi_date, late_days))
+    return window.where(F.col("evt_dt").isNotNull()).select("evt_dt").distinct()
 
 
-def rebuild_touched_sessions(events: DataFrame, busi_date: str, late_days: int = 7) -> DataFrame:
-    """All sessions of the touched days, from every event reported so far.
+def refold_days(events: DataFrame, days: DataFrame, busi_date: str) -> DataFrame:
+    """The hour rows of the given days from all events reported so far.
 
-    ``build_sessions`` sees only the window, so overwriting an old day with its result would drop the
-    rows that were reported earlier. Here the day is rebuilt in full: its sessions are looked up by
-    start day, then all their events are read whatever day they were reported on.
+    Only the partitions of these event days are read. Events without a time have a partition of
+    their own, which is refolded each time.
     """
-    days = touched_days(events, busi_date, late_days)
     known = events.where(F.col("dt") <= F.lit(busi_date).cast("date"))
-    ids = (
-        known.where((F.col("eventName") == START) & F.col("useSessionId").isNotNull())
-        .join(days, "evt_dt", "left_semi")
-        .select("useSessionId")
-        .distinct()
-    )
-    return build_sessions(known.join(ids, "useSessionId", "left_semi")).join(days, "evt_dt", "left_semi")
+    timed = known.join(days, "evt_dt", "left_semi").select(*known.columns)
+    return fold_hours(timed.unionByName(known.where(F.col("evt_dt").isNull())))
+
+
+def affected_start_days(hours: DataFrame, days: DataFrame) -> DataFrame:
+    """The days on which the sessions with events on the given days started (or without a time)."""
+    touched = hours.join(days, "evt_dt", "left_semi").select("useSessionId")
+    timeless = hours.where(F.col("evt_dt").isNull()).select("useSessionId")
+    return _starts(hours).join(touched.unionByName(timeless), "useSessionId", "left_semi").select("evt_dt").distinct()
+
+
+def _starts(hours: DataFrame) -> DataFrame:
+    day = F.col("start.evt_dt")
+    return hours.where(day.isNotNull()).select("useSessionId", day.alias("evt_dt"))
+
+
+def rebuild_start_days(hours: DataFrame, start_days: DataFrame) -> DataFrame:
+    """All sessions that started on the given days.
+
+    ``build_sessions`` sees only the report window, so overwriting an old day with its result would
+    drop the rows that were reported earlier. Here whole days are rebuilt, from hour rows, which are
+    about as few as sessions. A late end event completes its session wherever that started.
+    """
+    ids = _starts(hours).join(start_days, "evt_dt", "left_semi").select("useSessionId")
+    sessions = finish_sessions(hours.join(ids, "useSessionId", "left_semi"))
+    return sessions.join(start_days, "evt_dt", "left_semi").select(*sessions.columns)
 
 
 def build_session_modes(events: DataFrame, busi_date: str | None = None, late_days: int = 7) -> DataFrame:

@@ -23,6 +23,17 @@ EVENTS = """
     total_duration_sec INT, pump_device_id STRING
 """
 
+# One row per session, event day and hour: folded events, from which sessions can be finished at any time.
+SESSION_HOURS = """
+    useSessionId STRING, evt_dt DATE, hour BIGINT,
+    start STRUCT<at: STRUCT<evtTimestamp: BIGINT, id: BIGINT>, evt_dt: DATE, uid: STRING, pump_device_id: STRING,
+        deviceCode: STRING, os: STRING, evtTimestamp_local: TIMESTAMP_NTZ, local_hour: INT, is_weekday: INT>,
+    end STRUCT<at: STRUCT<evtTimestamp: BIGINT, id: BIGINT>, evtTimestamp_local: TIMESTAMP_NTZ, total_duration_sec: INT,
+        finalModeType: STRING, finalSuctionLevel: STRING, endReason: STRING, usedModeCount: INT>,
+    mode_adj_cnt BIGINT, level_adj_cnt BIGINT, level_up_cnt BIGINT, level_down_cnt BIGINT, pause_cnt BIGINT,
+    app_op_cnt BIGINT, manual_op_cnt BIGINT, path STRING
+"""
+
 SESSIONS = """
     evt_dt DATE, useSessionId STRING, uid STRING, pump_device_id STRING, deviceCode STRING, os STRING,
     start_time TIMESTAMP_NTZ, end_time TIMESTAMP_NTZ, local_hour INT, is_weekday INT,
@@ -72,6 +83,7 @@ DEVICES = """
 TABLES = {
     "raw": (RAW, ["dt"], ["id", "dt"]),
     "events": (EVENTS, ["dt", "evt_dt"], ["id", "dt"]),
+    "session_hours": (SESSION_HOURS, ["evt_dt"], ["useSessionId", "evt_dt", "hour"]),
     "sessions": (SESSIONS, ["evt_dt"], ["evt_dt", "useSessionId"]),
     "session_modes": (SESSION_MODES, ["evt_dt"], ["evt_dt", "useSessionId", "modeType"]),
     "daily": (DAILY, ["evt_dt"], ["evt_dt", "deviceCode"]),
@@ -82,7 +94,7 @@ TABLES = {
 
 
 def _columns(ddl: str) -> list[list[str]]:
-    return [column.split(None, 1) for column in re.split(r",(?![^(]*\))", ddl)]
+    return [column.split(None, 1) for column in re.split(r",(?![^(<]*[)>])", ddl)]
 
 
 def column_names(ddl: str) -> list[str]:
