@@ -5,20 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import debruijn, phrase_index, simhash, sparse_suffix
+from tidemark.llm.oracles import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _kept_words(cut: DataFrame) -> DataFrame:
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    removed = F.aggregate(
+        F.coalesce("removed_spans", F.array().cast("array<struct<start int, end int>>")),
+        F.lit(0).cast("long"),
+        lambda n, s: n + s["end"] - s["start"],
+    )
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
+
+
+def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_words(debruijn.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op8_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_words(sparse_suffix.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op4_simhash": op4_simhash,
+    "op7_debruijn": op7_debruijn,
+    "op8_sparse_suffix": op8_sparse_suffix,
 }
-
-ORACLE: dict[str, str] = {}
