@@ -50,8 +50,40 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM split LEFT JOIN lists USING (r) LEFT JOIN kept USING (r)
 """
 
+MIXING = f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+    md5('mix-' || coalesce(doc_id::VARCHAR, 'null')) AS h
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [1, 2, 3][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+  FROM sized GROUP BY source
+), levels AS (
+  SELECT *, 3 * source_size AS cap,
+    ((SELECT sum(source_size) FROM sources) - coalesce(sum(3 * source_size) OVER earlier, 0))::DOUBLE / sum(w) OVER later AS level,
+    row_number() OVER (ORDER BY 3.0 * source_size / w, source) AS k
+  FROM sources
+  WINDOW earlier AS (ORDER BY 3.0 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    later AS (ORDER BY 3.0 * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), cut AS (SELECT coalesce(min(k), (SELECT max(k) + 1 FROM levels)) AS k FROM levels WHERE w * level <= cap),
+targets AS (
+  SELECT source, source_size,
+    CASE WHEN k < (SELECT k FROM cut) THEN cap::DOUBLE ELSE w * (SELECT level FROM levels WHERE k = (SELECT k FROM cut)) END AS target
+  FROM levels
+), spans AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM sized
+)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE
+    (round(target)::BIGINT // source_size) * size + greatest(0, least(b + size, round(target)::BIGINT % source_size) - b)
+  END::BIGINT AS taken
+FROM spans JOIN targets ON spans.source IS NOT DISTINCT FROM targets.source
+"""
+
 ORACLE = {
     "op2_decontamination": DECONTAMINATION,
+    "op5_mixing": MIXING,
     "op7_debruijn": LONG_PASSAGES,
     "op8_sparse_suffix": LONG_PASSAGES,
 }

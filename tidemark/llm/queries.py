@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import debruijn, phrase_index, simhash, sparse_suffix
+from tidemark.llm import debruijn, mixing, phrase_index, simhash, sparse_suffix
 from tidemark.llm.oracles import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -42,6 +42,10 @@ def _kept_words(cut: DataFrame) -> DataFrame:
     return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents")).drop("source")
+
+
 def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept_words(debruijn.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -53,6 +57,7 @@ def op8_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_simhash": op4_simhash,
+    "op5_mixing": op5_mixing,
     "op7_debruijn": op7_debruijn,
     "op8_sparse_suffix": op8_sparse_suffix,
 }
