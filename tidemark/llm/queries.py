@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import debruijn, mixing, phrase_index, simhash, sparse_suffix
+from tidemark.llm import debruijn, line_crf, mixing, phrase_index, simhash, sparse_suffix
 from tidemark.llm.oracles import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers of a local session find this package wherever the driver was started.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,10 +58,16 @@ def op8_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept_words(sparse_suffix.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return line_crf.score(docs, line_crf.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op7_debruijn": op7_debruijn,
     "op8_sparse_suffix": op8_sparse_suffix,
+    "op9_line_crf": op9_line_crf,
 }
