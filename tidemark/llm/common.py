@@ -11,12 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-# Words (or more, when one text alone has more) a task holds at a time.
-BATCH_WORDS = 200_000
-
-MASK64 = (1 << 64) - 1
-
+from pyspark.sql.window import Window
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach: ``spark.checkpoint.dir``; set to a new local one only where it is unset."""
@@ -27,6 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Rows reach Python tasks in batches of about so many bytes: ten thousand texts have no bound of their own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 class WorkTables:
     """Tables of one run in a folder of their own below the shared folder.
 
@@ -35,6 +35,7 @@ class WorkTables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
-def row_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+def row_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes of ``column``; a longer value makes a slice of its own."""
     for batch in batches:
         sizes = np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1])
@@ -61,10 +62,27 @@ def row_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_50
             start = stop
 
 
+def running(df: DataFrame, key: str, bucket: str, order: list, values: dict) -> DataFrame:
+    """``df`` with each of ``values`` (name -> column) summed over the earlier rows of ``key``.
+
+    Two levels: sums per bucket first (map-side), then rows within a bucket, so the rows of one key, however many, are
+    spread over its buckets. Rows are ordered by ``bucket`` and then by ``order``.
+    """
+    totals = df.groupBy(key, bucket).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
+    ahead = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    skips = totals.select(
+        F.col(key).alias("_k"), F.col(bucket).alias("_b"), *[F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_s_{n}") for n in values]
+    )
+    within = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = df.join(skips, F.col(key).eqNullSafe(F.col("_k")) & (F.col(bucket) == F.col("_b")))
+    sums = [(F.col(f"_s_{n}") + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(n) for n, v in values.items()]
+    return joined.select(*df.columns, *sums)
+
+
 class WordHashes(dict):
     """XXH64 of words, remembered up to a bounded number of words."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

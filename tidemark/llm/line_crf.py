@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_slices, text_bytes
+from tidemark.llm.common import bound_batches, row_slices, text_bytes
 
 # The model is fitted on at most so many labelled documents (smallest hash of the id first), each with at most so many lines.
 SAMPLE_DOCUMENTS = 4000
@@ -169,6 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS, line
     An id with several labels has the smallest, one without a label is not used. Features are made by Spark tasks;
     only those of the bounded sample reach the driver. No labelled document: every score is 0.5.
     """
+    bound_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -201,6 +202,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     Only the text is looked at. Null and empty texts, and texts of white space, get the share of good documents
     in training. Repeated rows get equal scores; other columns are not read; no rows: no rows.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,6 +216,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, all columns kept, decided where the text is read."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(texts: pa.Array) -> pa.Array:

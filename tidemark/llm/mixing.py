@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import WorkTables
+from tidemark.llm.common import WorkTables, running
 
 BLOCK_TOKENS = 4096
 MAX_PASSES = 3
@@ -57,16 +57,6 @@ def targets(sizes: DataFrame, tables: WorkTables, weights=WEIGHTS, max_passes: i
     return weighed.select("source", "source_size", F.when(full, cap.cast("double")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
-def _running(df: DataFrame, key: str, bucket: str, order: list, value, out: str) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` over earlier rows of ``key``, by ``bucket`` and then ``order``."""
-    totals = df.groupBy(key, bucket).agg(F.sum(value).alias("_t"))
-    ahead = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    skips = totals.select(F.col(key).alias("_k"), F.col(bucket).alias("_b"), F.coalesce(F.sum("_t").over(ahead), F.lit(0)).alias("_skip"))
-    within = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(skips, F.col(key).eqNullSafe(F.col("_k")) & (F.col(bucket) == F.col("_b")))
-    return joined.withColumn(out, F.col("_skip") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_k", "_b", "_skip")
-
-
 def documents_in_order(sized: DataFrame) -> DataFrame:
     """(doc_id, source, size, begin): where each document starts in its source's shuffled token stream.
 
@@ -75,7 +65,7 @@ def documents_in_order(sized: DataFrame) -> DataFrame:
     buckets = max(1, sized.count() // BUCKET_ROWS)
     digest = F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     shuffled = sized.withColumn("h", digest).withColumn("bucket", (F.conv(F.substring("h", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("long"))
-    return _running(shuffled, "source", "bucket", [F.col("h"), F.col("size")], F.col("size"), "begin").drop("h", "bucket")
+    return running(shuffled, "source", "bucket", [F.col("h"), F.col("size")], {"begin": F.col("size")}).drop("h", "bucket")
 
 
 def schedule(wanted: DataFrame, slots: int, tables: WorkTables, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -91,7 +81,7 @@ def schedule(wanted: DataFrame, slots: int, tables: WorkTables, block_tokens: in
     need = F.floor(take / size) * per_pass + F.ceil(rest / block_tokens)
     # Sources side by side on [0, 1): by name within range parts, sums of parts first.
     spread = wanted.where("source_size > 0").withColumn("part", F.pmod(F.xxhash64("source"), F.lit(64)))
-    spread = _running(spread.withColumn("one", F.lit(1)), "one", "part", [F.col("source").asc_nulls_first()], F.col("target"), "left")
+    spread = running(spread.withColumn("one", F.lit(1)), "one", "part", [F.col("source").asc_nulls_first()], {"left": F.col("target")})
     lines = tables.write(
         "lines", spread.select("source", "source_size", take.alias("total"), per_pass.alias("per_pass"), need.alias("need"), "left", (F.col("left") + F.col("target")).alias("right"))
     )
@@ -104,7 +94,7 @@ def schedule(wanted: DataFrame, slots: int, tables: WorkTables, block_tokens: in
     points = spark.range(slots).select(F.col("id").alias("slot"), (((F.col("id") + 1) * F.lit(GOLDEN)) % 1 * F.lit(whole)).alias("x"))
     hit = points.withColumn("cell", cell(F.col("x"))).join(ranges, "cell").where((F.col("x") >= F.col("left")) & (F.col("x") < F.col("right")))
     hit = hit.select("slot", "source", F.floor(F.col("slot") / BUCKET_ROWS).alias("bucket"))
-    ranked = _running(hit, "source", "bucket", [F.col("slot")], F.lit(1), "rank").drop("bucket")
+    ranked = running(hit, "source", "bucket", [F.col("slot")], {"rank": F.lit(1)}).drop("bucket")
     counts = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("got"))
     late = (
         lines.join(counts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
