@@ -1,0 +1,26 @@
+"""The operators' queries against their SQL on the smallest test tables."""
+
+import pytest
+
+from checks.compare import connect, rows_of
+from tidemark.llm.queries import ORACLE, QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return connect(SF_DIR)
+
+
+@pytest.mark.parametrize("name", list(ORACLE))
+def test_query(spark, duck, name):
+    df = QUERIES[name](spark, SF_DIR)
+    cursor = duck.execute(ORACLE[name])
+    names = [c[0] for c in cursor.description]
+    assert sorted(df.columns) == sorted(names)
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, cursor.fetchall())
+
+
+def test_one_query_per_operator():
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import debruijn, line_crf, mixing, phrase_index, simhash, sparse_suffix
+from tidemark.llm import chat_windows, debruijn, line_crf, mixing, phrase_index, repetition, simhash, sparse_suffix, token_counts, url_rules
 from tidemark.llm.oracles import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.histogram(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -31,6 +35,26 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    back = chat_windows.read_back(chat_windows.windows(turns.unionByName(extra)))
+    return back.select(
+        "conv_id",
+        "n_turns",
+        F.sha2("turns", 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,6 +74,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(_table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
 def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept_words(debruijn.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -63,11 +91,20 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score(docs, line_crf.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_rules.host_rule(*r) for r in url_rules.HOST_RULES] + [url_rules.pattern_rule(*r) for r in url_rules.PATTERN_RULES]
+    return url_rules.judge(_table(spark, sf_dir, "pages"), url_rules.rules_table(spark, rules))
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
+    "op3_chat_windows": op3_chat_windows,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op6_repetition": op6_repetition,
     "op7_debruijn": op7_debruijn,
     "op8_sparse_suffix": op8_sparse_suffix,
     "op9_line_crf": op9_line_crf,
+    "op10_url_rules": op10_url_rules,
 }
