@@ -56,15 +56,15 @@ cte(
            CASE WHEN uid IS NULL THEN NULL ELSE uid || '-00' || (event_id % 2) END AS device
     FROM (
       SELECT *, CAST(ts AS DATE) AS d, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-             CASE WHEN user_id % 17 = 0 THEN NULL ELSE 'u' || user_id END AS uid,
+             CASE WHEN user_id % 17 = 0 THEN NULL
+                  ELSE (CASE WHEN date_diff('day', {FIRST}, CAST(ts AS DATE)) < user_id % 25 THEN 'e' ELSE 'u' END) || user_id END AS uid,
              'D' || (user_id % 3) AS model,
              CASE WHEN event_id % 2 = 0 THEN 'iOS' ELSE 'Android' END AS os,
              CAST(hour(ts) AS BIGINT) AS hour,
              CASE WHEN dayofweek(ts) BETWEEN 1 AND 5 THEN 1 ELSE 0 END AS weekday,
              CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 = 0 THEN NULL
                   ELSE CAST(floor(value * 20) AS BIGINT) END AS dur
-      FROM events)
-    WHERE date_diff('day', {FIRST}, d) >= user_id % 25""",
+      FROM events)""",
 )
 cte(
     "sess",
@@ -732,10 +732,16 @@ Q["b8_duration_buckets"] = sql(
 Q["b9_mode_sessions"] = sql(
     f"SELECT mode_type, count(DISTINCT sid) AS cnt FROM modes WHERE {RANGE} GROUP BY 1", "modes"
 )
-Q["b10_mode_minutes"] = sql(
-    f"SELECT mode_type, {rdiv('sum(sec)', '60', 2)} AS duration_min FROM modes WHERE {RANGE} AND sec <= 3600 GROUP BY 1",
-    "modes",
-)
+for _suffix, _longest in (("", "TRUE"), ("_within_hour", "sec <= 3600")):
+    Q[f"b10_mode_minutes{_suffix}"] = sql(
+        f"SELECT mode_type, {rdiv('sum(sec)', '60', 2)} AS duration_min FROM modes WHERE {RANGE} AND {_longest} GROUP BY 1",
+        "modes",
+    )
+    Q[f"b12_mode_minutes_per_session{_suffix}"] = sql(
+        f"""SELECT mode_type, {rdiv('sum(sec)', '60 * count(DISTINCT sid)', 2)} AS avg_dur_per_sess_min
+        FROM modes WHERE {RANGE} AND {_longest} GROUP BY 1""",
+        "modes",
+    )
 Q["b11_mode_sessions_per_user"] = sql(
     f"""
     SELECT mode_type, {rdiv('sum(c)', 'sum(dau)', 4)} AS avg_sess_per_user
@@ -744,11 +750,6 @@ Q["b11_mode_sessions_per_user"] = sql(
     "modes",
     "daily",
 )
-Q["b12_mode_minutes_per_session"] = sql(
-    f"""SELECT mode_type, {rdiv('sum(sec)', '60 * count(DISTINCT sid)', 2)} AS avg_dur_per_sess_min
-    FROM modes WHERE {RANGE} AND sec <= 3600 GROUP BY 1""",
-    "modes",
-)
 _HOURS = """SELECT day_type, local_hour, c AS session_count, {pct} AS pct FROM (
     SELECT CASE WHEN {flag} THEN 'weekday' ELSE 'weekend' END AS day_type, local_hour, count(DISTINCT sid) AS c
     FROM sess WHERE {where} GROUP BY 1, 2)"""
@@ -902,7 +903,7 @@ Q["u7_top_countries"] = sql(
 )
 Q["u8_daily_users"] = sql(
     f"""SELECT event_date, count(DISTINCT uid) AS daily_users FROM uflag WHERE {_AGO.format(900)} AND {_DATED}
-    GROUP BY 1 ORDER BY 1 DESC LIMIT 60""",
+    GROUP BY 1""",
     "uflag",
 )
 _FLAGS = ["act", "device_vis", "stat_vis", "dynamic_vis", "account_vis", "member_vis", "moment_act"]
@@ -939,7 +940,7 @@ Q["f3_filter_options"] = sql(
     UNION ALL SELECT 'region', row_number() OVER (ORDER BY value), value FROM (SELECT DISTINCT {REGION} AS value FROM dev)
     UNION ALL SELECT 'status', 1, 'bound' UNION ALL SELECT 'status', 2, 'unbound'
     UNION ALL SELECT 'version', row_number() OVER (ORDER BY CAST(value AS DOUBLE)), value
-      FROM (SELECT DISTINCT version AS value FROM dev WHERE version IS NOT NULL ORDER BY 1 LIMIT 200)""",
+      FROM (SELECT DISTINCT version AS value FROM dev WHERE version IS NOT NULL)""",
     "dev",
 )
 for _key, _where in (
@@ -969,7 +970,7 @@ Q["f5_version_matrix"] = _matrix(_ftrend(DEV_DAY, _rare))
 Q["f5_version_matrix_fallback"] = _matrix(_ftrend(DEV_DAY, _rare))
 _DETAIL = f"""SELECT name AS device_name, right(device_id, 8) AS id_suffix, sn, model, type_id, mac, version,
     {STATUS} AS status, CAST(ts AS DATE) AS create_time, CAST(ts AS DATE) AS update_time, CAST(ts AS DATE) AS last_login,
-    {REGION} AS region FROM dev WHERE {{}} ORDER BY device_id LIMIT 2000"""
+    {REGION} AS region FROM dev WHERE {{}}"""
 Q["f6_device_details"] = sql(_DETAIL.format("TRUE"), "dev")
 Q["f6_device_details_filtered"] = sql(_DETAIL.format("source = 'EC' AND status = 1 AND model = 'error'"), "dev")
 Q["f7_version_domain"] = sql("SELECT DISTINCT version FROM dev WHERE version IS NOT NULL", "dev")
@@ -1004,7 +1005,7 @@ Q["j3_number_bars"] = sql(
     f"""
     SELECT mode_type, duration_min, duration_min AS bar_value,
       CAST(floor(duration_min / greatest(max(duration_min) OVER (), 0.001) * 100 + 0.5) AS BIGINT) AS bar_width
-    FROM (SELECT mode_type, {rdiv('sum(sec)', '60', 2)} AS duration_min FROM modes WHERE {RANGE} AND sec <= 3600 GROUP BY 1)""",
+    FROM (SELECT mode_type, {rdiv('sum(sec)', '60', 2)} AS duration_min FROM modes WHERE {RANGE} GROUP BY 1)""",
     "modes",
 )
 

@@ -78,8 +78,8 @@ def _touched(m: TestMarts) -> DataFrame:
     """Every day with events in the last report days, rebuilt from all events known by then."""
     known = m.events.where(F.col("dt") <= F.lit(END).cast("date"))
     hours = fold_hours(known)
-    days = affected_start_days(hours, touched_days(m.events, END, 2))
-    return rebuild_start_days(hours, days).select(
+    ids = hours.join(touched_days(m.events, END, 2), "evt_dt", "left_semi").select("useSessionId")
+    return rebuild_start_days(hours, affected_start_days(hours, ids)).select(
         "evt_dt", "useSessionId", "uid", "total_duration_sec", "mode_adj_cnt", "pause_cnt"
     )
 
@@ -166,8 +166,12 @@ report("b7_device_totals", "sessions", dist.device_totals, *SPAN)
 report("b8_duration_buckets", "sessions", dist.duration_buckets, *SPAN)
 report("b9_mode_sessions", "session_modes", dist.mode_sessions, *SPAN)
 report("b10_mode_minutes", "session_modes", dist.mode_minutes, *SPAN)
+report("b10_mode_minutes_within_hour", "session_modes", dist.mode_minutes, *SPAN, longest_sec=3600)
 report("b11_mode_sessions_per_user", "session_modes daily", dist.mode_sessions_per_user, *SPAN)
 report("b12_mode_minutes_per_session", "session_modes", dist.mode_minutes_per_session, *SPAN)
+report(
+    "b12_mode_minutes_per_session_within_hour", "session_modes", dist.mode_minutes_per_session, *SPAN, longest_sec=3600
+)
 report("b13_hours_by_day_type", "sessions", dist.hours_by_day_type, *SPAN)
 report("b13_hours_by_event_weekday", "sessions", dist.hours_by_day_type, *SPAN, MODEL, weekday_source="evt_dt")
 report("b14_mode_by_level", "sessions", dist.mode_by_level, *SPAN)
@@ -190,9 +194,9 @@ report("b20_weekly_cohorts_model", "sessions", dist.weekly_cohorts, *SPAN, MODEL
 # ---- user flags -----------------------------------------------------------------------------------
 
 ANY = UserFilter()
-LISTS = f"countries={','.join(USER_QUERY_COUNTRIES)}&sources={','.join(USER_QUERY_SOURCES)}"
-SPAN_FILTER = UserFilter.from_query(f"{LISTS}&date_from={FROM_DAY}&date_to={TO_DAY}&date_days=7")
-ACTIVE_FILTER = UserFilter.from_query(f"{LISTS}&date_from={FROM_DAY}&date_to={TO_DAY}&active_status=1")
+LISTS = UserFilter(USER_QUERY_COUNTRIES, USER_QUERY_SOURCES)
+SPAN_FILTER = UserFilter(USER_QUERY_COUNTRIES, USER_QUERY_SOURCES, date_from=FROM_DAY, date_to=TO_DAY, date_days="7")
+ACTIVE_FILTER = UserFilter(USER_QUERY_COUNTRIES, USER_QUERY_SOURCES, active_status="1", date_from=FROM_DAY, date_to=TO_DAY)
 
 
 def _flags(name: str, fn: Callable, chosen: UserFilter = ANY, columns: list[str] | None = None) -> None:
@@ -219,7 +223,7 @@ _flags("u5_active_rate", userflags.overview, ANY, ["active_users", "inactive_use
 _flags("u6_users_by_source", userflags.users_by_source, UserFilter(date_days="90"))
 _flags("u7_top_countries", userflags.top_countries, UserFilter(date_days="x"))
 _flags("u8_daily_users", userflags.daily_users, UserFilter(date_days="900"))
-_flags("u9_flag_counts", userflags.flag_counts, UserFilter.from_query(LISTS))
+_flags("u9_flag_counts", userflags.flag_counts, LISTS)
 _flags("u9_flag_counts_long", userflags.flag_counts_long)
 
 # ---- firmware -------------------------------------------------------------------------------------

@@ -16,17 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per kept test event = one use session."""
+    """One row per test event = one use session. A user's events before a first day of their own go to another user."""
     e = table(spark, sf_dir, "events").selectExpr(
         "*", "cast(get_json_object(props, '$.k') as int) as k", "cast(ts as date) as d"
     )
-    e = e.where("datediff(d, date'2024-01-01') >= user_id % 25")
     return e.selectExpr(
         "event_id",
         "k",
         "d",
         "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', date_trunc('second', ts)) as sec",
-        "if(user_id % 17 = 0, null, concat('u', user_id)) as uid",
+        "if(user_id % 17 = 0, null, concat(if(datediff(d, date'2024-01-01') < user_id % 25, 'e', 'u'), user_id)) as uid",
         "concat('D', user_id % 3) as model",
         "if(event_id % 2 = 0, 'iOS', 'Android') as os",
         "hour(ts) as hour",
@@ -159,11 +158,8 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"transform(filter(sequence(0, greatest({count}, 1) - 1), j -> j < {count}),"
             f" j -> named_struct('n', {first} + j, {struct}))"
         )
-    rows = base(spark, sf_dir)
-    # A session becomes a dozen JSON rows: use all cores even if the input is a single small file.
-    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        rows = rows.repartition(spark.sparkContext.defaultParallelism, "event_id")
-    rows = rows.selectExpr(
+    # A session becomes a dozen JSON rows: spread them before, a small file may be a single partition.
+    rows = base(spark, sf_dir).repartition("event_id").selectExpr(
         "*",
         f"if(dur is null, null, {_mode_rows('modes').rsplit(' as ', 1)[0]}) as modes",
         "if(k % 2 = 0, 'remote_app', 'manual') as op_source",

@@ -29,17 +29,17 @@ LOGS = [
 ]
 
 
-def sessions_after(spark, root, full_days):
+def sessions_after(spark, root):
     raw = frame(spark, "raw", LOGS)
     for day in ("2024-01-01", "2024-01-05", "2024-01-12"):
-        run_chain(spark, raw, root, day, full_days=full_days)
+        run_chain(spark, raw, root, day)
     return rows(read_table(spark, root, "sessions"), "useSessionId", "evt_dt")
 
 
 def test_late_rows_do_not_drop_earlier_ones(spark, tmp_path):
     one, twelve, five = D("2024-01-01"), D("2024-01-12"), D("2024-01-05")
     root = str(tmp_path / "full")
-    assert sessions_after(spark, root, True) == [("s1", one), ("s2", one), ("s3", twelve), ("s4", five)]
+    assert sessions_after(spark, root) == [("s1", one), ("s2", one), ("s3", twelve), ("s4", five)]
     modes = rows(read_table(spark, root, "session_modes"), "useSessionId", "duration_sec")
     assert modes == [("s1", 701), ("s2", 702), ("s3", 703), ("s4", 704)]
     daily = read_table(spark, root, "daily").select("evt_dt", "dau", "cumulative_users", "cumulative_sessions")
@@ -49,9 +49,81 @@ def test_late_rows_do_not_drop_earlier_ones(spark, tmp_path):
     assert retention.groupBy("base_dt").count().where("count > 1").count() == 0
 
 
-def test_published_form_replaces_the_day(spark, tmp_path):
-    got = sessions_after(spark, str(tmp_path / "window"), False)
-    assert ("s1", D("2024-01-01")) not in got and ("s2", D("2024-01-01")) in got
+def test_very_late_session_moves_retention(spark, tmp_path):
+    """A session of 01-02, reported in February, changes retention of 01-02 and the cohort of 01-01."""
+    root = str(tmp_path)
+    raw = frame(spark, "raw", [*use(1, "2024-01-01", "2024-01-01"), *use(2, "2024-01-02", "2024-02-10"), *use(3, "2024-01-03", "2024-01-03", "b")])
+    for day in ("2024-01-01", "2024-01-03", "2024-02-10"):
+        run_chain(spark, raw, root, day)
+    got = {str(r.base_dt): r for r in read_table(spark, root, "retention").collect()}
+    assert got["2024-01-02"].d1_retained_users == 1 and got["2024-01-01"].cohort_d1_ret == 1.0
+    first = {str(r.base_dt): r.new_users_base for r in got.values() if r.new_users_base}
+    assert first == {"2024-01-01": 1, "2024-01-03": 1}
+
+
+def test_late_first_day_moves_the_cohort(spark, tmp_path):
+    root = str(tmp_path)
+    raw = frame(spark, "raw", [*use(1, "2024-01-20", "2024-01-20"), *use(2, "2024-01-02", "2024-01-21")])
+    for day in ("2024-01-20", "2024-01-21"):
+        run_chain(spark, raw, root, day)
+    got = {str(r.base_dt): r.new_users_base for r in read_table(spark, root, "retention").collect() if r.new_users_base}
+    assert got == {"2024-01-02": 1}
+
+
+def test_corrected_log_replaces_the_report_day(spark, tmp_path):
+    """A rerun after a session has gone from the log removes it, its modes, its daily row and its days."""
+    root = str(tmp_path)
+    keep, gone = use(1, "2024-01-05", "2024-01-05"), use(2, "2024-01-03", "2024-01-05", "b")
+    run_chain(spark, frame(spark, "raw", keep + gone), root, "2024-01-05")
+    assert read_table(spark, root, "sessions").count() == 2
+    run_chain(spark, frame(spark, "raw", keep), root, "2024-01-05")
+    for table in ("events", "session_hours", "sessions", "session_modes", "daily"):
+        assert {str(r.evt_dt) for r in read_table(spark, root, table).collect()} == {"2024-01-05"}, table
+    got = {str(r.base_dt): r.new_users_base for r in read_table(spark, root, "retention").collect() if r.new_users_base}
+    assert got == {"2024-01-05": 1}
+
+
+def test_late_power_on_counts(spark, tmp_path):
+    root = str(tmp_path)
+    logs = [
+        *use(1, "2024-01-01", "2024-01-01"),
+        log(91, "2024-01-01T09:00:00", "pump_startup_evt", None, dt_="2024-01-01"),
+        log(92, "2024-01-01T09:30:00", "pump_startup_evt", None, dt_="2024-01-20"),
+    ]
+    raw = frame(spark, "raw", logs)
+    for day in ("2024-01-01", "2024-01-20"):
+        run_chain(spark, raw, root, day)
+    assert [r.power_on_cnt for r in read_table(spark, root, "daily").collect()] == [2]
+
+
+def test_quiet_days_stay_untouched(spark, tmp_path):
+    """A timeless event and a wrong clock rebuild their sessions once, not in every later run."""
+    root = str(tmp_path)
+    logs = [
+        *use(1, "2024-01-01", "2024-01-01"),
+        log(50, None, "pump_user_evt", "s1", dt_="2024-01-02", evtType="pause"),
+        *use(2, "1970-01-01", "2024-01-02", "b"),
+        *use(3, "2024-01-09", "2024-01-09", "c"),
+    ]
+    raw = frame(spark, "raw", logs)
+    for day in ("2024-01-01", "2024-01-02"):
+        run_chain(spark, raw, root, day)
+    got = rows(read_table(spark, root, "sessions"), "useSessionId", "pause_cnt")
+    assert got == [("s1", 1), ("s2", 0)]
+
+    def files():
+        tables = ("sessions", "session_hours", "session_modes", "daily")
+        return {p: p.stat().st_mtime_ns for t in tables for p in (tmp_path / t).rglob("part-*") if "2024-01-09" not in str(p)}
+
+    seen = files()
+    run_chain(spark, raw, root, "2024-01-09")
+    assert files() == seen
+
+
+def test_empty_session_id_is_no_session(spark, tmp_path):
+    logs = [log(1, "2024-01-01T10:00:00", "pump_session_start", "", dt_="2024-01-01"), *use(1, "2024-01-01", "2024-01-01")]
+    run_chain(spark, frame(spark, "raw", logs), str(tmp_path), "2024-01-01")
+    assert rows(read_table(spark, str(tmp_path), "sessions"), "useSessionId") == [("s1",)]
 
 
 def test_late_end_completes_an_old_session(spark, tmp_path):
@@ -74,7 +146,7 @@ def test_late_end_completes_an_old_session(spark, tmp_path):
 
 def test_rerun_changes_nothing(spark, tmp_path):
     root = str(tmp_path / "again")
-    first = sessions_after(spark, root, True)
+    first = sessions_after(spark, root)
     run_chain(spark, frame(spark, "raw", LOGS), root, "2024-01-12")
     assert rows(read_table(spark, root, "sessions"), "useSessionId", "evt_dt") == first
 
@@ -90,7 +162,7 @@ def test_write_days_touches_only_its_days(spark, tmp_path):
 
 def test_marts_and_sql(spark, tmp_path):
     root = str(tmp_path / "m")
-    run_chain(spark, frame(spark, "raw", LOGS), root, "2024-01-12", late_days=20)
+    run_chain(spark, frame(spark, "raw", LOGS), root, "2024-01-12")
     marts = Marts.read(spark, root)
     register_views(marts)
     got = run_sql(spark, "SELECT count(*) FROM sessions WHERE uid = :uid", {"uid": "b"}).first()[0]

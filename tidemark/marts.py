@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.sources.tables import read_table
@@ -28,9 +29,18 @@ class Marts:
 
     @classmethod
     def read(cls, spark, root: str) -> "Marts":
-        """All marts of a warehouse folder written by ``plans.chain``."""
-        names = ["sessions", "session_modes", "daily", "retention", "events"]
-        return cls(**{name: read_table(spark, root, name) for name in names})
+        """All marts of a warehouse folder; a table that nobody has written there yet stays ``None``.
+
+        ``plans.chain`` writes the five usage marts, ``user_flags`` and ``devices`` come from other jobs.
+        """
+        found = {}
+        for name in ["sessions", "session_modes", "daily", "retention", "events", "user_flags", "devices"]:
+            try:
+                found[name] = read_table(spark, root, name)
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        return cls(**found)
 
 
 def in_range(df: DataFrame, start: str, end: str, device_code: str | None = None, day: str = "evt_dt") -> DataFrame:

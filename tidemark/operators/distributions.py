@@ -11,8 +11,6 @@ from tidemark.marts import Marts, as_date, in_range
 from tidemark.operators.kpi import sessions_per_user_day
 from tidemark.plans.retention import active_days
 
-# Session-mode rows longer than an hour are left out of the duration reports.
-LONGEST_MODE_SEC = 3600
 # Event names and types of the log.
 SOURCE_EVENTS = ("pump_start", "pump_end", "pump_manual_adjust_evt")
 COHORT_DAYS = (1, 3, 7, 14)
@@ -128,8 +126,15 @@ def mode_sessions(marts: Marts, start: str, end: str, device_code: str | None =
     return counts.withColumnRenamed("session_count", "cnt").orderBy(F.desc("cnt"), "mode_type")
 
 
-def mode_minutes(marts: Marts, start: str, end: str, device_code: str | None = None) -> DataFrame:
-    rows = _modes(marts, start, end, device_code).where(F.col("duration_sec") <= LONGEST_MODE_SEC)
+def _no_longer(rows: DataFrame, longest_sec: int | None) -> DataFrame:
+    return rows if longest_sec is None else rows.where(F.col("duration_sec") <= longest_sec)
+
+
+def mode_minutes(
+    marts: Marts, start: str, end: str, device_code: str | None = None, longest_sec: int | None = None
+) -> DataFrame:
+    """Minutes by mode; ``longest_sec`` leaves out longer session-mode rows."""
+    rows = _no_longer(_modes(marts, start, end, device_code), longest_sec)
     sums = rows.groupBy("mode_type").agg(ratio(F.sum("duration_sec"), F.lit(60), 2).alias("duration_min"))
     return sums.orderBy(F.desc("duration_min"), "mode_type")
 
@@ -150,8 +155,11 @@ def mode_sessions_per_user(marts: Marts, start: str, end: str, device_code: str
     return rows.agg(mean).orderBy(F.desc("avg_sess_per_user"), "mode_type")
 
 
-def mode_minutes_per_session(marts: Marts, start: str, end: str, device_code: str | None = None) -> DataFrame:
-    rows = _modes(marts, start, end, device_code).where(F.col("duration_sec") <= LONGEST_MODE_SEC)
+def mode_minutes_per_session(
+    marts: Marts, start: str, end: str, device_code: str | None = None, longest_sec: int | None = None
+) -> DataFrame:
+    """Mean minutes per session by mode; ``longest_sec`` leaves out longer session-mode rows."""
+    rows = _no_longer(_modes(marts, start, end, device_code), longest_sec)
     mean = ratio(F.sum("duration_sec"), F.countDistinct("useSessionId") * 60, 2).alias("avg_dur_per_sess_min")
     return rows.groupBy("mode_type").agg(mean).orderBy(F.desc("avg_dur_per_sess_min"), "mode_type")
 

@@ -7,10 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.labels import STATUS_CODES, region_code, region_name, relabel, status_code
 from tidemark.functions.measures import ratio
 
-# Length of the trend, caps of the option list and of the detail listing.
+# Fixed value: length of the trend.
 TREND_DAYS = 30
-VERSION_OPTIONS = 200
-DETAIL_ROWS = 2000
 
 
 def with_version(devices: DataFrame) -> DataFrame:
@@ -61,10 +59,7 @@ def version_trend(
 
 
 def filter_options(devices: DataFrame) -> DataFrame:
-    """Models, region labels, statuses and versions to choose from, in one long, ranked frame.
-
-    The 200 kept versions are the first by text; only then are they ordered by value.
-    """
+    """All models, region labels, statuses and versions to choose from, in one long, ranked frame."""
     def option(kind: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("option"), value.alias("value"))
 
@@ -80,15 +75,11 @@ def filter_options(devices: DataFrame) -> DataFrame:
     values = values.where(F.col("value").isNotNull()).unionByName(
         devices.sparkSession.range(1).select(F.explode(fixed).alias("o")).select("o.*")
     )
-    by_text = Window.partitionBy("option").orderBy("value")
     is_version, value = F.col("option") == "version", F.col("value")
-    kept = values.withColumn("place", F.row_number().over(by_text)).where(
-        ~is_version | (F.col("place") <= VERSION_OPTIONS)
-    )
     number = F.when(is_version, value.try_cast("double"))
     order = [is_version & number.isNull(), number, value]
     rank = F.row_number().over(Window.partitionBy("option").orderBy(*order))
-    return kept.select("option", rank.alias("rank"), "value").orderBy("option", "rank")
+    return values.select("option", rank.alias("rank"), "value").orderBy("option", "rank")
 
 
 def version_distribution(
@@ -131,12 +122,13 @@ def device_details(
     model: str | None = None,
     region: str | None = None,
     status: str | None = None,
-    rows: int = DETAIL_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
-    """The first 2000 devices by id with readable status and region."""
+    """All devices by id with readable status and region, or the first ``rows`` of them."""
     names = {code: label for label, code in STATUS_CODES.items()}
-    # Sort and cut first (a top-k), parse JSON for what remains.
-    found = apply_filter(devices, model, region, status).orderBy("device_id").limit(rows)
+    found = apply_filter(devices, model, region, status).orderBy("device_id")
+    if rows is not None:
+        found = found.limit(rows)  # sort and cut first (a top-k), parse JSON for what remains
     return with_version(found).select(
         "device_name",
         F.right("device_id", F.lit(8)).alias("id_suffix"),

@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.plans.daily import build_daily
+from tidemark.plans.daily import POWER_ON, build_daily
 from tidemark.plans.events import explode_events, latest_events
-from tidemark.plans.retention import build_retention
+from tidemark.plans.retention import affected_days, build_retention
 from tidemark.plans.sessions import (
     affected_start_days,
     build_session_modes,
-    build_sessions,
+    fold_hours,
+    on_days,
     rebuild_start_days,
-    refold_days,
-    touched_days,
+    session_events,
 )
-from tidemark.sources.tables import read_table
-from tidemark.sources.writers import write_days
-
-# Tolerated reporting delay in days, and base days recomputed per run.
-LATE_DAYS = 7
-RETENTION_DAYS = 15
+from tidemark.sources.tables import read_or_empty, read_table
+from tidemark.sources.writers import replace_days, write_days, write_report_day
 
 
 def run_chain(
@@ -30,50 +26,57 @@ def run_chain(
     raw: DataFrame,
     root: str,
     busi_date: str,
-    late_days: int = LATE_DAYS,
-    full_days: bool = True,
     power_on_by_model: bool = False,
 ) -> None:
-    """Run all five jobs for one business date; each overwrites only the days it computes.
+    """Run all five jobs for one report day; a rerun replaces what an earlier run of the day has brought.
 
-    ``full_days`` rebuilds every touched session day from all its events, and the daily rows from the
-    oldest touched day on, because their cumulative totals change with it. Without it a late event
-    makes its old day be replaced by what the report window alone contains, as the published jobs do.
+    The rows of the report day, those before and those now, name the event days and the sessions that may have
+    changed. Those days are rebuilt whole, however old they are, from all events reported so far; days that come back
+    empty are emptied. Daily totals are running totals, so they are recomputed from the oldest changed day
+    on; retention for the base days at a reported distance of a changed day and for those that first days move from or to.
     """
-    write_days(latest_events(explode_events(raw, busi_date, busi_date)), root, "events")
+    last = date.fromisoformat(busi_date)
+    before = read_or_empty(spark, root, "events").where(F.col("dt") == last)
+    # The report day is about to be overwritten, so what it named before is kept aside. Days are calendar days; ids
+    # stay in a table.
+    days = _days(_counted(before))
+    ids_path = f"{root.rstrip('/')}/_staging/changed_ids"
+    session_events(before).select("useSessionId").distinct().write.mode("overwrite").parquet(ids_path)
+    write_report_day(latest_events(explode_events(raw, busi_date, busi_date)), root, "events", busi_date)
     events = read_table(spark, root, "events")
+    now = events.where(F.col("dt") == last)
+    days = sorted(days | _days(_counted(now)), key=str)
+    ids = spark.read.schema("useSessionId string").parquet(ids_path).union(session_events(now).select("useSessionId"))
+    known = events.where(F.col("dt") <= last)
+
+    replace_days(fold_hours(on_days(known, days)), root, "session_hours", days)
+    hours = read_table(spark, root, "session_hours")
+    starts = sorted(_days(affected_start_days(hours, ids.distinct())) | {d for d in days if d is not None})
+    start_days = spark.createDataFrame([(d,) for d in starts], "evt_dt date")
+    users_path = f"{root.rstrip('/')}/_staging/users_before"
+    users_before = on_days(read_or_empty(spark, root, "sessions"), starts).select("uid").distinct()
+    users_before.write.mode("overwrite").parquet(users_path)
+    replace_days(rebuild_start_days(hours, start_days), root, "sessions", starts)
+    replace_days(build_session_modes(on_days(known, days)), root, "session_modes", [d for d in days if d is not None])
 
-    if full_days:
-        days = touched_days(events, busi_date, late_days)
-        write_days(refold_days(events, days, busi_date), root, "session_hours")
-        hours = read_table(spark, root, "session_hours")
-        start_days = affected_start_days(hours, days)
-        write_days(rebuild_start_days(hours, start_days), root, "sessions")
-        write_days(rebuild_touched_modes(events, busi_date, late_days), root, "session_modes")
-    else:
-        write_days(build_sessions(events, busi_date, late_days), root, "sessions")
-        write_days(build_session_modes(events, busi_date, late_days), root, "session_modes")
     sessions = read_table(spark, root, "sessions")
+    oldest = min([last, *starts])
+    daily = build_daily(sessions, events, busi_date, 0, power_on_by_model, full_days_from=oldest.isoformat())
+    replace_days(daily, root, "daily", starts)
 
-    last = date.fromisoformat(busi_date)
-    oldest = None
-    if full_days:
-        # One date: the first day of the window, or an older one whose sessions were rebuilt.
-        touched = start_days.agg(F.min("evt_dt")).first()[0]
-        oldest = min(filter(None, [touched, last - timedelta(days=late_days)])).isoformat()
-    daily = build_daily(sessions, events, busi_date, late_days, power_on_by_model, full_days_from=oldest)
-    write_days(daily, root, "daily")
-    first = last - timedelta(days=RETENTION_DAYS - 1)
-    write_days(build_retention(sessions, first.isoformat(), busi_date), root, "retention")
+    # A user's first day moves from or to a changed day; its other end is the user's first day among the rest.
+    users = on_days(sessions, starts).select("uid").union(spark.read.schema("uid string").parquet(users_path)).distinct()
+    rest = sessions.where(~F.col("evt_dt").isin(starts)).join(users, "uid", "left_semi")
+    moved = rest.groupBy("uid").agg(F.min("evt_dt").alias("evt_dt"))
+    bases = affected_days([last, *starts], sorted(_days(moved)), last)
+    write_days(build_retention(sessions, bases[0].isoformat(), busi_date, days=bases), root, "retention")
 
 
-def rebuild_touched_modes(events: DataFrame, busi_date: str, late_days: int) -> DataFrame:
-    """Session modes of every event day with an end event in the window, from all end events so far."""
-    last = F.lit(busi_date).cast("date")
-    known = events.where(F.col("dt") <= last)
-    days = (
-        known.where((F.col("dt") >= F.date_sub(last, late_days)) & (F.col("eventName") == "pump_session_end"))
-        .select("evt_dt")
-        .distinct()
-    )
-    return build_session_modes(known.join(days, "evt_dt", "left_semi"))
+def _counted(events: DataFrame) -> DataFrame:
+    """Events that a session, a mode or a daily total counts."""
+    rows = events.select("eventName", "evtType", "useSessionId", "evt_dt")
+    return session_events(rows).unionByName(rows.where(F.col("eventName") == POWER_ON))
+
+
+def _days(rows: DataFrame) -> set:
+    return {r[0] for r in rows.select("evt_dt").distinct().collect()}

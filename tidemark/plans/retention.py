@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import schemas
@@ -30,8 +32,16 @@ def _tag(name: str, days: Column) -> Column:
     return F.transform(days, lambda day: F.struct(F.lit(name).alias("what"), day.alias("day")))
 
 
-def build_retention(sessions: DataFrame, start: str, end: str, drop_null_uid: bool = False) -> DataFrame:
-    """One row per base_dt in start..end, model 'ALL'.
+def affected_days(changed: list[date], first_days: list[date], last: date) -> list[date]:
+    """Base days whose row may change with the sessions of the ``changed`` days and the given first days of users."""
+    near = {d + timedelta(days=n) for d in changed for n in (0, *OFFSETS, *(-n for n in OFFSETS))}
+    return sorted(d for d in near | set(first_days) if d <= last)
+
+
+def build_retention(
+    sessions: DataFrame, start: str, end: str, drop_null_uid: bool = False, days: list[date] | None = None
+) -> DataFrame:
+    """One row per base_dt in start..end, model 'ALL'; only for those of ``days`` if given.
 
     Day sets are compared inside one row per user (or device): a single shuffle by id replaces the
     pairwise joins of per-day user sets, and all base days come out of the same job. The unknown user (NULL uid) counts
@@ -39,6 +49,8 @@ def build_retention(sessions: DataFrame, start: str, end: str, drop_null_uid: bo
     """
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
     near = F.col("evt_dt").between(F.date_sub(first, max(OFFSETS)), F.date_add(last, max(OFFSETS)))
+    if days is not None:
+        near = F.col("evt_dt").isin(sorted({d + timedelta(days=n) for d in days for n in (0, *OFFSETS, *(-n for n in OFFSETS))}))
     users = sessions.where(F.col("uid").isNotNull()) if drop_null_uid else sessions
 
     # A user's first day comes from all history, the day set from the near range only.
@@ -47,7 +59,7 @@ def build_retention(sessions: DataFrame, start: str, end: str, drop_null_uid: bo
     )
     device_days = active_days(sessions.where(near & F.col("pump_device_id").isNotNull()), "pump_device_id")
     counts = _count(user_days, _activity("users") + _cohort()).unionByName(_count(device_days, _activity("devices")))
-    return _assemble(counts, first, last)
+    return _assemble(counts, F.sequence(first, last) if days is None else F.array(*[F.lit(d) for d in days]))
 
 
 def _activity(kind: str) -> list[Column]:
@@ -73,7 +85,7 @@ def _count(day_sets: DataFrame, tags: list[Column]) -> DataFrame:
     return day_sets.select(F.explode(tagged).alias("t")).groupBy("t.what", "t.day").agg(F.count("*").alias("n"))
 
 
-def _assemble(counts: DataFrame, first: Column, last: Column) -> DataFrame:
+def _assemble(counts: DataFrame, base_days: Column) -> DataFrame:
     """Tagged day counts -> one wide row per base_dt; works on a few rows per day."""
     # A base set of day d is the denominator of d+1, d+7 and d+14.
     shift = F.when(
@@ -86,10 +98,10 @@ def _assemble(counts: DataFrame, first: Column, last: Column) -> DataFrame:
     names += [f"d{n}_retained_{kind}" for kind in ("users", "devices") for n in OFFSETS]
     names += ["new_users_base"] + [f"cohort_d{n}" for n in OFFSETS]
     spine = counts.sparkSession.range(1).select(
-        F.explode(F.sequence(first, last)).alias("base_dt"), F.lit("").alias("what"), F.lit(0).cast("bigint").alias("n")
+        F.explode(base_days).alias("base_dt"), F.lit("").alias("what"), F.lit(0).cast("bigint").alias("n")
     )
     wide = (
-        long.where(F.col("base_dt").between(first, last))
+        long.where(F.array_contains(base_days, F.col("base_dt")))
         .unionByName(spine)
         .groupBy("base_dt")
         .agg(*[F.coalesce(F.sum(F.when(F.col("what") == c, F.col("n"))), F.lit(0)).alias(c) for c in names])

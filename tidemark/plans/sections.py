@@ -10,6 +10,7 @@ from tidemark.marts import Marts
 from tidemark.operators import distributions as dist, firmware, kpi, trends
 from tidemark.operators.userflags import UserFilter, dashboard
 
+# The dashboard's sections.
 SECTIONS = ("overview", "retention", "sessions", "duration", "habits", "funnel", "firmware")
 # Fixed value: the funnel trend always shows this many days up to the end.
 FUNNEL_DAYS = 30
@@ -115,5 +116,5 @@ def run_section(
     raise ValueError(f"unknown section: {section}")
 
 
-def run_user_dashboard(marts: Marts, query: str, as_of: str) -> dict[str, DataFrame]:
-    return dashboard(marts.user_flags, UserFilter.from_query(query), as_of)
+def run_user_dashboard(marts: Marts, chosen: UserFilter, as_of: str) -> dict[str, DataFrame]:
+    return dashboard(marts.user_flags, chosen, as_of)

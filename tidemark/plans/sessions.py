@@ -54,7 +54,7 @@ def session_events(events: DataFrame) -> DataFrame:
     """The events that shape a session."""
     name = F.col("eventName")
     return events.where(
-        F.col("useSessionId").isNotNull()
+        (F.col("useSessionId") != "")  # neither null nor empty: an empty id names no session
         & (name.isin(START, END, ADJUST) | ((name == USER) & (F.col("evtType") == "pause")))
     )
 
@@ -148,22 +148,15 @@ def touched_days(events: DataFrame, busi_date: str, late_days: int) -> DataFrame
     return window.where(F.col("evt_dt").isNotNull()).select("evt_dt").distinct()
 
 
-def refold_days(events: DataFrame, days: DataFrame, busi_date: str) -> DataFrame:
-    """The hour rows of the given days from all events reported so far.
-
-    Only the partitions of these event days are read. Events without a time have a partition of
-    their own, which is refolded each time.
-    """
-    known = events.where(F.col("dt") <= F.lit(busi_date).cast("date"))
-    timed = known.join(days, "evt_dt", "left_semi").select(*known.columns)
-    return fold_hours(timed.unionByName(known.where(F.col("evt_dt").isNull())))
+def on_days(df: DataFrame, days: list, column: str = "evt_dt") -> DataFrame:
+    """Rows of the given days, None among them for rows without one; a plain list prunes partitions."""
+    known = F.col(column).isin([d for d in days if d is not None])
+    return df.where(known | F.col(column).isNull() if None in days else known)
 
 
-def affected_start_days(hours: DataFrame, days: DataFrame) -> DataFrame:
-    """The days on which the sessions with events on the given days started (or without a time)."""
-    touched = hours.join(days, "evt_dt", "left_semi").select("useSessionId")
-    timeless = hours.where(F.col("evt_dt").isNull()).select("useSessionId")
-    return _starts(hours).join(touched.unionByName(timeless), "useSessionId", "left_semi").select("evt_dt").distinct()
+def affected_start_days(hours: DataFrame, ids: DataFrame) -> DataFrame:
+    """The days on which the given sessions started."""
+    return _starts(hours).join(ids, "useSessionId", "left_semi").select("evt_dt").distinct()
 
 
 def _starts(hours: DataFrame) -> DataFrame:
@@ -195,7 +188,7 @@ def build_session_modes(events: DataFrame, busi_date: str | None = None, late_da
         (F.col("eventName") == END)
         & F.col("modeDuration").isNotNull()
         & F.col("evt_dt").isNotNull()
-        & F.col("useSessionId").isNotNull()  # part of the table key
+        & (F.col("useSessionId") != "")  # part of the table key
     )
     pairs = F.arrays_zip(
         ef.mode_types(F.col("modeDuration")).alias("mode"), ef.durations(F.col("modeDuration")).alias("sec")

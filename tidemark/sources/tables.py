@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import schemas
@@ -18,6 +19,16 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return df.select(*schemas.column_names(ddl))  # partition columns back in their place
 
 
+def read_or_empty(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One mart, without rows as long as nobody has written it."""
+    try:
+        return read_table(spark, root, name)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schemas.TABLES[name][0])
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,

@@ -18,8 +18,8 @@ def latest_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_rank", F.row_number().over(newest_first)).where("_rank = 1").drop("_rank")
 
 
-def write_days(df: DataFrame, root: str, name: str) -> str:
-    """Overwrite the partitions that occur in ``df`` and leave all others as they are.
+def write_days(df: DataFrame, root: str, name: str, mode: str = "dynamic") -> str:
+    """Overwrite the partitions that occur in ``df`` and leave all others as they are (all go if ``mode`` is static).
 
     REBALANCE gathers each day into right-sized files and splits a day that is far larger than the
     others, which a plain repartition by day would send to one task.
@@ -29,13 +29,44 @@ def write_days(df: DataFrame, root: str, name: str) -> str:
     df = df.select(*schemas.column_names(ddl))
     if partitions:
         df = df.hint("rebalance", *partitions)
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", mode)
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.parquet(path)
     return path
 
 
+def write_report_day(df: DataFrame, root: str, name: str, report_day: str) -> str:
+    """Replace all rows of one report day of a table partitioned by (report day, event day).
+
+    The folder of the report day is overwritten as a whole, so rows that a corrected log no longer has go too.
+    """
+    ddl, (report, event), _ = schemas.TABLES[name]
+    path = f"{table_path(root, name)}/{report}={report_day}"
+    df = df.select(*schemas.column_names(ddl)).drop(report).hint("rebalance", event)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(event).parquet(path)
+    return path
+
+
+def replace_days(df: DataFrame, root: str, name: str, days: list) -> str:
+    """Overwrite the given days of a table partitioned by day, also those for which ``df`` has no rows any more.
+
+    The rows are written to a staging folder first: which days came back empty is then read off its partitions, and
+    the table may be among the sources of ``df``.
+    """
+    ddl, (day,), _ = schemas.TABLES[name]
+    staging = write_days(df, f"{root.rstrip('/')}/_staging", name, "static")
+    spark = df.sparkSession
+    staged = spark.read.schema(ddl).parquet(staging)
+    found = {r[0] for r in staged.select(day).distinct().collect()}  # calendar days
+    path = write_days(staged, root, name)
+    empty = spark.createDataFrame([], ddl).drop(day)
+    for gone in sorted(set(days) - found, key=str):
+        value = "__HIVE_DEFAULT_PARTITION__" if gone is None else gone
+        empty.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/{day}={value}")
+    return path
+
+
 def write_frames(frames: dict[str, DataFrame], root: str, fmt: str = "parquet") -> dict[str, str]:
     """Write each frame of a section to its own folder; returns name -> path."""
     paths = {}
