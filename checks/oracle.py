@@ -286,38 +286,30 @@ Q["m1_event_explode"] = sql(
     FROM dwd""",
     "dwd",
 )
-Q["m2_session_build"] = sql(
-    f"""
+_SESSIONS = f"""
     SELECT evt_dt, sid AS useSessionId, uid, device AS pump_device_id, model AS deviceCode, os, start_time, end_time,
       local_hour, {big('is_weekday')}, sec AS total_duration_sec, {rdiv('sec', '60', 2)} AS total_duration_min,
       {big('is_complete', 'is_valid')}, final_mode AS finalModeType, final_level AS finalSuctionLevel,
       end_reason AS endReason, {big('used_modes:usedModeCount', 'mode_adj:mode_adj_cnt')}, path AS mode_adj_path,
       {big('level_adj:level_adj_cnt', 'level_up:level_up_cnt', 'level_down:level_down_cnt', 'pauses:pause_cnt',
            'app_ops:app_op_cnt', 'manual_ops:manual_op_cnt')}
-    FROM sess""",
-    "sess",
-)
+    FROM sess"""
+# All events of a test session are reported on the day of its start event.
+_REPORTED = "SELECT CAST(event_id AS VARCHAR) FROM dwd WHERE n = 2 AND dt"
+Q["m2_session_build"] = sql(_SESSIONS, "sess")
 # The window 2024-01-21..2024-01-28 of report days: late rows of older event days take part too.
 Q["m2_session_window"] = sql(
-    """
-    WITH w AS (SELECT * FROM dwd WHERE dt BETWEEN DATE '2024-01-21' AND DATE '2024-01-28')
-    SELECT s.d AS evt_dt, CAST(s.event_id AS VARCHAR) AS useSessionId, s.uid,
-      CAST(CASE WHEN e.event_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS is_complete,
-      e.dur AS total_duration_sec,
-      CAST((SELECT count(*) FROM w WHERE w.event_id = s.event_id AND type = 'pump_mode') AS BIGINT) AS mode_adj_cnt,
-      CAST((SELECT count(*) FROM w WHERE w.event_id = s.event_id AND type = 'suction_level') AS BIGINT) AS level_adj_cnt,
-      CAST((SELECT count(*) FROM w WHERE w.event_id = s.event_id AND type = 'pause') AS BIGINT) AS pause_cnt
-    FROM w s LEFT JOIN w e ON e.event_id = s.event_id AND e.n = 90 WHERE s.n = 2""",
-    "dwd",
+    f"{_SESSIONS} WHERE sid IN ({_REPORTED} BETWEEN DATE '2024-01-21' AND DATE '2024-01-28')", "sess", "dwd"
 )
 Q["m2_touched_rebuild"] = sql(
-    """
-    WITH w AS (SELECT DISTINCT d FROM dwd WHERE n = 2 AND dt BETWEEN DATE '2024-01-26' AND DATE '2024-01-28')
-    SELECT s.d AS evt_dt, CAST(s.event_id AS VARCHAR) AS useSessionId, s.uid, s.dur AS total_duration_sec,
-      CAST(k % 4 AS BIGINT) AS mode_adj_cnt, CAST(k % 5 AS BIGINT) AS pause_cnt
-    FROM dwd s WHERE s.n = 2 AND s.dt <= DATE '2024-01-28' AND s.d IN (SELECT d FROM w)""",
+    f"""{_SESSIONS} WHERE sid IN ({_REPORTED} <= DATE '2024-01-28')
+    AND evt_dt IN (SELECT d FROM dwd WHERE n = 2 AND dt BETWEEN DATE '2024-01-26' AND DATE '2024-01-28')""",
+    "sess",
     "dwd",
 )
+Q["w2_chain_two_runs"] = sql(
+    f"{_SESSIONS} WHERE sid IN ({_REPORTED} BETWEEN DATE '2024-01-27' AND DATE '2024-01-28')", "sess", "dwd"
+)
 _MODES = f"""
     SELECT evt_dt, sid AS useSessionId, uid, device AS pump_device_id, model AS deviceCode, mode_type AS modeType,
       {big('sec:duration_sec')}, {rdiv('sec', '60', 2)} AS duration_min FROM modes"""
@@ -368,6 +360,8 @@ def _retention(where: str) -> str:
 
 Q["m5_retention"] = _retention("TRUE")
 Q["m_chain_from_raw_log"] = Q["m5_retention"]
+Q["m_chain_daily_from_raw_log"] = Q["m4_daily"]
+Q["m_chain_modes_from_raw_log"] = Q["m3_session_modes"]
 Q["w3_retention_backfill"] = _retention(f"base_dt > {LAST} - 15")
 Q["w1_latest_by_key"] = sql(
     "SELECT id, dt, CASE WHEN id % 3 = 0 THEN 'resent' ELSE name END AS eventName FROM dwd", "dwd"

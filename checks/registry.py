@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -19,10 +21,11 @@ from checks.params import (
     USER_QUERY_COUNTRIES,
     USER_QUERY_SOURCES,
 )
-from checks.store import RETENTION_RANGE, TestMarts
+from checks.store import RETENTION_RANGE, TestMarts, shared_folder
 from tidemark.functions.labels import STATUS_CODES, region_name, relabel
 from tidemark.operators import distributions as dist, firmware, kpi, shaping, trends, userflags
 from tidemark.operators.userflags import UserFilter
+from tidemark.plans.chain import run_chain
 from tidemark.plans.daily import build_daily, cumulative
 from tidemark.plans.events import explode_events
 from tidemark.plans.retention import build_retention
@@ -35,6 +38,7 @@ from tidemark.plans.sessions import (
     rebuild_start_days,
     touched_days,
 )
+from tidemark.sources.tables import read_table
 from tidemark.sources.writers import latest_by_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,9 +83,7 @@ def _touched(m: TestMarts) -> DataFrame:
     known = m.events.where(F.col("dt") <= F.lit(END).cast("date"))
     hours = fold_hours(known)
     ids = hours.join(touched_days(m.events, END, 2), "evt_dt", "left_semi").select("useSessionId")
-    return rebuild_start_days(hours, affected_start_days(hours, ids)).select(
-        "evt_dt", "useSessionId", "uid", "total_duration_sec", "mode_adj_cnt", "pause_cnt"
-    )
+    return rebuild_start_days(hours, affected_start_days(hours, ids))
 
 
 def _chain(m: TestMarts) -> DataFrame:
@@ -90,14 +92,25 @@ def _chain(m: TestMarts) -> DataFrame:
     return build_retention(build_sessions(explode_events(raw), "2024-02-07", 40), *RETENTION_RANGE)
 
 
+def _chain_daily(m: TestMarts) -> DataFrame:
+    """Raw log to the daily table, all columns, nothing written in between."""
+    events = explode_events(testmap.raw_log(m.spark, m.sf_dir))
+    return build_daily(build_sessions(events, "2024-02-07", 40), events, "2024-02-07", 40)
+
+
+def _two_runs(m: TestMarts) -> DataFrame:
+    """Sessions after the nightly job of two report days, the first of them run again on a corrected log."""
+    root = f"{shared_folder(m.spark).rstrip('/')}/tidemark-chain-{uuid.uuid4().hex}"
+    raw = m.raw.where(F.col("dt").isin(date(2024, 1, 27), date(2024, 1, 28)))
+    run_chain(m.spark, raw.where("id % 3 = 0"), root, "2024-01-27")
+    run_chain(m.spark, raw, root, "2024-01-28")
+    run_chain(m.spark, raw, root, "2024-01-27")
+    return read_table(m.spark, root, "sessions")
+
+
 query("m1_event_explode", lambda m: explode_events(m.raw).drop("content", "extraData"))
 query("m2_session_build", lambda m: build_sessions(m.events, "2024-02-07", 40))
-query(
-    "m2_session_window",
-    lambda m: build_sessions(m.events, END, 7).select(
-        "evt_dt", "useSessionId", "uid", "is_complete", "total_duration_sec", "mode_adj_cnt", "level_adj_cnt", "pause_cnt"
-    ),
-)
+query("m2_session_window", lambda m: build_sessions(m.events, END, 7))
 query("m2_touched_rebuild", _touched)
 query("m3_session_modes", lambda m: build_session_modes(m.events, "2024-02-07", 40))
 query("m4_daily", lambda m: build_daily(m.sessions, m.events, "2024-02-07", 40))
@@ -105,7 +118,10 @@ query("m4_daily_power_by_model", lambda m: build_daily(m.sessions, m.events, "20
 query("m4_cumulative", lambda m: cumulative(m.sessions))
 query("m5_retention", lambda m: build_retention(m.sessions, *RETENTION_RANGE))
 query("m_chain_from_raw_log", _chain)
+query("m_chain_daily_from_raw_log", _chain_daily)
+query("m_chain_modes_from_raw_log", lambda m: build_session_modes(explode_events(testmap.raw_log(m.spark, m.sf_dir))))
 query("w1_latest_by_key", _resent)
+query("w2_chain_two_runs", _two_runs)
 query("w3_retention_backfill", lambda m: build_retention(m.sessions, "2024-01-16", "2024-01-30"))
 
 # ---- KPIs -----------------------------------------------------------------------------------------

@@ -47,9 +47,10 @@ def run_chain(
     now = events.where(F.col("dt") == last)
     days = sorted(days | _days(_counted(now)), key=str)
     ids = spark.read.schema("useSessionId string").parquet(ids_path).union(session_events(now).select("useSessionId"))
-    known = events.where(F.col("dt") <= last)
+    # An old report day may be run again after newer ones: all that is reported counts, up to the newest report day.
+    newest = events.agg(F.max("dt")).first()[0] or last
 
-    replace_days(fold_hours(on_days(known, days)), root, "session_hours", days)
+    replace_days(fold_hours(on_days(events, days)), root, "session_hours", days)
     hours = read_table(spark, root, "session_hours")
     starts = sorted(_days(affected_start_days(hours, ids.distinct())) | {d for d in days if d is not None})
     start_days = spark.createDataFrame([(d,) for d in starts], "evt_dt date")
@@ -57,19 +58,19 @@ def run_chain(
     users_before = on_days(read_or_empty(spark, root, "sessions"), starts).select("uid").distinct()
     users_before.write.mode("overwrite").parquet(users_path)
     replace_days(rebuild_start_days(hours, start_days), root, "sessions", starts)
-    replace_days(build_session_modes(on_days(known, days)), root, "session_modes", [d for d in days if d is not None])
+    replace_days(build_session_modes(on_days(events, days)), root, "session_modes", [d for d in days if d is not None])
 
     sessions = read_table(spark, root, "sessions")
     oldest = min([last, *starts])
-    daily = build_daily(sessions, events, busi_date, 0, power_on_by_model, full_days_from=oldest.isoformat())
+    daily = build_daily(sessions, events, newest.isoformat(), 0, power_on_by_model, full_days_from=oldest.isoformat())
     replace_days(daily, root, "daily", starts)
 
     # A user's first day moves from or to a changed day; its other end is the user's first day among the rest.
     users = on_days(sessions, starts).select("uid").union(spark.read.schema("uid string").parquet(users_path)).distinct()
     rest = sessions.where(~F.col("evt_dt").isin(starts)).join(users, "uid", "left_semi")
     moved = rest.groupBy("uid").agg(F.min("evt_dt").alias("evt_dt"))
-    bases = affected_days([last, *starts], sorted(_days(moved)), last)
-    write_days(build_retention(sessions, bases[0].isoformat(), busi_date, days=bases), root, "retention")
+    bases = affected_days([last, *starts], sorted(_days(moved)), newest)
+    write_days(build_retention(sessions, bases[0].isoformat(), newest.isoformat(), days=bases), root, "retention")
 
 
 def _counted(events: DataFrame) -> DataFrame:
