@@ -150,11 +150,12 @@ def repeated_spans(rows: DataFrame, shared: DataFrame, tables: WorkTables, windo
     stands for all, and only where an owner has several different segments are those first ones taken apart into
     their windows, which are compared one by one. Every distinct text thus gives its windows at most once.
     """
-    whole = shared.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"))
+    # Written on their own, so that the joins below read plain shuffles and an owner or a segment that is met very often is
+    # split over several tasks.
+    whole = tables.write("whole", shared.groupBy("anchor", "content").agg(F.min("doc_id").alias("first")))
     contents = whole.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high"))
-    # Written on its own, so that the join below reads plain shuffles and an owner with many segments is split.
     branching = tables.write("branching", contents.where("low < high").select("anchor", F.lit(True).alias("branches")))
-    classes = whole.join(branching, "anchor", "left")
+    classes = tables.write("classes", whole.join(branching, "anchor", "left"))
     judged = tables.write("judged", shared.join(classes, ["anchor", "content"]).drop("anchor", "content"))
     copies = judged.where(F.col("first") < F.col("doc_id"))
     wanted = judged.where((F.col("first") == F.col("doc_id")) & F.col("branches"))
