@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach: ``spark.checkpoint.dir``; set to a new local one only where it is unset."""
+    """The folder all executors reach: ``spark.checkpoint.dir``; a local session that has none gets a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="tidemark-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
