@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import bound_batches, row_slices, text_bytes
+from tidemark.llm.common import WorkTables, bound_batches, row_slices, text_bytes
 
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # How the public vocabulary splits texts before merging, a fixed value.
@@ -73,6 +73,8 @@ def histogram(docs: DataFrame, ranks_file: str = RANKS_FILE, by: tuple[str, ...]
     named in ``by`` may hold nulls, which form one group; other columns are not read.
     """
     counts = lengths(docs, ranks_file, by).groupBy(*by, "length").agg(F.count(F.lit(1)).alias("n_docs"))
+    # Bucket sums and suffix sums both read it; the texts are encoded once.
+    counts = WorkTables(docs.sparkSession, "lengths").write("counts", counts)
     counts = counts.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("bucket", F.floor(F.col("length") / BUCKET))
     return suffix_sums(counts, by)
 
