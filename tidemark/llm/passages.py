@@ -72,7 +72,8 @@ class Windows:
             return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
         places = np.arange(total - self.anchor + 1)
         runs = self.hashes(0, places, places + self.anchor)
-        low = np.uint64((1 << max(1, total.bit_length())) - 1)
+        # As many bits for the place whatever the batch: which runs tie depends on their words alone.
+        low = np.uint64((1 << 32) - 1)
         owner = (_sliding_min((runs & ~low) | places.astype(np.uint64), width) & low).astype(np.int64)
         doc = np.repeat(np.arange(len(self.sizes)), np.maximum(self.sizes - self.window + 1, 0))
         first = np.maximum(self.sizes - self.window + 1, 0)
