@@ -95,26 +95,23 @@ def version_distribution(
 def zero_filled(trend: DataFrame, as_of: str, days: int = TREND_DAYS) -> DataFrame:
     """Date x version matrix in long form, 0 where a version has no device on a day.
 
-    Keeps the last 30 days, or everything when nothing falls into them. Works on trend rows: each
-    date's counts become one map, which is then read for every version of the whole frame.
+    Keeps the last 30 days, or everything when nothing falls into them; that and the dates are decided on all
+    rows of the trend, also those without a version. ``trend`` itself is the sparse form. Only dates, of which there are
+    no more than calendar days, are gathered; versions stay rows, and counts are joined to them.
     """
-    rows = trend.where(F.col("version").isNotNull() & ~F.trim("version").isin("", "null"))
-    everything = Window.partitionBy()
-    recent = F.col("create_date") >= F.date_sub(F.lit(as_of).cast("date"), days)
-    rows = rows.withColumn("recent", recent).withColumn("any_recent", F.max("recent").over(everything))
-    rows = rows.where(F.col("recent") | ~F.col("any_recent"))
+    since = F.date_sub(F.lit(as_of).cast("date"), days)
+    newest = trend.agg(F.max("create_date")).scalar()
+    rows = trend.where((F.col("create_date") >= since) | (newest < since))
+    dates = rows.agg(F.collect_set("create_date")).scalar()
     # Versions that differ in outer blanks only are the same; the last one counts.
-    rows = rows.groupBy("create_date", F.trim("version").alias("v")).agg(F.max_by("devices", "version").alias("n"))
-    per_date = rows.groupBy("create_date").agg(
-        F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("counts")
+    named = rows.where(F.col("version").isNotNull() & ~F.trim("version").isin("", "null"))
+    counts = named.groupBy("create_date", F.trim("version").alias("version")).agg(F.max_by("devices", "version").alias("devices"))
+    spine = counts.select("version").distinct().withColumn("create_date", F.explode(dates))
+    return (
+        spine.join(counts, ["create_date", "version"], "left")
+        .select("create_date", "version", F.coalesce("devices", F.lit(0)).alias("devices"))
+        .orderBy("create_date", *version_order(F.col("version")))
     )
-    versions = F.array_distinct(F.flatten(F.collect_list(F.map_keys("counts")).over(everything)))
-    filled = per_date.withColumn("versions", versions).withColumn("version", F.explode("versions"))
-    return filled.select(
-        "create_date",
-        "version",
-        F.coalesce(F.try_element_at("counts", F.col("version")), F.lit(0)).alias("devices"),
-    ).orderBy("create_date", *version_order(F.col("version")))
 
 
 def device_details(

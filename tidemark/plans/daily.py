@@ -58,19 +58,16 @@ def _new_ids(sessions: DataFrame) -> DataFrame:
 def _new_sessions(sessions: DataFrame) -> DataFrame:
     """The same for session ids, which may recur on another day but hardly ever do.
 
-    All sightings of an id fit in one row (at most days x models entries, mostly one), so session
-    ids cross the network once.
+    Dealt by id once, which serves the minimum per model and the one over all models. A day holds a session id
+    once, so even a damaged id has no more rows than there are days.
     """
-    seen = sessions.groupBy("useSessionId").agg(
-        F.collect_set(F.struct(F.col("evt_dt").alias("day"), F.col("deviceCode").alias("model"))).alias("seen")
-    )
-    first = F.array_min("seen")
-    rows = seen.select(first.alias("first"), F.explode("seen").alias("s"), "seen").where(
-        ~F.exists("seen", lambda o: o["model"].eqNullSafe(F.col("s.model")) & (o["day"] < F.col("s.day")))
-    )
-    return rows.groupBy(F.col("s.day").alias("evt_dt"), F.col("s.model").alias("deviceCode")).agg(
+    dealt = sessions.select("useSessionId", "deviceCode", "evt_dt").repartition("useSessionId")
+    firsts = dealt.groupBy("useSessionId", "deviceCode").agg(F.min("evt_dt").alias("day"))
+    order = Window.partitionBy("useSessionId").orderBy("day", "deviceCode")  # at most one row per model
+    rows = firsts.withColumn("is_one", F.row_number().over(order) == 1)
+    return rows.groupBy(F.col("day").alias("evt_dt"), "deviceCode").agg(
         F.count("*").alias("model_sessions"),
-        F.count_if(F.col("s") == F.col("first")).alias("any_sessions"),
+        F.count_if("is_one").alias("any_sessions"),
     )
 
 
