@@ -6,6 +6,8 @@ the Spark jobs compute them. Rates are rounded in whole-number arithmetic.
 
 from __future__ import annotations
 
+import re
+
 from checks.params import (
     AS_OF_DEVICES,
     AS_OF_USERS,
@@ -937,17 +939,18 @@ Q["f3_filter_options"] = sql(
       FROM (SELECT DISTINCT version AS value FROM dev WHERE version IS NOT NULL)""",
     "dev",
 )
-for _key, _where in (
-    ("f4_versions_bound", "status = 2"),
-    ("f4_versions_unbound_filtered", "status = 1 AND source = 'AP' AND model = 'view'"),
-):
-    Q[_key] = sql(
+def _versions(where: str) -> str:
+    return sql(
         f"""SELECT version, c AS devices, {rdiv('c * 100', 'sum(c) OVER ()', 1)} AS pct FROM (
-        SELECT version, count(*) AS c FROM dev WHERE version IS NOT NULL AND {_where} GROUP BY 1)""",
+        SELECT version, count(*) AS c FROM dev WHERE version IS NOT NULL AND {where} GROUP BY 1)""",
         "dev",
     )
 
 
+Q["f4_versions_bound"] = _versions("status = 2")
+Q["f4_versions_unbound_filtered"] = _versions("status = 1 AND source = 'AP' AND model = 'view'")
+
+
 def _matrix(trend: str) -> str:
     return sql(
         f"""
@@ -1003,27 +1006,32 @@ Q["j3_number_bars"] = sql(
     "modes",
 )
 
-# ---- sections: rows per frame ---------------------------------------------------------------------
+# ---- sections: every row of every frame, as text ---------------------------------------------------------------------
 
+_PER_USER = "total_sessions, avg_sessions_per_user"
 _FRAMES = {
     "overview": {
-        "kpi01": None, "kpi01_extra": None, "kpi_yesterday": None, "active_trend": "t1_active_trend",
+        "kpi01": f"SELECT total_users, total_devices, {_PER_USER} FROM @k1_overview_totals@",
+        "kpi01_extra": "SELECT total_duration_hours, avg_duration_min, devices_per_user, valid_session_rate_pct,"
+        " d1_user_ret AS d1_retention_pct FROM @k1_overview_totals@ CROSS JOIN @k3_mean_d1_retention@",
+        "kpi_yesterday": "k5_yesterday_card", "active_trend": "t1_active_trend",
         "session_trend": "t2_session_trend", "final_modes": "b1_final_modes", "suction_levels": "b2_suction_levels",
         "top_hours": "b3_top_hours",
     },
     "retention": {
-        "summary": None, "user_retention": "t6_user_retention_trend", "device_retention": "t7_device_retention_trend",
+        "summary": "k6_retention_summary", "user_retention": "t6_user_retention_trend", "device_retention": "t7_device_retention_trend",
         "newcomers": "t5_newcomer_trend", "streaks": "b4_streaks", "weekly_cohorts": "b20_weekly_cohorts",
     },
     "sessions": {
-        "kpi01": None, "summary": None, "kpi_yesterday": None, "session_trend": "t2_session_trend",
+        "kpi01": f"SELECT {_PER_USER} FROM @k1_overview_totals@",
+        "summary": "k7_sessions_summary", "kpi_yesterday": "k8_sessions_yesterday", "session_trend": "t2_session_trend",
         "sessions_per_user": "t4_sessions_per_user_trend", "user_day_buckets": "b5_user_day_buckets",
         "user_day_bucket_trend": "t14_user_day_bucket_trend", "user_totals": "b6_user_totals",
         "device_totals": "b7_device_totals", "mode_sessions": "b9_mode_sessions",
         "mode_session_trend": "t15_mode_session_trend", "mode_sessions_per_user": "b11_mode_sessions_per_user",
     },
     "duration": {
-        "summary": None, "kpi_yesterday": None, "hours_trend": "t8_hours_trend",
+        "summary": "k9_duration_summary", "kpi_yesterday": "k10_duration_yesterday", "hours_trend": "t8_hours_trend",
         "minutes_per_user": "t9_minutes_per_user_trend", "duration_buckets": "b8_duration_buckets",
         "mean_duration": "t10_mean_duration_trend", "cumulative_hours": "t11_cumulative_hours_trend",
         "mode_minutes": "b10_mode_minutes", "mode_minutes_trend": "t16_mode_minutes_trend",
@@ -1033,31 +1041,34 @@ _FRAMES = {
         "hours_by_day_type": "b13_hours_by_day_type", "mode_by_level": "b14_mode_by_level",
         "modes_used": "b15_modes_used", "mode_transitions": "b16_mode_transitions",
         "level_directions": "b17_level_directions",
-        "level_adjusts": "SELECT * FROM (b18_adjusts_per_session) WHERE kind = 'level'",
-        "mode_adjusts": "SELECT * FROM (b18_adjusts_per_session) WHERE kind = 'mode'",
-        "adjust_summary": None, "pause_stats": "k12_pause_stats", "event_sources": "b19_event_sources",
+        "level_adjusts": "SELECT * EXCLUDE (kind) FROM @b18_adjusts_per_session@ WHERE kind = 'level'",
+        "mode_adjusts": "SELECT * EXCLUDE (kind) FROM @b18_adjusts_per_session@ WHERE kind = 'mode'",
+        "adjust_summary": "k11_adjust_summary", "pause_stats": "k12_pause_stats", "event_sources": "b19_event_sources",
     },
     "funnel": {
-        "kpi02": None, "funnel": None, "funnel_trend": "t12_funnel_trend", "funnel_rate_trend": "t13_funnel_rate_trend",
+        "kpi02": "k2_funnel_totals", "funnel": "k13_funnel_rates", "funnel_trend": "t12_funnel_trend", "funnel_rate_trend": "t13_funnel_rate_trend",
     },
     "firmware": {
-        "bound": "f4_versions_bound", "unbound": "SELECT DISTINCT version FROM (f7_version_domain)",
+        "bound": "f4_versions_bound", "unbound": _versions("status = 1"),
         "trend": "f1_version_trend", "detail": "f6_device_details",
     },
 }
 
 
+# Numbers get six decimals in both engines; whatever else a value is, it stays as it is written.
+_VALUE = "CASE WHEN regexp_full_match(value, '-?[0-9]+([.][0-9]+)?(E-?[0-9]+)?') THEN printf('%.6f', CAST(value AS DOUBLE)) ELSE coalesce(value, 'null') END"
+
+
 def _section(frames: dict) -> str:
     rows = []
-    for name, key in frames.items():
-        if key is None:
-            count = "1"
-        elif key in Q:
-            count = f"(SELECT count(*) FROM ({Q[key]}))"
-        else:
-            inner = key[key.index("(") + 1 : key.index(")")]
-            count = f"(SELECT count(*) FROM ({key.replace(inner, Q[inner])}))"
-        rows.append(f"SELECT '{name}' AS frame, CAST({count} AS BIGINT) AS n_rows")
+    for name, text in frames.items():
+        text = re.sub("@([a-z0-9_]+)@", lambda m: f"({Q[m[1]]})", Q.get(text, text))
+        rows.append(
+            f"""SELECT '{name}' AS frame, string_agg(field || '=' || {_VALUE}, ', ' ORDER BY field) AS row
+            FROM (SELECT rid, CAST(COLUMNS(* EXCLUDE (rid)) AS VARCHAR) FROM (SELECT row_number() OVER () AS rid, * FROM ({text})))
+            UNPIVOT INCLUDE NULLS (value FOR field IN (COLUMNS(* EXCLUDE (rid))))
+            GROUP BY rid"""
+        )
     return " UNION ALL ".join(rows)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -301,7 +302,7 @@ query(
     lambda m: shaping.number_bars(dist.mode_minutes(m.marts("session_modes"), *SPAN), "duration_min", [F.desc("duration_min")]),
 )
 
-# ---- sections: rows per frame ---------------------------------------------------------------------
+# ---- sections: every row of every frame, as text ---------------------------------------------------------------------
 
 SECTION_TABLES = {
     "overview": "daily retention sessions",
@@ -314,17 +315,23 @@ SECTION_TABLES = {
 }
 
 
+NUMBER = "^-?[0-9]+([.][0-9]+)?(E-?[0-9]+)?$"
+
+
+def _as_text(frame: str, df: DataFrame) -> DataFrame:
+    """Rows as ``column=value`` texts, columns by name and numbers with six decimals."""
+    parts = []
+    for name in sorted(df.columns):
+        text = F.col(f"`{name}`").cast("string")
+        number = F.format_string("%.6f", F.when(text.rlike(NUMBER), text.try_cast("double")))
+        parts.append(F.concat(F.lit(f"{name}="), F.when(text.rlike(NUMBER), number).otherwise(F.coalesce(text, F.lit("null")))))
+    return df.select(F.lit(frame).alias("frame"), F.concat_ws(", ", *parts).alias("row"))
+
+
 def _section(name: str) -> Callable[[TestMarts], DataFrame]:
     def build(m: TestMarts) -> DataFrame:
         frames = run_section(m.marts(*SECTION_TABLES[name].split()), name, *SPAN, as_of=AS_OF_DEVICES)
-        counts = [
-            df.agg(F.count("*").alias("n_rows")).select(F.lit(frame).alias("frame"), "n_rows")
-            for frame, df in frames.items()
-        ]
-        out = counts[0]
-        for df in counts[1:]:
-            out = out.unionByName(df)
-        return out
+        return reduce(DataFrame.unionByName, [_as_text(frame, plain(df)) for frame, df in frames.items()])
 
     return build
 
