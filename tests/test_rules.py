@@ -339,3 +339,9 @@ def test_shaping(spark):
     zero = spark.createDataFrame([("a", 0.0), ("b", None)], "l string, p double")
     assert [r["pct"] for r in shaping.shares(zero, "p").collect()] == [0.0, 0.0]
     assert [r["bar_width"] for r in shaping.number_bars(zero, "p", ["l"]).collect()] == [0, 0]
+
+
+def test_zero_filled_dates_without_version(spark):
+    trend = spark.createDataFrame([(D("2024-01-20"), "1", 3), (D("2024-01-21"), None, 2)], "create_date date, version string, devices long")
+    got = [(r[0].day, r[1], r[2]) for r in firmware.zero_filled(trend, "2024-01-25").collect()]
+    assert got == [(20, "1", 3), (21, "1", 0)]
