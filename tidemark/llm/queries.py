@@ -7,7 +7,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_windows, debruijn, line_crf, mixing, phrase_index, repetition, simhash, sparse_suffix, token_counts, url_rules
+from tidemark.llm import (
+    bpe_transducer,
+    chat_windows,
+    debruijn,
+    line_crf,
+    mixing,
+    periodic_runs,
+    phrase_index,
+    repetition,
+    simhash,
+    sparse_suffix,
+    token_alignment,
+    token_counts,
+    url_rules,
+)
+from tidemark.llm.common import WorkTables
 from tidemark.llm.oracles import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -96,6 +111,61 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"), url_rules.rules_table(spark, rules))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    aligned = token_alignment.align(_table(spark, sf_dir, "documents"), *files)
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("")
+    rows = aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_overlaps", "n_shared", digest.alias("groups_sha256"), "pairs")
+    return token_alignment.scored(WorkTables(spark, "alignment").write("aligned", rows))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe_transducer.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    decoded = bpe_transducer.decode(encoded, ranks)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document by hash goes on with its words from some place on in a circle."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    rows = rows.withColumns({"g": F.floor(F.col("h") / 10), "n": F.size("w")})
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    circle = F.expr("transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)]))")
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(circle, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(_with_planted_runs(_table(spark, sf_dir, "documents")))
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period")))
+    best = F.array_min(order)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    length, period = -F.col("best.shorter"), F.col("best.period")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -107,4 +177,7 @@ QUERIES = {
     "op8_sparse_suffix": op8_sparse_suffix,
     "op9_line_crf": op9_line_crf,
     "op10_url_rules": op10_url_rules,
+    "op11_alignment": op11_alignment,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
