@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -42,12 +43,21 @@ def encoders():
     return token_alignment.Encoders(A_FILE, B_FILE)
 
 
+@lru_cache
+def a_library():
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(A_FILE)
+    found.encode_special_tokens = True
+    return found
+
+
 def plain_alignment(encoders, text):
     """(a ids, b ids, groups, overlaps, shared, end links) by comparing everything with everything."""
     none = [], [], [], 0, 0, []
     if not text:
         return none
-    a = encoders.a.encode(" " + text, add_special_tokens=False).ids
+    a = a_library().encode(" " + text, add_special_tokens=False).ids
     b = encoders.b.encode(text)
     data = (" " + text).encode()
     spelled = [encoders.b.id_to_piece(i) for i in b]
@@ -55,13 +65,16 @@ def plain_alignment(encoders, text):
     if b"".join(b_data) != data or b"".join(encoders.a_bytes[i] for i in a) != data:
         return none
     a_ends, b_ends = (np.cumsum([len(x) for x in xs]).tolist() for xs in ([encoders.a_bytes[i] for i in a], b_data))
-    groups, start = [], 0
+    groups = []
+    i = j = 0
     for cut in sorted(set(a_ends) & set(b_ends)):
-        groups.append(([i for i, e in zip(a, a_ends) if start < e <= cut], [i for i, e in zip(b, b_ends) if start < e <= cut]))
-        start = cut
-    spans = [list(zip([0, *ends], ends)) for ends in (a_ends, b_ends)]
-    overlaps = sum(max(p, q) < min(e, f) for p, e in spans[0] for q, f in spans[1])
-    links = [(x, y) for x, e in zip(a, a_ends) for y, f in zip(b, b_ends) if e == f]
+        to_i, to_j = a_ends.index(cut, i) + 1, b_ends.index(cut, j) + 1
+        groups.append((a[i:to_i], b[j:to_j]))
+        i, j = to_i, to_j
+    owners = [[i for i, (p, e) in enumerate(zip([0, *ends], ends)) for _ in range(e - p)] for ends in (a_ends, b_ends)]
+    overlaps = len(set(zip(*owners)))  # byte by byte
+    ending = dict(zip(b_ends, b))
+    links = [(x, ending[e]) for x, e in zip(a, a_ends) if e in ending]
     return a, b, groups, overlaps, sum(len(x) * len(y) for x, y in groups), links
 
 
@@ -119,6 +132,13 @@ def test_chunks_change_nothing(texts, size):
         assert Counter({(p["a"], p["b"]): p["n"] for p in columns[6][doc]}) == Counter(links)
 
 
+def test_long_blanks_take_the_other_library(encoders):
+    for n in (998, 999, 1000, 1001, 3000):
+        for text in ("a" + " " * n + "b", "\n" * n, " \t" * (n // 2) + "c"):
+            assert encoders.encode([text])[0] == [encoders.with_blanks(" " + text)] == [encoders.a.encode_ordinary(" " + text)]
+    assert len(encoders.encode([" " * 1_500_000 + "x"])[0][0]) == 1_500_001
+
+
 def test_products_against_dense_matrices():
     rng = np.random.default_rng(3)
     for _ in range(30):
@@ -182,16 +202,17 @@ def test_transducer_equals_merging(text):
 
 def test_few_states_and_bounded_lookahead(spark):
     ranks = bpe_transducer.read_ranks(RANKS)
-    small, large = bpe_transducer.Transducer(ranks, max_states=50), bpe_transducer._transducer(RANKS)
+    small, large = bpe_transducer.Transducer(ranks, max_states=50, max_pieces=20), bpe_transducer._transducer(RANKS)
     longest = max(map(len, ranks))
     for _, text in documents(spark)[:40]:
-        pieces = [m[0].encode() for m in bpe_transducer._pattern(public_tokenizers.PATTERN).finditer(text or "")]
+        pieces = [m[0] for m in bpe_transducer._pattern(public_tokenizers.PATTERN).finditer(text or "")]
         assert small.encode(pieces) == large.encode(pieces)
-        assert len(small.states) <= 51
-    state = large.start
+        assert len(small.ways) <= 51 and max(len(small.pieces), len(small.older)) <= 20
+        assert [i for p in pieces for i in large.run(p.encode())] == large.encode(pieces)
+    at = 0
     for byte in b"abracadabra" * 200:
-        state, _ = state[byte]
-        assert all(len(rest) < longest and sum(len(large.tokens[t]) for t in held) <= longest for _, held, rest in state.ways)
+        at, _ = large.move(at, byte)
+        assert all(len(rest) < longest and sum(len(large.tokens[t]) for t in held) <= longest for _, held, rest in large.ways[at >> 8])
 
 
 def test_a_vocabulary_the_method_does_not_fit_is_refused():

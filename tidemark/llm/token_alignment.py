@@ -9,7 +9,7 @@ matrices stay small however long a text is, and the parts put together are the e
 
 from __future__ import annotations
 
-import os
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +27,9 @@ from tidemark.llm.common import bound_batches, row_slices, text_bytes
 CHUNK_CHARS = 16_000
 PASS_CHARS = 500_000
 CUT = re.compile(r"(?<=\S) (?=\S)")
+# How the file's vocabulary splits texts before merging, a fixed value.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG_BLANKS = re.compile(r"\s{1000}")
 PAIR = "struct<a: int, b: int, n: bigint>"
 
 
@@ -84,36 +87,50 @@ def product(a: Rows, b: Rows, limit: int = 2_000_000) -> Iterator[tuple[np.ndarr
 
 
 class Encoders:
-    """Both vocabularies: A from a tokenizer file that writes bytes as printable characters, B from a piece model."""
+    """Both vocabularies: A from the vocabulary and merges of a tokenizer file, by bytes; B from a piece model."""
 
     def __init__(self, a_file: str, b_file: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work out
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(a_file)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
+        self.a_file, self.a_slow = a_file, None
+        with open(a_file, encoding="utf-8") as file:
+            parts = json.load(file)
+        vocabulary, merges = parts["model"]["vocab"], parts["model"]["merges"]
         # Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in plain}
-        byte_of.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in byte_of.values())})
-        self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
-        for token, i in self.a.get_vocab(with_added_tokens=True).items():
-            self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        byte_of = {chr(b): b for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+        byte_of.update({chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(byte_of.values())))})
+        special = {t["content"] for t in parts["added_tokens"]}
+        self.a_bytes = [b""] * (1 + max(vocabulary.values()))
+        for token, i in vocabulary.items():
+            self.a_bytes[i] = token.encode() if token in special else bytes(byte_of[c] for c in token)
+        joined = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        if joined != sorted(joined):
+            raise ValueError("ids do not follow the order of the merges")
+        ranks = {self.a_bytes[i]: i for token, i in vocabulary.items() if token not in special}
+        self.a = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece goes on after a blank, texts cannot be cut there")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in ts], np.int64) for ts in (self.a_bytes, self.b_bytes))
         # Texts of ids with what follows them: "," within a group's side, "|" after side A, ";" after side B.
-        self.a_texts, self.b_texts = ([f"{i}{c}" for c in seps for i in range(len(ts))] for ts, seps in ((self.a_bytes, ",|"), (self.b_bytes, ",;")))
-        self.texts = np.array(self.a_texts + self.b_texts, object)
+        self.texts = np.array([f"{i}{c}" for ts, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for c in ends for i in range(len(ts))], object)
 
     def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
+        a = [self.a.encode_ordinary(" " + c) if LONG_BLANKS.search(c) is None else self.with_blanks(" " + c) for c in chunks]
         return a, self.b.encode(chunks, num_threads=1) if chunks else []
 
+    def with_blanks(self, chunk: str) -> list[int]:
+        """The same ids by the library of the file itself: slower, but it takes a million blanks in a row."""
+        if self.a_slow is None:
+            from tokenizers import Tokenizer
+
+            self.a_slow = Tokenizer.from_file(self.a_file)
+            self.a_slow.encode_special_tokens = True
+        return self.a_slow.encode(chunk, add_special_tokens=False).ids
+
     def whole(self, chunk: str, a: list[int], b: list[int]) -> bool:
         data = b" " + chunk.encode()
         return b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b))
@@ -151,6 +168,7 @@ class Measures:
         self.counts[name] += np.bincount(doc, weights, len(self.whole)).astype(np.int64)
 
     def take(self, encoders: Encoders, owners: list[int], chunks: list[str]) -> None:
+        """Align chunks of the documents ``owners``, which are in order."""
         a_ids, b_ids = encoders.encode(chunks)
         good = [encoders.whole(*x) for x in zip(chunks, a_ids, b_ids)]
         self.whole[[o for o, fine in zip(owners, good) if not fine]] = False
