@@ -4,14 +4,18 @@ A token sequence is the encoding of its bytes if every two neighbours are the en
 token is the encoding of its own (checked when the merges are compiled). So a deterministic machine over bytes need only
 remember the ways in which the last bytes may be split: a state holds, for every place where a token may begin, the tokens
 not yet put out before it and the bytes read since. Tokens that all ways share are put out. No way stays open longer than the
-longest token, which bounds the lookahead. States and moves are made when a text first needs them and kept up to a bound.
+longest token, which bounds the lookahead. States and moves are made when a text first needs them and kept up to a bound, and so
+are the moves over whole pieces: what the machine puts out from its start to the end of a piece.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,27 +33,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-class State(dict):
-    """byte -> (next state, tokens put out). ``ways`` holds (last token, tokens held back, bytes read since) each."""
-
-    __slots__ = ("machine", "ways", "last_out")
-
-    def __init__(self, machine: "Transducer", ways: tuple):
-        self.machine, self.ways = machine, ways
-        # If the piece ends here, the way without further bytes is the encoding.
-        self.last_out = next(held for _, held, rest in ways if not rest)
-
-    def __missing__(self, byte: int) -> tuple["State", tuple]:
-        return self.machine.move(self, byte)
-
-
 class Transducer:
-    """The merges of ``ranks`` as a lazily determinised machine with at most ``max_states`` states at a time."""
+    """The merges of ``ranks`` as a lazily determinised machine.
+
+    It holds ``max_states`` states and the moves over ``max_pieces`` pieces of up to ``long_piece`` characters at a time,
+    and as many of the pieces met before those.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_pieces: int = 150_000, long_piece: int = 100):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {i: token for token, i in ranks.items()}
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
+        # Prefix -> itself, so that states share their bytes.
+        self.prefixes: dict[bytes, bytes] = {}
+        for token in ranks:
+            for n in range(1, len(token)):
+                self.prefixes.setdefault(token[:n], token[:n])
         self.neighbours: dict[tuple[int, int], bool] = {}
         for b in range(256):
             if bytes([b]) not in ranks:
@@ -57,16 +55,24 @@ class Transducer:
         odd = [token for token, i in ranks.items() if self.merged(token) != [i]]
         if odd:
             raise ValueError(f"{len(odd)} tokens that no merges reach, {odd[0]!r} among them")
+        self.pieces = Pieces(self, max_pieces, long_piece)
         self.restart()
 
     def restart(self) -> None:
-        self.states: dict[tuple, State] = {}
-        self.start = self.state(((START, (), b""),))
-
-    def state(self, ways: tuple) -> State:
+        self.states: dict[tuple, int] = {}
+        self.ways: list[tuple] = []  # by state: (last token, tokens held back, bytes read since) of each way
+        self.ends: list[tuple] = []  # by state: what comes out if the piece ends here
+        self.moves: dict[int, tuple] = {}  # 256 * state + byte -> (256 * next state, tokens put out)
+        self.state(((START, (), b""),))
+
+    def state(self, ways: tuple) -> int:
+        """The number of a state, the first one is the start."""
         found = self.states.get(ways)
         if found is None:
-            found = self.states[ways] = State(self, ways)
+            found = self.states[ways] = len(self.ways)
+            self.ways.append(ways)
+            # The way without further bytes is the encoding of what has been read.
+            self.ends.append(next(held for _, held, rest in ways if not rest))
         return found
 
     def merged(self, data: bytes) -> list[int]:
@@ -83,48 +89,78 @@ class Transducer:
         return [ranks[p] for p in parts]
 
     def may_follow(self, a: int, b: int) -> bool:
-        if a == START:
-            return True
-        known = self.neighbours.get((a, b))
-        if known is None:
-            if len(self.neighbours) > 4 * self.max_states:
-                self.neighbours.clear()
-            known = self.neighbours[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
-        return known
-
-    def move(self, state: State, byte: int) -> tuple[State, tuple]:
-        """The move of ``state`` on ``byte``, worked out once and kept in it."""
+        """Whether two tokens are the encoding of their own bytes; any token may come first."""
+        if len(self.neighbours) >= self.max_states:
+            self.neighbours.clear()
+        fits = self.neighbours[a, b] = a == START or self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+        return fits
+
+    def move(self, at: int, byte: int) -> tuple[int, tuple]:
+        """The move on ``byte`` from the state of ``at``, 256 times its number; worked out once and kept."""
         read, ways = bytes([byte]), []
-        for last, held, rest in state.ways:
+        longer, ranks, known = self.prefixes.get, self.ranks.get, self.neighbours.get
+        for last, held, rest in self.ways[at >> 8]:
             rest += read
-            if rest in self.prefixes:
-                ways.append((last, held, rest))
-            token = self.ranks.get(rest)
-            if token is not None and self.may_follow(last, token):
-                ways.append((token, (*held, token), b""))
+            prefix = longer(rest)
+            if prefix is not None:
+                ways.append((last, held, prefix))
+            token = ranks(rest)
+            if token is not None:
+                fits = known((last, token))
+                if self.may_follow(last, token) if fits is None else fits:
+                    ways.append((token, (*held, token), b""))
         out = ways[0][1]
         for _, held, _ in ways[1:]:
             n = 0
             while n < min(len(out), len(held)) and out[n] == held[n]:
                 n += 1
             out = out[:n]
-        ways = tuple((last, held[len(out) :], rest) for last, held, rest in ways)
-        if len(self.states) >= self.max_states and ways not in self.states:
-            self.restart()  # the states so far go once no text stands in them
-        state[byte] = step = (self.state(ways), out)
+        if out:
+            ways = [(last, held[len(out) :], rest) for last, held, rest in ways]
+        ways = tuple(ways)
+        if len(self.ways) >= self.max_states and ways not in self.states:
+            self.restart()
+            return 256 * self.state(ways), out
+        self.moves[at + byte] = step = (256 * self.state(ways), out)
         return step
 
-    def encode(self, pieces: Iterable[bytes]) -> list[int]:
-        """Token ids of the pieces, each on its own, in one pass over their bytes."""
+    def run(self, piece: bytes) -> tuple:
+        """Token ids of one piece, in one pass over its bytes."""
         ids: list[int] = []
-        for piece in pieces:
-            state = self.start
-            for byte in piece:
-                state, out = state[byte]
-                if out:
-                    ids += out
-            ids += state.last_out
-        return ids
+        at, moves = 0, self.moves
+        for byte in piece:
+            step = moves.get(at + byte)
+            if step is None:
+                step = self.move(at, byte)
+                moves = self.moves  # new after a restart
+            at, out = step
+            if out:
+                ids += out
+        return (*ids, *self.ends[at >> 8])
+
+    def encode(self, pieces: Iterable[str]) -> np.ndarray:
+        """Token ids of the pieces, each on its own."""
+        return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, pieces)), np.int32)
+
+
+class Pieces(dict):
+    """piece -> its token ids, as the machine gives them.
+
+    A full table becomes the older one, whose pieces come over when they are met again; long pieces are not kept.
+    """
+
+    def __init__(self, machine: Transducer, most: int, longest: int):
+        super().__init__()
+        self.machine, self.most, self.longest, self.older = machine, most, longest, {}
+
+    def __missing__(self, piece: str) -> tuple:
+        found = self.older.get(piece) or self.machine.run(piece.encode())
+        if len(piece) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 # The well-formed byte sequences of UTF-8 as (first byte from, to, second byte from, to, bytes in all).
@@ -220,30 +256,51 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
-def encode_text(text: str, ranks_file: str, pattern: str) -> list[int]:
-    return _transducer(ranks_file).encode(m[0].encode() for m in _pattern(pattern).finditer(text))
+def encode_text(text: str, ranks_file: str, pattern: str, at_once: int = 1_000_000) -> np.ndarray:
+    """Token ids of the matches of ``pattern``; those of a text over ``at_once`` characters are taken one by one."""
+    split = _pattern(pattern)
+    pieces = split.findall(text) if len(text) <= at_once else (m[0] for m in split.finditer(text))
+    return _transducer(ranks_file).encode(pieces)
+
+
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Without searches for reference cycles: the tables are large, always growing, and hold none."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
+def _decoded(ids: np.ndarray, decoder: StreamDecoder, piece: int = 100_000) -> str:
+    return "".join(decoder.feed(ids[i : i + piece].tolist()) for i in range(0, len(ids), piece)) + decoder.close()
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """(doc_id, ids): the token ids of each whole text, a row per row of ``docs``.
+def encode(docs: DataFrame, ranks_file: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): the token ids of each whole text, a row per row of ``docs``; ``decoded`` adds the text decoded from them.
 
     Each match of ``pattern`` is encoded on its own, without special tokens. Null and empty texts have no ids; repeated rows and ids
     come out as often as they go in; other columns are not read; no rows: no rows. A text of any length takes one pass and
     memory for its bytes and ids. ``ranks_file`` must be readable on every worker.
     """
     bound_batches(docs.sparkSession)
+    names = ["doc_id", "ids", *(["text"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in row_slices(batches, "t"):
-            found = [np.array(encode_text(t.decode("utf-8", "replace"), ranks_file, pattern), np.int32) for t in rows.column("t").to_pylist()]
-            ids = list_column(np.concatenate(found), np.array([len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), ids], ["doc_id", "ids"])
+            with no_collection():
+                found = [encode_text(t.decode("utf-8", "replace"), ranks_file, pattern) for t in rows.column("t").to_pylist()]
+            columns = [rows.column("doc_id"), list_column(np.concatenate(found), np.array([len(f) for f in found]))]
+            if decoded:
+                columns.append(pa.array([_decoded(f, _decoder(ranks_file)) for f in found], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     picked = docs.select("doc_id", text_bytes().alias("t"))
-    return picked.mapInArrow(run, f"doc_id {picked.dtypes[0][1]}, ids array<int>")
+    return picked.mapInArrow(run, f"doc_id {picked.dtypes[0][1]}, ids array<int>" + (", text string" if decoded else ""))
 
 
-def decode(encoded: DataFrame, ranks_file: str, piece: int = 100_000) -> DataFrame:
+def decode(encoded: DataFrame, ranks_file: str) -> DataFrame:
     """The columns of ``encoded`` (doc_id, ids) and the decoded ``text``; ids stream through in pieces.
 
     Bytes that are no UTF-8 come out as U+FFFD. A null list of ids gives an empty text. An unknown id stops the job.
@@ -256,7 +313,7 @@ def decode(encoded: DataFrame, ranks_file: str, piece: int = 100_000) -> DataFra
             texts = []
             for ids in rows.column("ids"):
                 ids = ids.values.to_numpy() if ids.is_valid else np.empty(0, np.int32)
-                texts.append("".join(decoder.feed(ids[i : i + piece].tolist()) for i in range(0, len(ids), piece)) + decoder.close())
+                texts.append(_decoded(ids, decoder))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     picked = encoded.select("doc_id", "ids")

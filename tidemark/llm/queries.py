@@ -125,9 +125,8 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe_transducer.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe_transducer.decode(encoded, ranks)
-    return decoded.select(
+    there_and_back = bpe_transducer.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
+    return there_and_back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
