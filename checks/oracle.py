@@ -260,7 +260,7 @@ Q: dict[str, str] = {}
 
 # ---- marts ----------------------------------------------------------------------------------------
 
-Q["m1_event_explode"] = sql(
+_EVENTS = (
     """
     SELECT id, dt, 'demo' AS app, 'a1' AS appid, epoch_ms(dt) + n AS writetime, CAST(NULL AS VARCHAR) AS url,
       CAST(NULL AS VARCHAR) AS traceid, uid, 'custom' AS eventtype, epoch_ms(dt) + n + 1 AS createtime,
@@ -285,7 +285,26 @@ Q["m1_event_explode"] = sql(
       CASE WHEN type = 'suction_level' THEN CASE WHEN CAST(adj_to AS INT) > CAST(adj_from AS INT) THEN 'up'
            WHEN CAST(adj_to AS INT) < CAST(adj_from AS INT) THEN 'down' ELSE 'same' END END AS adjust_direction,
       CASE WHEN n = 90 THEN dur END AS total_duration_sec, device AS pump_device_id
-    FROM dwd""",
+    FROM dwd"""
+)
+# The JSON texts, put together again from the fields in the order in which the log writes them; empty fields are left out.
+_FIELDS = ["evtType", "evtSource", "adjustFrom", "adjustTo", "finalModeType", "finalSuctionLevel"]
+_TEXT = "coalesce(',\"{0}\":\"' || {0} || '\"', '')"
+_EXTRA = " || ".join(
+    [
+        """'{"eventName":"' || eventName || '","evtTimestamp":' || evtTimestamp || ',"useSessionId":"' || useSessionId""",
+        """'","deviceCode":"' || deviceCode || '","payload":"' || payload || '"'""",
+        *[_TEXT.format(name) for name in _FIELDS],
+        """coalesce(',"modeDuration":' || modeDuration, '') || coalesce(',"usedModeCount":' || usedModeCount, '')""",
+        _TEXT.format("endReason") + " || '}'",
+    ]
+)
+_REST = """',"eventSessionId":"' || eventSessionId || '","deviceId":"phone","os":"' || os || '","timezoneOffset":"GMT+0"}'"""
+Q["m1_event_explode"] = sql(
+    f"""
+    SELECT *, '{{"extraData":' || CASE WHEN CAST(useSessionId AS BIGINT) % 2 = 0 THEN extraData
+      ELSE '"' || replace(extraData, '"', chr(92) || '"') || '"' END || {_REST} AS content
+    FROM (SELECT *, {_EXTRA} AS extraData FROM ({_EVENTS}))""",
     "dwd",
 )
 _SESSIONS = f"""
@@ -361,6 +380,12 @@ def _retention(where: str) -> str:
 
 
 Q["m5_retention"] = _retention("TRUE")
+Q["m5_retention_from_bits"] = Q["m5_retention"]
+Q["m4_cumulative_from_increments"] = Q["m4_cumulative"]
+Q["w2_nightly_sessions"] = Q["m2_session_build"]
+Q["w2_nightly_modes"] = Q["m3_session_modes"]
+Q["w2_nightly_daily"] = Q["m4_daily"]
+Q["w2_nightly_retention"] = Q["m5_retention"]
 Q["m_chain_from_raw_log"] = Q["m5_retention"]
 Q["m_chain_daily_from_raw_log"] = Q["m4_daily"]
 Q["m_chain_modes_from_raw_log"] = Q["m3_session_modes"]
@@ -678,6 +703,7 @@ Q["b3_top_hours"] = sql(
     + " ORDER BY session_count DESC, local_hour LIMIT 6",
     "sess",
 )
+Q["b3_all_hours"] = Q["b3_top_hours"].removesuffix(" LIMIT 6")
 _STREAK = """CASE WHEN n = 1 THEN '1 day' WHEN n <= 3 THEN '2-3 days' WHEN n <= 7 THEN '4-7 days'
   WHEN n <= 14 THEN '8-14 days' WHEN n <= 30 THEN '15-30 days' ELSE '30+ days' END"""
 _STREAK_ORDER = """CASE WHEN n = 1 THEN 1 WHEN n <= 3 THEN 2 WHEN n <= 7 THEN 4 WHEN n <= 14 THEN 8
@@ -698,6 +724,8 @@ def _streaks(where: str) -> str:
 
 
 Q["b4_streaks"] = _streaks("TRUE")
+Q["b4_streaks_from_bits"] = Q["b4_streaks"]
+Q["b4_streaks_from_bits_range"] = _streaks("evt_dt BETWEEN DATE '2024-01-10' AND DATE '2024-01-16'")
 Q["b4_streaks_range"] = _streaks("evt_dt BETWEEN DATE '2024-01-10' AND DATE '2024-01-16'")
 Q["b5_user_day_buckets"] = sql(
     _dist(
@@ -835,6 +863,7 @@ for _suffix, _own in (("", "TRUE"), ("_model", f"model = '{MODEL}'")):
     FROM f LEFT JOIN a ON f.uid = a.uid WHERE f.first_dt BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY 1""",
         "sess",
     )
+    Q[f"b20_weekly_cohorts_from_bits{_suffix}"] = Q[f"b20_weekly_cohorts{_suffix}"]
 
 # ---- user flags -----------------------------------------------------------------------------------
 

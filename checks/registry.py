@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -27,7 +27,9 @@ from tidemark.functions.labels import STATUS_CODES, region_name, relabel
 from tidemark.operators import distributions as dist, firmware, kpi, shaping, trends, userflags
 from tidemark.operators.userflags import UserFilter
 from tidemark.plans.chain import run_chain
-from tidemark.plans.daily import build_daily, cumulative
+from tidemark.marts import in_range
+from tidemark.plans import state
+from tidemark.plans.daily import build_daily, cumulative, running_totals
 from tidemark.plans.events import explode_events
 from tidemark.plans.retention import build_retention
 from tidemark.plans.sections import run_section
@@ -99,6 +101,11 @@ def _chain_daily(m: TestMarts) -> DataFrame:
     return build_daily(build_sessions(events, "2024-02-07", 40), events, "2024-02-07", 40)
 
 
+def _days_between(start: str, end: str) -> list[date]:
+    first, last = date.fromisoformat(start), date.fromisoformat(end)
+    return [first + timedelta(days=n) for n in range((last - first).days + 1)]
+
+
 def _two_runs(m: TestMarts) -> DataFrame:
     """Sessions after the nightly job of two report days, the first of them run again on a corrected log."""
     root = f"{shared_folder(m.spark).rstrip('/')}/tidemark-chain-{uuid.uuid4().hex}"
@@ -109,7 +116,7 @@ def _two_runs(m: TestMarts) -> DataFrame:
     return read_table(m.spark, root, "sessions")
 
 
-query("m1_event_explode", lambda m: explode_events(m.raw).drop("content", "extraData"))
+query("m1_event_explode", lambda m: explode_events(m.raw))
 query("m2_session_build", lambda m: build_sessions(m.events, "2024-02-07", 40))
 query("m2_session_window", lambda m: build_sessions(m.events, END, 7))
 query("m2_touched_rebuild", _touched)
@@ -121,7 +128,13 @@ query("m5_retention", lambda m: build_retention(m.sessions, *RETENTION_RANGE))
 query("m_chain_from_raw_log", _chain)
 query("m_chain_daily_from_raw_log", _chain_daily)
 query("m_chain_modes_from_raw_log", lambda m: build_session_modes(explode_events(testmap.raw_log(m.spark, m.sf_dir))))
+query("m4_cumulative_from_increments", lambda m: running_totals(m.increments))
+query("m5_retention_from_bits", lambda m: state.retention_from_bits(m.activity_bits, m.first_seen, _days_between(*RETENTION_RANGE)))
 query("w1_latest_by_key", _resent)
+query("w2_nightly_sessions", lambda m: m.nightly.sessions)
+query("w2_nightly_modes", lambda m: m.nightly.session_modes)
+query("w2_nightly_daily", lambda m: m.nightly.daily)
+query("w2_nightly_retention", lambda m: in_range(m.nightly.retention, *RETENTION_RANGE, day="base_dt"))
 query("w2_chain_two_runs", _two_runs)
 query("w3_retention_backfill", lambda m: build_retention(m.sessions, "2024-01-16", "2024-01-30"))
 
@@ -175,8 +188,11 @@ report("b1_final_modes", "sessions", dist.final_modes, *SPAN)
 report("b1_final_modes_model", "sessions", dist.final_modes, *SPAN, MODEL)
 report("b2_suction_levels", "sessions", dist.suction_levels, *SPAN)
 report("b3_top_hours", "sessions", dist.top_hours, *SPAN)
+report("b3_all_hours", "sessions", dist.top_hours, *SPAN, top=None)
 report("b4_streaks", "sessions", dist.streaks)
 report("b4_streaks_range", "sessions", dist.streaks, "2024-01-10", "2024-01-16")
+report("b4_streaks_from_bits", "activity_bits", dist.streaks_from_bits)
+report("b4_streaks_from_bits_range", "activity_bits", dist.streaks_from_bits, "2024-01-10", "2024-01-16")
 report("b5_user_day_buckets", "sessions", dist.user_day_buckets, *SPAN)
 report("b6_user_totals", "sessions", dist.user_totals, *SPAN)
 report("b7_device_totals", "sessions", dist.device_totals, *SPAN)
@@ -207,6 +223,8 @@ report(
 )
 report("b20_weekly_cohorts", "sessions", dist.weekly_cohorts, *SPAN)
 report("b20_weekly_cohorts_model", "sessions", dist.weekly_cohorts, *SPAN, MODEL)
+report("b20_weekly_cohorts_from_bits", "activity_bits first_seen", dist.weekly_cohorts_from_bits, *SPAN)
+report("b20_weekly_cohorts_from_bits_model", "activity_bits first_seen", dist.weekly_cohorts_from_bits, *SPAN, MODEL)
 
 # ---- user flags -----------------------------------------------------------------------------------
 

@@ -11,16 +11,20 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import testmap
 from tidemark.marts import Marts
+from tidemark.plans import state
+from tidemark.plans.chain import BUCKETS, run_chain
 from tidemark.plans.daily import build_daily
 from tidemark.plans.events import explode_events
 from tidemark.plans.retention import build_retention
 from tidemark.sources.tables import read_table
 from tidemark.sources.writers import write_days
 
+# The last report day of the test log.
+LAST_REPORT = "2024-02-07"
 # The range of base days of the test retention table.
 RETENTION_RANGE = ("2024-01-01", "2024-01-30")
 
@@ -89,6 +93,31 @@ class TestMarts:
     def retention(self) -> DataFrame:
         return self._table("retention", lambda: build_retention(self.sessions, *RETENTION_RANGE))
 
+    @property
+    def activity_bits(self) -> DataFrame:
+        return self._table("activity_bits", lambda: state.active_bits(self.sessions))
+
+    @property
+    def first_seen(self) -> DataFrame:
+        return self._table("first_seen", lambda: state.all_first_seen(self.sessions, self.activity_bits, BUCKETS))
+
+    @property
+    def increments(self) -> DataFrame:
+        seconds = self.sessions.groupBy("evt_dt", "deviceCode").agg(F.sum("total_duration_sec").alias("seconds"))
+        return self._table("increments", lambda: state.increments_from(self.first_seen, seconds))
+
+    @property
+    def nightly(self) -> Marts:
+        """A warehouse as nightly runs leave it: a first load that lacks a third of some days, the rest, and the days once more, whole."""
+        root = f"{self.root}/nightly"
+        if (self.key, "nightly") not in _built:
+            late = self.raw.where((F.col("dt") < "2024-01-10") | (F.floor(F.col("id") / 100) % 3 != 0))
+            run_chain(self.spark, late, root, "2024-01-20", first_report="2024-01-01")
+            run_chain(self.spark, self.raw, root, LAST_REPORT, first_report="2024-01-21")
+            run_chain(self.spark, self.raw, root, "2024-01-20", first_report="2024-01-10")
+            _built[(self.key, "nightly")] = True
+        return Marts.read(self.spark, root)
+
     @property
     def user_flags(self) -> DataFrame:
         return self._table("user_flags", lambda: testmap.user_flags(self.spark, self.sf_dir))

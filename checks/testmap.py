@@ -159,7 +159,8 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             f" j -> named_struct('n', {first} + j, {struct}))"
         )
     # A session becomes a dozen JSON rows: spread them before, a small file may be a single partition.
-    rows = base(spark, sf_dir).repartition("event_id").selectExpr(
+    # A stated number of partitions is one that Spark does not merge by their size before the JSON is made.
+    rows = base(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "event_id").selectExpr(
         "*",
         f"if(dur is null, null, {_mode_rows('modes').rsplit(' as ', 1)[0]}) as modes",
         "if(k % 2 = 0, 'remote_app', 'manual') as op_source",

@@ -12,6 +12,15 @@ from tidemark.sources.writers import write_days, write_frames
 D = dt.date.fromisoformat
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Handfuls of rows: one partition saves most of the time."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def use(i, day, reported, uid="a"):
     """Start and end of one session on ``day``, reported on ``reported``."""
     return [

@@ -51,3 +51,8 @@ def one_row(*frames: DataFrame) -> DataFrame:
     """Put single-row frames with different columns side by side without a cross join."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
+def first_rows(ranked: DataFrame, top: int | None) -> DataFrame:
+    """The first ``top`` rows of a ranking, all for None."""
+    return ranked if top is None else ranked.limit(top)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import buckets as b
 from tidemark.functions.labels import MODE_NAMES, SOURCE_NAMES, relabel
-from tidemark.functions.measures import ratio, with_share
+from tidemark.functions.measures import first_rows, ratio, with_share
 from tidemark.marts import Marts, as_date, in_range
 from tidemark.operators.kpi import sessions_per_user_day
+from tidemark.plans import state
 from tidemark.plans.retention import active_days
 
 # Event names and types of the log.
@@ -40,11 +44,11 @@ def suction_levels(marts: Marts, start: str, end: str, device_code: str | None =
     return with_share(counts, "session_count", 5).orderBy("bucket_order")
 
 
-def top_hours(marts: Marts, start: str, end: str, device_code: str | None = None, top: int = 6) -> DataFrame:
-    """Busiest local hours; the share is of all hours. Equal counts: the earlier hour first."""
+def top_hours(marts: Marts, start: str, end: str, device_code: str | None = None, top: int | None = 6) -> DataFrame:
+    """Busiest local hours, all of them for ``top=None``; the share is of all hours. Equal counts: the earlier hour first."""
     rows = in_range(marts.sessions, start, end, device_code).where(F.col("local_hour").isNotNull())
     counts = with_share(_distinct_sessions(rows, "local_hour"), "session_count", 5)
-    return counts.orderBy(F.desc("session_count"), "local_hour").limit(top)
+    return first_rows(counts.orderBy(F.desc("session_count"), "local_hour"), top)
 
 
 def longest_streak(days: Column) -> Column:
@@ -75,7 +79,20 @@ def streaks(marts: Marts, start: str | None = None, end: str | None = None) -> D
         sessions = sessions.where(F.col("evt_dt") >= as_date(start))
     if end:
         sessions = sessions.where(F.col("evt_dt") <= as_date(end))
-    users = active_days(sessions).select(longest_streak(F.col("days")).alias("n"))
+    return _streak_buckets(active_days(sessions))
+
+
+def streaks_from_bits(marts: Marts, start: str | None = None, end: str | None = None) -> DataFrame:
+    """``streaks`` from the kept bits of active days: a row per user and 32 days in place of sessions."""
+    bits = marts.activity_bits.where((F.col("kind") == "user") & F.col("id").isNotNull())
+    bits = state.bits_between(bits, start and date.fromisoformat(start), end and date.fromisoformat(end))
+    months = bits.groupBy("id", "period").agg(F.bit_or("bits").alias("bits"))  # all models of a user
+    spans = months.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("period", "bits"))).alias("spans"))
+    return _streak_buckets(spans.select(F.flatten(F.transform("spans", lambda x: state.dates_of(x["period"], x["bits"]))).alias("days")))
+
+
+def _streak_buckets(users: DataFrame) -> DataFrame:
+    users = users.select(longest_streak(F.col("days")).alias("n"))
     users = b.with_bucket(users, F.col("n"), b.STREAK_DAYS, "streak_bucket")
     counts = users.groupBy("streak_bucket", "bucket_order").agg(F.count("*").alias("user_count"))
     return with_share(counts, "user_count", 4).orderBy("bucket_order")
@@ -203,7 +220,7 @@ def modes_used(marts: Marts, start: str, end: str, device_code: str | None = Non
     return with_share(counts, "session_count", 4).orderBy("bucket_order")
 
 
-def mode_transitions(marts: Marts, start: str, end: str, top: int = 6, keep_self: bool = True) -> DataFrame:
+def mode_transitions(marts: Marts, start: str, end: str, top: int | None = 6, keep_self: bool = True) -> DataFrame:
     """Most frequent mode changes; the share is of all changes. Reads events, over all models."""
     rows = in_range(marts.events, start, end).where(
         (F.col("eventName") == "pump_manual_adjust_evt")
@@ -220,7 +237,7 @@ def mode_transitions(marts: Marts, start: str, end: str, top: int = 6, keep_self
         relabel(F.col("adjustTo"), MODE_NAMES).alias("to_mode"),
     ).agg(F.sum("n").alias("adjust_count"))
     counts = counts.withColumn("adjust_path", F.concat("from_mode", F.lit(" → "), "to_mode"))
-    return with_share(counts, "adjust_count", 4).orderBy(F.desc("adjust_count"), "adjust_path").limit(top)
+    return first_rows(with_share(counts, "adjust_count", 4).orderBy(F.desc("adjust_count"), "adjust_path"), top)
 
 
 def level_directions(marts: Marts, start: str, end: str, device_code: str | None = None) -> DataFrame:
@@ -281,6 +298,29 @@ def weekly_cohorts(marts: Marts, start: str, end: str, device_code: str | None =
     def stayed(n: int) -> Column:
         return F.array_contains("days", F.date_add("first_day", n))
 
+    return _cohort_weeks(users, stayed)
+
+
+def weekly_cohorts_from_bits(marts: Marts, start: str, end: str, device_code: str | None = None) -> DataFrame:
+    """``weekly_cohorts`` from the ledger of first sightings and the bits of active days; sessions are not read."""
+    first, last = date.fromisoformat(start), date.fromisoformat(end)
+    known = (F.col("kind") == "user") & F.col("id").isNotNull()
+    ledger = marts.first_seen.where(known & F.col("day").between(first, last))
+    ledger = ledger.where(F.col("deviceCode") == device_code if device_code else F.col("is_one"))
+    near = range(state.period_of(first), state.period_of(last + timedelta(days=max(COHORT_DAYS))) + 1)
+    bits = marts.activity_bits.where(known & F.col("period").isin(list(near)))
+    if device_code:
+        bits = bits.where(F.col("deviceCode") == device_code)
+    users = state.with_neighbours(bits, ledger).where("first != 0")
+    users = users.withColumn("first_day", state.dates_of(F.col("period"), F.col("first"))[0])
+
+    def stayed(n: int) -> Column:
+        return F.col("first").bitwiseAND(state.ahead(F.col("cur"), F.col("next"), n)) != 0
+
+    return _cohort_weeks(users, stayed)
+
+
+def _cohort_weeks(users: DataFrame, stayed: Callable[[int], Column]) -> DataFrame:
     return (
         users.groupBy(F.date_trunc("week", "first_day").cast("date").alias("install_week"))
         .agg(

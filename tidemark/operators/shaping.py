@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.measures import ratio
+from tidemark.functions.measures import first_rows, ratio
 
 # Bars shown, and the smallest scale of a percent and of a numeric bar list.
 TOP_BARS = 6
@@ -30,12 +30,12 @@ def _bars(rows: DataFrame, value: Column, floor: float) -> DataFrame:
     return rows.withColumn("bar_value", value).withColumn("bar_width", F.floor(ratio(value, top) * 100 + 0.5))
 
 
-def percent_bars(rows: DataFrame, pct: str, order: list, is_ratio: bool = True, top: int = TOP_BARS) -> DataFrame:
-    """The first six rows in ``order`` with a bar width of 0-100 relative to the largest of all rows."""
+def percent_bars(rows: DataFrame, pct: str, order: list, is_ratio: bool = True, top: int | None = TOP_BARS) -> DataFrame:
+    """The first six rows in ``order``, all of them for ``top=None``, with a bar width of 0-100 relative to the largest of all rows."""
     value = F.coalesce(F.col(pct).try_cast("double"), F.lit(0.0))
     if is_ratio:
         value = F.when(value <= 1, value * 100).otherwise(value)
-    return _bars(rows, value, PERCENT_FLOOR).orderBy(*order).limit(top)
+    return first_rows(_bars(rows, value, PERCENT_FLOOR).orderBy(*order), top)
 
 
 def number_bars(rows: DataFrame, value: str, order: list) -> DataFrame:

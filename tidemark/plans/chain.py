@@ -1,24 +1,23 @@
-"""The daily batch: raw log -> events -> sessions -> session modes -> daily -> retention."""
+"""The nightly batch: raw log -> events -> sessions -> session modes -> daily -> retention, and the state it keeps for the next night."""
 
 from __future__ import annotations
 
-from datetime import date
+from collections.abc import Iterator
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.plans.daily import POWER_ON, build_daily
+from tidemark import schemas
+from tidemark.plans import state
+from tidemark.plans.daily import POWER_ON, activity, daily_rows, power_on_counts, running_totals
 from tidemark.plans.events import explode_events, latest_events
-from tidemark.plans.retention import affected_days, build_retention
-from tidemark.plans.sessions import (
-    affected_start_days,
-    build_session_modes,
-    fold_hours,
-    on_days,
-    rebuild_start_days,
-    session_events,
-)
+from tidemark.plans.retention import affected_days
+from tidemark.plans.sessions import build_session_modes, days_of, fold_hours, rebuild_from_index, session_days, session_events
 from tidemark.sources.tables import read_or_empty, read_table
-from tidemark.sources.writers import replace_days, write_days, write_report_day
+from tidemark.sources.writers import clear_run, on_days, publish, replace_days, stage, write_days
+
+# Into how many folders ids are dealt by hash. A fixed part of a warehouse: change it by ``rebuild_state`` only.
+BUCKETS = 16
 
 
 def run_chain(
@@ -27,50 +26,132 @@ def run_chain(
     root: str,
     busi_date: str,
     power_on_by_model: bool = False,
+    first_report: str | None = None,
+    buckets: int = BUCKETS,
 ) -> None:
-    """Run all five jobs for one report day; a rerun replaces what an earlier run of the day has brought.
+    """Run all jobs for one report day, or for those from ``first_report`` on; a rerun replaces what an earlier run has brought.
 
-    The rows of the report day, those before and those now, name the event days and the sessions that may have
+    The rows of the report days, those before and those now, name the event days and the sessions that may have
     changed. Those days are rebuilt whole, however old they are, from all events reported so far; days that come back
-    empty are emptied. Daily totals are running totals, so they are recomputed from the oldest changed day
+    empty are emptied. Daily totals are running totals, so they are renewed from the oldest changed day
     on; retention for the base days at a reported distance of a changed day and for those that first days move from or to.
+
+    What a run is about to change is recorded before anything is touched. A run that was stopped leaves its record, and the next one,
+    of whatever report day, takes it over: all steps give the same result when they are repeated, so the tables end up as if
+    nothing had happened, but for the report of the stopped run if its events had not been written yet.
     """
+    for _ in chain_steps(spark, raw, root, busi_date, power_on_by_model, first_report, buckets):
+        pass
+
+
+def chain_steps(
+    spark: SparkSession,
+    raw: DataFrame,
+    root: str,
+    busi_date: str,
+    power_on_by_model: bool = False,
+    first_report: str | None = None,
+    buckets: int = BUCKETS,
+) -> Iterator[str]:
+    """The steps of ``run_chain``, each named after it has been done."""
     last = date.fromisoformat(busi_date)
-    before = read_or_empty(spark, root, "events").where(F.col("dt") == last)
-    # The report day is about to be overwritten, so what it named before is kept aside. Days are calendar days; ids
-    # stay in a table.
-    days = _days(_counted(before))
-    ids_path = f"{root.rstrip('/')}/_staging/changed_ids"
-    session_events(before).select("useSessionId").distinct().write.mode("overwrite").parquet(ids_path)
-    write_report_day(latest_events(explode_events(raw, busi_date, busi_date)), root, "events", busi_date)
-    events = read_table(spark, root, "events")
-    now = events.where(F.col("dt") == last)
-    days = sorted(days | _days(_counted(now)), key=str)
-    ids = spark.read.schema("useSessionId string").parquet(ids_path).union(session_events(now).select("useSessionId"))
-    # An old report day may be run again after newer ones: all that is reported counts, up to the newest report day.
-    newest = events.agg(F.max("dt")).first()[0] or last
-
-    replace_days(fold_hours(on_days(events, days)), root, "session_hours", days)
+    first = date.fromisoformat(first_report or busi_date)
+    reported = [first + timedelta(days=n) for n in range((last - first).days + 1)]
+
+    def replace(df: DataFrame, name: str, days: list) -> str:
+        replace_days(df, root, name, days, busi_date)
+        return name
+
+    # 1. What changes: days are calendar days and come to the driver, ids stay in a table.
+    fresh = stage(latest_events(explode_events(raw, first.isoformat(), busi_date)), root, "events", busi_date)
+    fresh = fresh.select(*schemas.column_names(schemas.EVENTS))
+    named = on_days(read_or_empty(spark, root, "events"), reported, "dt").unionByName(fresh)
+    known_days, known_ids = read_or_empty(spark, root, "run_days"), read_or_empty(spark, root, "run_ids")
+    open_runs = {r[0] for r in known_days.union(known_ids.selectExpr("run", "''", "null")).select("run").distinct().collect()} | {busi_date}
+    days = _days(_counted(named)) | _noted(known_days, "event")
+    ids = session_events(named).select("useSessionId").union(known_ids.select("useSessionId")).distinct()
+    replace(ids.select(F.lit(busi_date).alias("run"), "useSessionId"), "run_ids", [busi_date])
+    ids = read_table(spark, root, "run_ids").where(F.col("run") == busi_date).select("useSessionId")
+    notes = {
+        "event": days,
+        "start": set(days_of(read_or_empty(spark, root, "session_days"), ids, buckets, started=True)) | _noted(known_days, "start"),
+        "moved": _noted(known_days, "moved"),
+    }
+    replace(_notes(spark, busi_date, notes), "run_days", [busi_date])
+    yield "record"
+
+    # 2. Events, hours, the index of days by session, sessions and their modes.
+    publish(fresh, root, "events", reported)
+    yield "events"
+    events, days = read_table(spark, root, "events"), sorted(days, key=str)
+    yield replace(fold_hours(on_days(events, days)), "session_hours", days)
     hours = read_table(spark, root, "session_hours")
-    starts = sorted(_days(affected_start_days(hours, ids.distinct())) | {d for d in days if d is not None})
-    start_days = spark.createDataFrame([(d,) for d in starts], "evt_dt date")
-    users_path = f"{root.rstrip('/')}/_staging/users_before"
-    users_before = on_days(read_or_empty(spark, root, "sessions"), starts).select("uid").distinct()
-    users_before.write.mode("overwrite").parquet(users_path)
-    replace_days(rebuild_start_days(hours, start_days), root, "sessions", starts)
-    replace_days(build_session_modes(on_days(events, days)), root, "session_modes", [d for d in days if d is not None])
+    yield replace(session_days(on_days(hours, days), buckets), "session_days", days)
+    index = read_table(spark, root, "session_days")
+    starts = sorted({d for d in days if d is not None} | notes["start"] | set(days_of(index, ids, buckets, started=True)))
+    if starts:
+        yield replace(rebuild_from_index(hours, index, starts, buckets), "sessions", starts)
+        yield replace(build_session_modes(on_days(events, days)), "session_modes", [d for d in days if d is not None])
+        yield from _renew(spark, root, busi_date, starts, notes, replace, power_on_by_model, buckets)
 
-    sessions = read_table(spark, root, "sessions")
-    oldest = min([last, *starts])
-    daily = build_daily(sessions, events, newest.isoformat(), 0, power_on_by_model, full_days_from=oldest.isoformat())
-    replace_days(daily, root, "daily", starts)
+    # The newest report day has a base row, a report day that is run again may be older.
+    newest = max(last, read_or_empty(spark, root, "retention").agg(F.max("base_dt")).first()[0] or date.min)
+    bases = affected_days([last, *starts], sorted(notes["moved"]), newest)
+    bits, ledger = read_or_empty(spark, root, "activity_bits"), read_or_empty(spark, root, "first_seen")
+    write_days(state.retention_from_bits(bits, ledger, bases), root, "retention")
+    yield "retention"
 
-    # A user's first day moves from or to a changed day; its other end is the user's first day among the rest.
-    users = on_days(sessions, starts).select("uid").union(spark.read.schema("uid string").parquet(users_path)).distinct()
-    rest = sessions.where(~F.col("evt_dt").isin(starts)).join(users, "uid", "left_semi")
-    moved = rest.groupBy("uid").agg(F.min("evt_dt").alias("evt_dt"))
-    bases = affected_days([last, *starts], sorted(_days(moved)), newest)
-    write_days(build_retention(sessions, bases[0].isoformat(), newest.isoformat(), days=bases), root, "retention")
+    # 4. Nothing is left to take over.
+    for run in sorted(open_runs):
+        for name in ("run_ids", "run_days"):
+            clear_run(spark, root, name, run)
+    yield "done"
+
+
+def _renew(spark: SparkSession, root: str, run: str, starts: list[date], notes: dict, replace, power_on_by_model: bool, buckets: int) -> Iterator[str]:
+    """3. The state and the daily table. Of sessions and events, only the changed days are read; first sightings read session ids
+    from the oldest of them on."""
+    sessions, events, oldest = read_table(spark, root, "sessions"), read_table(spark, root, "events"), starts[0]
+    from_oldest = F.col("evt_dt") >= F.lit(oldest)
+    changed = on_days(sessions, starts)
+
+    bits = state.updated_bits(read_or_empty(spark, root, "activity_bits"), changed, starts)
+    yield replace(bits, "activity_bits", sorted({state.period_of(d) for d in starts}))
+    bits = read_table(spark, root, "activity_bits")
+
+    before = read_or_empty(spark, root, "first_seen")
+    after = stage(state.updated_first_seen(before, bits, sessions, starts, buckets), root, "first_seen", run)
+    notes["moved"] |= set(state.moved_days(before, after))
+    yield replace(_notes(spark, run, notes), "run_days", [run])
+    publish(after, root, "first_seen", list(range(buckets)))
+    yield "first_seen"
+    ledger = read_table(spark, root, "first_seen")
+
+    stored = read_or_empty(spark, root, "increments").where(from_oldest)
+    seconds = activity(changed).select("evt_dt", "deviceCode", F.col("total_duration_sec").alias("seconds"))
+    seconds = seconds.unionByName(stored.where(~F.col("evt_dt").isin(starts)).select("evt_dt", "deviceCode", "seconds"))
+    yield replace(state.increments_from(ledger.where(F.col("day") >= F.lit(oldest)), seconds), "increments", sorted(_days(stored)))
+
+    # Totals of days after the last reported one wait for their report.
+    newest = max(date.fromisoformat(run), read_or_empty(spark, root, "retention").agg(F.max("base_dt")).first()[0] or date.min)
+    stored = read_or_empty(spark, root, "daily").where(from_oldest)
+    untouched = stored.where(~F.col("evt_dt").isin(starts))
+    counts = activity(changed.where(F.col("evt_dt") <= F.lit(newest)))
+    counts = counts.unionByName(untouched.select(*counts.columns))
+    power_ons = power_on_counts(on_days(events, starts), power_on_by_model)
+    power_ons = power_ons.unionByName(untouched.select("evt_dt", "deviceCode", "power_on_cnt"), allowMissingColumns=True)
+    totals = running_totals(read_table(spark, root, "increments")).where(from_oldest)
+    yield replace(daily_rows(counts, totals, power_ons, power_on_by_model), "daily", sorted(_days(stored) | set(starts)))
+
+
+def rebuild_state(spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+    """The state tables of a warehouse whose sessions were built without them, from whole history."""
+    sessions = read_table(spark, root, "sessions")
+    write_days(session_days(read_table(spark, root, "session_hours"), buckets), root, "session_days", "static")
+    write_days(state.active_bits(sessions), root, "activity_bits", "static")
+    write_days(state.all_first_seen(sessions, read_table(spark, root, "activity_bits"), buckets), root, "first_seen", "static")
+    seconds = sessions.groupBy("evt_dt", "deviceCode").agg(F.sum("total_duration_sec").alias("seconds"))
+    write_days(state.increments_from(read_table(spark, root, "first_seen"), seconds), root, "increments", "static")
 
 
 def _counted(events: DataFrame) -> DataFrame:
@@ -81,3 +162,13 @@ def _counted(events: DataFrame) -> DataFrame:
 
 def _days(rows: DataFrame) -> set:
     return {r[0] for r in rows.select("evt_dt").distinct().collect()}
+
+
+def _notes(spark: SparkSession, run: str, notes: dict[str, set]) -> DataFrame:
+    rows = [(run, what, day) for what, days in notes.items() for day in sorted(days, key=str)]
+    return spark.createDataFrame(rows, schemas.RUN_DAYS)
+
+
+def _noted(run_days: DataFrame, what: str) -> set:
+    """Calendar days that unfinished runs have noted."""
+    return {r[0] for r in run_days.where(F.col("what") == what).select("day").distinct().collect()}

@@ -81,7 +81,12 @@ def cumulative(sessions: DataFrame) -> DataFrame:
     The distinct count up to a day is the running sum of first appearances, so history is reduced to
     one small row per (day, model) before any window runs. The row of an unknown (NULL) model counts over all models.
     """
-    ledger = (
+    return running_totals(increments(sessions))
+
+
+def increments(sessions: DataFrame) -> DataFrame:
+    """Per (day, model): the ids first seen there and the seconds, from all sessions."""
+    return (
         _new_ids(sessions)
         .unionByName(_new_sessions(sessions), allowMissingColumns=True)
         .unionByName(_seconds(sessions), allowMissingColumns=True)
@@ -98,6 +103,9 @@ def cumulative(sessions: DataFrame) -> DataFrame:
             F.sum("seconds").alias("seconds"),
         )
     )
+
+
+def running_totals(ledger: DataFrame) -> DataFrame:
     own = Window.partitionBy("deviceCode").orderBy("evt_dt").rowsBetween(Window.unboundedPreceding, 0)
     # Days x models rows: a few thousand at most, so one partition is enough for the overall total.
     overall = Window.partitionBy().orderBy("evt_dt").rangeBetween(Window.unboundedPreceding, 0)
@@ -176,9 +184,14 @@ def build_daily(
         # Days after the last reported one do not change any total up to it.
         sessions = sessions.where(F.col("evt_dt") <= last)
 
+    return daily_rows(activity(recent), cumulative(sessions), power_on_counts(events, power_on_by_model), power_on_by_model)
+
+
+def daily_rows(counts: DataFrame, totals: DataFrame, power_ons: DataFrame, power_on_by_model: bool = False) -> DataFrame:
+    """The daily table of the (day, model) rows of ``counts``, with their running totals and power-ons."""
     # Three small frames of one row per (day, model) are stacked and folded: unlike a join this takes
     # an unknown (NULL) model as a value of its own.
-    frames = [activity(recent), cumulative(sessions), power_on_counts(events, power_on_by_model)]
+    frames = [counts, totals, power_ons]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     keys = ["evt_dt", "deviceCode"]
     rows = stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in stacked.columns if c not in keys])

@@ -28,7 +28,7 @@ def returned(days: Column, offset: int) -> Column:
     return F.array_intersect(days, F.transform(days, lambda day: F.date_add(day, offset)))
 
 
-def _tag(name: str, days: Column) -> Column:
+def tag(name: str, days: Column) -> Column:
     return F.transform(days, lambda day: F.struct(F.lit(name).alias("what"), day.alias("day")))
 
 
@@ -58,34 +58,34 @@ def build_retention(
         F.min("evt_dt").alias("first_day"), F.collect_set(F.when(near, F.col("evt_dt"))).alias("days")
     )
     device_days = active_days(sessions.where(near & F.col("pump_device_id").isNotNull()), "pump_device_id")
-    counts = _count(user_days, _activity("users") + _cohort()).unionByName(_count(device_days, _activity("devices")))
-    return _assemble(counts, F.sequence(first, last) if days is None else F.array(*[F.lit(d) for d in days]))
+    counts = count_tags(user_days, _activity("users") + _cohort()).unionByName(count_tags(device_days, _activity("devices")))
+    return assemble(counts, F.sequence(first, last) if days is None else F.array(*[F.lit(d) for d in days]))
 
 
 def _activity(kind: str) -> list[Column]:
-    tags = [_tag(f"base_{kind}", F.col("days"))]
+    tags = [tag(f"base_{kind}", F.col("days"))]
     for n in OFFSETS:
-        tags.append(_tag(f"d{n}_retained_{kind}", F.when(F.col("id").isNotNull(), returned(F.col("days"), n))))
+        tags.append(tag(f"d{n}_retained_{kind}", F.when(F.col("id").isNotNull(), returned(F.col("days"), n))))
     return tags
 
 
 def _cohort() -> list[Column]:
     """New users on their first day, and those of them active exactly n days later."""
     first_day = F.array("first_day")
-    tags = [_tag("new_users_base", first_day)]
+    tags = [tag("new_users_base", first_day)]
     for n in OFFSETS:
         stayed = F.col("id").isNotNull() & F.array_contains("days", F.date_add("first_day", n))
-        tags.append(_tag(f"cohort_d{n}", F.when(stayed, first_day)))
+        tags.append(tag(f"cohort_d{n}", F.when(stayed, first_day)))
     return tags
 
 
-def _count(day_sets: DataFrame, tags: list[Column]) -> DataFrame:
+def count_tags(day_sets: DataFrame, tags: list[Column]) -> DataFrame:
     none = F.array().cast("array<struct<what:string,day:date>>")
     tagged = F.concat(*[F.coalesce(t, none) for t in tags])
     return day_sets.select(F.explode(tagged).alias("t")).groupBy("t.what", "t.day").agg(F.count("*").alias("n"))
 
 
-def _assemble(counts: DataFrame, base_days: Column) -> DataFrame:
+def assemble(counts: DataFrame, base_days: Column) -> DataFrame:
     """Tagged day counts -> one wide row per base_dt; works on a few rows per day."""
     # A base set of day d is the denominator of d+1, d+7 and d+14.
     shift = F.when(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark import schemas
 from tidemark.functions import event_fields as ef
 from tidemark.functions.labels import mode_name
-from tidemark.sources.writers import latest_by_key
+from tidemark.sources.writers import latest_by_key, on_days
 
 # Event names of the log.
 START, END = "pump_session_start", "pump_session_end"
@@ -148,12 +148,6 @@ def touched_days(events: DataFrame, busi_date: str, late_days: int) -> DataFrame
     return window.where(F.col("evt_dt").isNotNull()).select("evt_dt").distinct()
 
 
-def on_days(df: DataFrame, days: list, column: str = "evt_dt") -> DataFrame:
-    """Rows of the given days, None among them for rows without one; a plain list prunes partitions."""
-    known = F.col(column).isin([d for d in days if d is not None])
-    return df.where(known | F.col(column).isNull() if None in days else known)
-
-
 def affected_start_days(hours: DataFrame, ids: DataFrame) -> DataFrame:
     """The days on which the given sessions started."""
     return _starts(hours).join(ids, "useSessionId", "left_semi").select("evt_dt").distinct()
@@ -176,6 +170,34 @@ def rebuild_start_days(hours: DataFrame, start_days: DataFrame) -> DataFrame:
     return sessions.join(start_days, "evt_dt", "left_semi").select(*sessions.columns)
 
 
+def session_days(hours: DataFrame, buckets: int) -> DataFrame:
+    """The index rows of hour rows: session id -> its days, hash-dealt by id, so that the days of some ids are found without the hours."""
+    rows = hours.groupBy("evt_dt", "useSessionId").agg(F.bool_or(F.col("start.evt_dt").isNotNull()).alias("started"))
+    return rows.withColumn("bucket", id_bucket(buckets)).select(*schemas.column_names(schemas.SESSION_DAYS))
+
+
+def id_bucket(buckets: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*(columns or ["useSessionId"])), F.lit(buckets)).cast("int")
+
+
+def days_of(index: DataFrame, ids: DataFrame, buckets: int, started: bool = False) -> list:
+    """The days of the given session ids, or those on which they start: calendar days. Only the ids' buckets are read."""
+    ids = ids.select("useSessionId", id_bucket(buckets).alias("bucket")).distinct()
+    wanted = [r[0] for r in ids.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    rows = index.where(F.col("bucket").isin(wanted))
+    if started:
+        rows = rows.where("started")
+    return [r[0] for r in rows.join(ids, ["bucket", "useSessionId"], "left_semi").select("evt_dt").distinct().collect()]
+
+
+def rebuild_from_index(hours: DataFrame, index: DataFrame, starts: list, buckets: int) -> DataFrame:
+    """``rebuild_start_days`` without a scan of all hours: the index names the days on which the sessions have any."""
+    ids = on_days(index, starts).where("started").select("useSessionId").distinct()
+    rows = on_days(hours, days_of(index, ids, buckets))
+    sessions = finish_sessions(rows.join(ids, "useSessionId", "left_semi"))
+    return on_days(sessions, starts)
+
+
 def build_session_modes(events: DataFrame, busi_date: str | None = None, late_days: int = 7) -> DataFrame:
     """One row per (evt_dt, useSessionId, modeType) of the end events.
 

@@ -67,6 +67,36 @@ RETENTION = """
     new_users_base BIGINT, cohort_d1_ret DECIMAL(8,5), cohort_d7_ret DECIMAL(8,5), cohort_d14_ret DECIMAL(8,5)
 """
 
+# Which ids were active on which days: one bit a day, 32 days a row.
+ACTIVITY_BITS = """
+    period INT, kind STRING, id STRING, deviceCode STRING, bits BIGINT
+"""
+
+# The first day of every user, device and session id with every model. Of an id's rows, is_new marks those of its very
+# first day and is_one a single one of these.
+FIRST_SEEN = """
+    bucket INT, kind STRING, id STRING, deviceCode STRING, day DATE, is_new BOOLEAN, is_one BOOLEAN
+"""
+
+# On which days a session id has events, and whether it starts there.
+SESSION_DAYS = """
+    evt_dt DATE, bucket INT, useSessionId STRING, started BOOLEAN
+"""
+
+# What a day adds to the running totals.
+INCREMENTS = """
+    evt_dt DATE, deviceCode STRING, model_users BIGINT, new_users BIGINT, any_users BIGINT,
+    model_devices BIGINT, new_devices BIGINT, any_devices BIGINT, model_sessions BIGINT, any_sessions BIGINT, seconds BIGINT
+"""
+
+# What a nightly run is about to change, by the name of the run: days of events, of starts and of moved first sightings.
+RUN_DAYS = """
+    run STRING, what STRING, day DATE
+"""
+RUN_IDS = """
+    run STRING, useSessionId STRING
+"""
+
 USER_FLAGS = """
     uid STRING, country_ad_ch STRING, data_source STRING, active_status STRING, deleted STRING,
     event_date STRING, update_date STRING, act_flag STRING, device_vis_flag STRING, stat_vis_flag STRING,
@@ -88,6 +118,12 @@ TABLES = {
     "session_modes": (SESSION_MODES, ["evt_dt"], ["evt_dt", "useSessionId", "modeType"]),
     "daily": (DAILY, ["evt_dt"], ["evt_dt", "deviceCode"]),
     "retention": (RETENTION, ["base_dt"], ["base_dt", "deviceCode"]),
+    "activity_bits": (ACTIVITY_BITS, ["period"], ["period", "kind", "id", "deviceCode"]),
+    "first_seen": (FIRST_SEEN, ["bucket"], ["kind", "id", "deviceCode"]),
+    "session_days": (SESSION_DAYS, ["evt_dt", "bucket"], ["useSessionId", "evt_dt"]),
+    "increments": (INCREMENTS, ["evt_dt"], ["evt_dt", "deviceCode"]),
+    "run_days": (RUN_DAYS, ["run"], ["run", "what", "day"]),
+    "run_ids": (RUN_IDS, ["run"], ["run", "useSessionId"]),
     "user_flags": (USER_FLAGS, [], []),
     "devices": (DEVICES, [], []),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark import schemas
 from tidemark.sources.tables import table_path
@@ -48,25 +48,58 @@ def write_report_day(df: DataFrame, root: str, name: str, report_day: str) -> st
     return path
 
 
-def replace_days(df: DataFrame, root: str, name: str, days: list) -> str:
-    """Overwrite the given days of a table partitioned by day, also those for which ``df`` has no rows any more.
+def replace_days(df: DataFrame, root: str, name: str, days: list, run: str = "") -> str:
+    """Overwrite the given values of the first partition column, also those for which ``df`` has no rows any more.
 
-    The rows are written to a staging folder first: which days came back empty is then read off its partitions, and
-    the table may be among the sources of ``df``.
+    The rows are written to a staging folder first, one per ``run``, as the table may be among the sources of ``df``.
     """
-    ddl, (day,), _ = schemas.TABLES[name]
-    staging = write_days(df, f"{root.rstrip('/')}/_staging", name, "static")
-    spark = df.sparkSession
-    staged = spark.read.schema(ddl).parquet(staging)
-    found = {r[0] for r in staged.select(day).distinct().collect()}  # calendar days
+    staged = stage(df, root, name, run)
+    path = publish(staged, root, name, days)
+    if run:
+        ddl = schemas.TABLES[name][0]
+        _empty(df.sparkSession, table_path(_staging(root, run), name), ddl, [])
+    return path
+
+
+def _staging(root: str, run: str) -> str:
+    return f"{root.rstrip('/')}/_staging{run and '/' + run}"
+
+
+def stage(df: DataFrame, root: str, name: str, run: str = "") -> DataFrame:
+    """The rows, written and read back from the staging folder of the run."""
+    path = write_days(df, _staging(root, run), name, "static")
+    return df.sparkSession.read.schema(schemas.TABLES[name][0]).parquet(path)
+
+
+def publish(staged: DataFrame, root: str, name: str, days: list) -> str:
+    """Put staged rows in place: their partitions are overwritten, others of the given days emptied. May be repeated."""
+    ddl, columns, _ = schemas.TABLES[name]
+    found = {tuple(r) for r in staged.select(*columns).distinct().collect()}  # partition values only
     path = write_days(staged, root, name)
-    empty = spark.createDataFrame([], ddl).drop(day)
-    for gone in sorted(set(days) - found, key=str):
-        value = "__HIVE_DEFAULT_PARTITION__" if gone is None else gone
-        empty.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/{day}={value}")
+    table = staged.sparkSession.read.schema(ddl).parquet(path)
+    stored = {tuple(r) for r in on_days(table, days, columns[0]).select(*columns).distinct().collect()}
+    for gone in sorted(stored - found, key=str):
+        folder = "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for c, v in zip(columns, gone))
+        _empty(staged.sparkSession, f"{path}/{folder}", ddl, columns)
     return path
 
 
+def clear_run(spark: SparkSession, root: str, name: str, run: str) -> None:
+    """Take a finished run out of a table of runs."""
+    ddl, (column,), _ = schemas.TABLES[name]
+    _empty(spark, f"{table_path(root, name)}/{column}={run}", ddl, [column])
+
+
+def _empty(spark: SparkSession, path: str, ddl: str, drop: list[str]) -> None:
+    spark.createDataFrame([], ddl).drop(*drop).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+
+
+def on_days(df: DataFrame, days: list, column: str = "evt_dt") -> DataFrame:
+    """Rows of the given days, None among them for rows without one; a plain list prunes partitions."""
+    known = F.col(column).isin([d for d in days if d is not None])
+    return df.where(known | F.col(column).isNull() if None in days else known)
+
+
 def write_frames(frames: dict[str, DataFrame], root: str, fmt: str = "parquet") -> dict[str, str]:
     """Write each frame of a section to its own folder; returns name -> path."""
     paths = {}
