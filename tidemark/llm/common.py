@@ -46,6 +46,14 @@ class WorkTables:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name`` with as many underscores as keep it from being a column of any of the frames, in any case of letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(column: str = "text"):
     """The UTF-8 bytes of a text, null as no bytes; string columns only reach Python as bytes."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WorkTables, row_slices, text_bytes
+from tidemark.llm.common import free_name, row_slices, text_bytes, WorkTables
 from tidemark.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -91,15 +91,14 @@ def links(prints: DataFrame, tables: WorkTables, max_bits: int = MAX_BITS, list_
         .select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
     )
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(64)])
-    if max_bits < 2:
-        flips = F.array(F.lit(0).cast("long"))
-    near = (
-        posted.where(F.col("count") > list_rows)
-        .select("fp")
-        .distinct()
-        .select("fp", F.explode(flips).alias("bit"))
-        .select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("centre"))
-    )
+    long = posted.where(F.col("count") > list_rows).select("fp").distinct()
+    if max_bits == 0:
+        return pairs.distinct()
+    near = long.select("fp", F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("centre"))
+    if max_bits == 1:
+        # Fingerprints with a centre in common may differ by two bits; here the centre itself must be a fingerprint.
+        ends = near.join(long.select(F.col("fp").alias("end")), F.col("centre") == F.col("end")).where(F.col("fp") < F.col("end"))
+        return pairs.unionByName(ends.select(F.col("fp").alias("a"), F.col("end").alias("b"))).distinct()
     hubs = near.groupBy("centre").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).where(F.col("hub") < F.col("top"))
     stars = near.join(hubs, "centre").where(F.col("fp") != F.col("hub")).select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
@@ -121,23 +120,36 @@ def near_duplicates(
     tables = WorkTables(docs.sparkSession, "simhash")
     prints = tables.write("prints", fingerprints(docs, shingle_words, id_col, text_col))
     distinct = tables.write("distinct", prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = _roots(distinct, tables, max_bits)
+    ids = roots.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = roots.join(ids, "component").select("fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def _roots(distinct: DataFrame, tables: WorkTables, max_bits: int) -> DataFrame:
+    """Distinct fingerprints (fp, least) with their component."""
     grouped = components(links(distinct.select("fp"), tables, max_bits), tables)
     roots = distinct.join(grouped.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
-    roots = tables.write("roots", roots)
-    ids = roots.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = roots.join(ids, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return tables.write("roots", roots)
 
 
 def one_per_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, all columns kept.
+    """One row of each near-duplicate group of ``docs``, all columns kept: that with the smallest doc_id.
 
-    Rows that repeat a doc_id that stays are folded into one of them. Rows without an id cannot be named as anyone's
-    copy and stay.
+    Rows of one id are judged row by row: unlike texts are in groups of their own and all stay. Of a group's rows with one id, that with
+    the smallest fingerprint and then the smallest hash of all columns stays, whatever the order of rows; rows equal in every column are
+    one. Rows without an id cannot be named as anyone's copy and stay. Null, empty and blank texts are one group, texts of any
+    length have one fingerprint; columns may have any names; no rows: no rows.
     """
-    named = near_duplicates(docs.where("doc_id is not null"), shingle_words, max_bits)
-    kept = named.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id is null"))
+    tables = WorkTables(docs.sparkSession, "simhash")
+    row = free_name("_row", docs)
+    marked = docs.where("doc_id is not null").withColumn(row, F.xxhash64(*[docs[c] for c in docs.columns]))
+    prints = tables.write("prints", fingerprints(marked, shingle_words, row, "text").distinct().withColumnRenamed("doc_id", "row"))
+    ids = marked.select(F.col(row).alias("row"), F.col("doc_id").alias("id")).distinct()
+    distinct = prints.join(ids, "row").groupBy("fp").agg(F.min(F.struct("id", "row")).alias("least"))
+    roots = _roots(tables.write("distinct", distinct), tables, max_bits)
+    first = roots.groupBy("component").agg(F.min(F.struct("least.id", "fp", "least.row")).alias("first"))
+    chosen = marked.join(first.select(F.col("first.row").alias(row)), row, "left_semi").dropDuplicates([row])
+    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))
