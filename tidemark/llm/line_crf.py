@@ -191,7 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS, line
 
     # The sample is bounded by ``sample`` ids, so it may go to every task.
     texts = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "t")
-    rows = texts.mapInArrow(run, "doc_id long, quality int, x array<double>").limit(2 * sample).toPandas()
+    # One text per id, whatever the order of rows: that with the smallest hash.
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    rows = texts.mapInArrow(run, "doc_id long, quality int, x array<double>").toPandas()
     rows = rows.assign(h=[tuple(x[:FEATURES]) for x in rows["x"]], n=rows["x"].map(len)).sort_values(["doc_id", "n", "h"])
     return train([np.asarray(x).reshape(-1, FEATURES) for x in rows["x"]], rows["quality"].to_numpy())
 
