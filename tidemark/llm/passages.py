@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RangeHashes, WordHashes, WorkTables, row_slices, text_bytes
+from tidemark.llm.common import free_name, RangeHashes, row_slices, text_bytes, WordHashes, WorkTables
 
 WINDOW = 50
 ANCHOR = 8
@@ -204,12 +204,13 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
             pa.string(),
         )
 
-    side = united(spans).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("removed_spans").alias("_spans"))
     plain = docs.drop("n_words", "removed_spans")
-    joined = plain.join(side, (plain[id_col] == F.col("_d")) & (F.xxhash64(plain[text_col]) == F.col("_k")), "left")
+    doc, key, cuts = (free_name(name, plain) for name in ("_d", "_k", "_spans"))
+    side = united(spans).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("removed_spans").alias(cuts))
+    joined = plain.join(side, (plain[id_col] == F.col(doc)) & (F.xxhash64(plain[text_col]) == F.col(key)), "left")
     udf = F.arrow_udf(cut_all, "string")
     return joined.select(
-        *[udf(plain[text_col], F.col("_spans")).alias(text_col) if c == text_col else plain[c] for c in plain.columns],
+        *[udf(plain[text_col], F.col(cuts)).alias(text_col) if c == text_col else plain[c] for c in plain.columns],
         F.coalesce(F.regexp_count(plain[text_col], F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("n_words"),
-        F.col("_spans").alias("removed_spans"),
+        F.col(cuts).alias("removed_spans"),
     )

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WorkTables, list_column, row_slices, text_bytes
+from tidemark.llm.common import free_name, list_column, row_slices, text_bytes, WorkTables
 
 WINDOW_WORDS = 10
 QUERY_WINDOWS = 20_000
@@ -247,5 +247,6 @@ def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
     """The rows of ``docs`` in which no window of ``items`` occurs, all columns kept (null texts stay)."""
-    hit = contamination(docs, items, window_words).where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(docs["text"]) == F.col("hit_key")), "left_anti")
+    doc, key = free_name("hit_id", docs), free_name("hit_key", docs)
+    hit = contamination(docs, items, window_words).where("n_hit > 0").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(key)), "left_anti")
