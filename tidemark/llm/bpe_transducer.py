@@ -40,7 +40,7 @@ class Transducer:
     and as many of the pieces met before those.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_pieces: int = 150_000, long_piece: int = 100):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 350_000, max_pieces: int = 160_000, long_piece: int = 100):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {i: token for token, i in ranks.items()}
         # Prefix -> itself, so that states share their bytes.
@@ -90,7 +90,7 @@ class Transducer:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether two tokens are the encoding of their own bytes; any token may come first."""
-        if len(self.neighbours) >= self.max_states:
+        if len(self.neighbours) >= 2 * self.max_states:
             self.neighbours.clear()
         fits = self.neighbours[a, b] = a == START or self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
         return fits
