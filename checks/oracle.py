@@ -12,6 +12,7 @@ from checks.params import (
     AS_OF_DEVICES,
     AS_OF_USERS,
     END,
+    FIRMWARE_VERSIONS,
     FROM_DAY,
     MODEL,
     START,
@@ -300,11 +301,14 @@ _EXTRA = " || ".join(
     ]
 )
 _REST = """',"eventSessionId":"' || eventSessionId || '","deviceId":"phone","os":"' || os || '","timezoneOffset":"GMT+0"}'"""
-Q["m1_event_explode"] = sql(
-    f"""
+_EXPLODED = f"""
     SELECT *, '{{"extraData":' || CASE WHEN CAST(useSessionId AS BIGINT) % 2 = 0 THEN extraData
       ELSE '"' || replace(extraData, '"', chr(92) || '"') || '"' END || {_REST} AS content
-    FROM (SELECT *, {_EXTRA} AS extraData FROM ({_EVENTS}))""",
+    FROM (SELECT *, {_EXTRA} AS extraData FROM ({_EVENTS}))"""
+Q["m1_event_explode"] = sql(_EXPLODED, "dwd")
+Q["w1_upsert_two_loads"] = sql(
+    f"""SELECT * EXCLUDE (writetime, writetime_dt) REPLACE (CASE WHEN id % 3 = 0 THEN 'resent' ELSE eventName END AS eventName)
+    FROM ({_EXPLODED})""",
     "dwd",
 )
 _SESSIONS = f"""
@@ -994,6 +998,8 @@ _rare = "model = 'purchase' AND source = 'EU' AND status = 1"
 Q["f5_version_matrix"] = _matrix(_ftrend(DEV_DAY, _rare))
 # Seen from half a year later nothing is recent, so all rows stay.
 Q["f5_version_matrix_fallback"] = _matrix(_ftrend(DEV_DAY, _rare))
+_cells = ", ".join(f"coalesce(sum(devices) FILTER (version = '{v}'), 0)::BIGINT AS \"{v}\"" for v in FIRMWARE_VERSIONS)
+Q["f5_version_matrix_wide"] = sql(f"SELECT create_date, {_cells} FROM ({_ftrend(DEV_DAY, _rare)}) GROUP BY 1", "dev")
 _DETAIL = f"""SELECT name AS device_name, right(device_id, 8) AS id_suffix, sn, model, type_id, mac, version,
     {STATUS} AS status, CAST(ts AS DATE) AS create_time, CAST(ts AS DATE) AS update_time, CAST(ts AS DATE) AS last_login,
     {REGION} AS region FROM dev WHERE {{}}"""

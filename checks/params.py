@@ -8,3 +8,4 @@ AS_OF_DEVICES = "2024-01-30"
 FROM_DAY, TO_DAY = "1996-03-01", "1999-10-15"
 USER_QUERY_COUNTRIES = ["NATION_1", "NATION_2", "NATION_3", "NATION_7"]
 USER_QUERY_SOURCES = ["EC", "AP"]
+FIRMWARE_VERSIONS = ["0", "1", "2", "3", "4", "5", "6"]

@@ -14,6 +14,7 @@ from checks.params import (
     AS_OF_DEVICES,
     AS_OF_USERS,
     END,
+    FIRMWARE_VERSIONS,
     FROM_DAY,
     GAP_DAY,
     MODEL,
@@ -42,7 +43,7 @@ from tidemark.plans.sessions import (
     touched_days,
 )
 from tidemark.sources.tables import read_table
-from tidemark.sources.writers import latest_by_key
+from tidemark.sources.writers import latest_by_key, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,6 +82,15 @@ def _resent(m: TestMarts) -> DataFrame:
     return latest.select("id", "dt", "eventName")
 
 
+def _two_loads(m: TestMarts) -> DataFrame:
+    """The event table after two loads: newer copies of a third of the events first, then all events as they were."""
+    root = f"{shared_folder(m.spark).rstrip('/')}/tidemark-loads-{uuid.uuid4().hex}"
+    newer = m.events.where("id % 3 = 0").withColumns({"writetime": F.col("writetime") + 1000, "eventName": F.lit("resent")})
+    for load in (newer, m.events):
+        upsert(load, root, "events", [F.col("writetime")])
+    return read_table(m.spark, root, "events").drop("writetime", "writetime_dt")
+
+
 def _touched(m: TestMarts) -> DataFrame:
     """Every day with events in the last report days, rebuilt from all events known by then."""
     known = m.events.where(F.col("dt") <= F.lit(END).cast("date"))
@@ -131,6 +141,7 @@ query("m_chain_modes_from_raw_log", lambda m: build_session_modes(explode_events
 query("m4_cumulative_from_increments", lambda m: running_totals(m.increments))
 query("m5_retention_from_bits", lambda m: state.retention_from_bits(m.activity_bits, m.first_seen, _days_between(*RETENTION_RANGE)))
 query("w1_latest_by_key", _resent)
+query("w1_upsert_two_loads", _two_loads)
 query("w2_nightly_sessions", lambda m: m.nightly.sessions)
 query("w2_nightly_modes", lambda m: m.nightly.session_modes)
 query("w2_nightly_daily", lambda m: m.nightly.daily)
@@ -270,9 +281,9 @@ def _labels(m: TestMarts) -> DataFrame:
     return rows.agg(F.count("*").alias("devices"))
 
 
-def _matrix(m: TestMarts, as_of: str) -> DataFrame:
+def _matrix(m: TestMarts, as_of: str, versions: list[str] | None = None) -> DataFrame:
     trend = firmware.version_trend(m.devices, AS_OF_DEVICES, model="purchase", region="EU", status="unbound")
-    return firmware.zero_filled(trend, as_of)
+    return firmware.version_matrix(trend, as_of, versions) if versions else firmware.zero_filled(trend, as_of)
 
 
 query("f1_version_trend", lambda m: firmware.version_trend(m.devices, AS_OF_DEVICES))
@@ -289,6 +300,7 @@ query(
 )
 query("f5_version_matrix", lambda m: _matrix(m, AS_OF_DEVICES))
 query("f5_version_matrix_fallback", lambda m: _matrix(m, "2024-07-30"))
+query("f5_version_matrix_wide", lambda m: _matrix(m, AS_OF_DEVICES, FIRMWARE_VERSIONS))
 query("f6_device_details", lambda m: firmware.device_details(m.devices))
 query(
     "f6_device_details_filtered",

@@ -3,11 +3,12 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import frame, log, rows, session
 from tidemark.marts import Marts
 from tidemark.plans.chain import run_chain
 from tidemark.sources.tables import read_table, register_views, run_sql
-from tidemark.sources.writers import write_days, write_frames
+from tidemark.sources.writers import upsert, write_days, write_frames
 
 D = dt.date.fromisoformat
 
@@ -186,3 +187,41 @@ def test_round_trip(spark, tmp_path, table):
     write_days(df, str(tmp_path), table)
     (tmp_path / table).mkdir(exist_ok=True)
     assert read_table(spark, str(tmp_path), table).schema.simpleString() == df.schema.simpleString()
+
+
+def test_upsert_keeps_the_newer_row(spark, tmp_path):
+    root = str(tmp_path)
+
+    def event(id_, day, written, name, evt_dt=None):
+        return {"id": id_, "dt": day, "writetime": written, "eventName": name, "evt_dt": evt_dt}
+
+    def load(*events):
+        upsert(frame(spark, "events", list(events)), root, "events", [F.col("writetime")])
+        return rows(read_table(spark, root, "events"), "id", "dt", "eventName")
+
+    one, two = D("2024-01-01"), D("2024-01-02")
+    load(event(1, "2024-01-01", 20, "new", "2024-01-01"), event(2, "2024-01-01", 5, "a", "2023-12-31"), event(9, "2024-01-02", 5, "other"))
+    # A late copy of an old row, a newer copy that moves to another event day, an equal one, a new key, a key met twice.
+    got = load(
+        event(1, "2024-01-01", 10, "old", "2024-01-01"), event(2, "2024-01-01", 6, "b", "2024-01-01"),
+        event(3, "2024-01-01", 1, "c"), event(3, "2024-01-01", 2, "d"), event(4, "2024-01-01", None, None),
+    )
+    assert got == [(1, one, "new"), (2, one, "b"), (3, one, "d"), (4, one, None), (9, two, "other")]
+    assert load(event(1, "2024-01-01", 20, "again", "2024-01-01"))[0] == (1, one, "again")
+    assert load() == [(1, one, "again"), (2, one, "b"), (3, one, "d"), (4, one, None), (9, two, "other")]
+    with pytest.raises(ValueError):
+        upsert(frame(spark, "first_seen", []), root, "first_seen", [F.col("day")])
+
+
+def test_merging_rerun_adds_to_a_report_day(spark, tmp_path):
+    def run(root, *parts, merge):
+        for part in parts:
+            run_chain(spark, frame(spark, "raw", part), str(tmp_path / root), "2024-01-12", merge=merge)
+        return {t: rows(read_table(spark, str(tmp_path / root), t), *columns) for t, columns in tables.items()}
+
+    tables = {"sessions": ["useSessionId", "end_time", "uid"], "events": ["id", "writetime", "eventName"], "daily": ["evt_dt", "dau", "total_sessions"]}
+    whole = use(1, "2024-01-12", "2024-01-12") + use(2, "2024-01-11", "2024-01-12", "b")
+    old_copy = [{**whole[0], "writetime": 1, "content": whole[1]["content"]}]
+    expected = run("whole", whole, merge=False)
+    assert run("parts", whole[:3], [*whole[3:], *old_copy], merge=True) == expected
+    assert len(run("replaced", whole[:2], whole[2:], merge=False)["sessions"]) == 1  # a rerun replaces unless told to merge

@@ -46,7 +46,6 @@ def test_one_scan_per_report(tables):
         dist.adjusts_per_session(m, *SPAN),
         dist.weekly_cohorts(m, *SPAN),
         dist.streaks(m),
-        kpi.compare_days(m, END),
         kpi.pause_stats(m, *SPAN),
         kpi.adjust_summary(m, *SPAN),
         build_sessions(m.events),
@@ -78,3 +77,27 @@ def test_device_filters_reach_the_scan(tables):
 def test_latest_day_prunes_the_session_table(tables):
     text = plan(kpi.sessions_yesterday(tables.marts("sessions", "daily"), END))
     assert "dynamicpruning" in text
+
+
+def test_as_of_reports_read_the_days_they_show(tables):
+    m = tables.marts("daily", "retention")
+    for df in (kpi.compare_days(m, END), kpi.daily_snapshot(m, END)):
+        scans = re.findall(r"FileScan .*", plan(df))
+        assert len(scans) == 2
+        pruned = [s for s in scans if re.search(r"PartitionFilters: \[.*(scalar-)?subquery", s, re.I)]
+        index = [s for s in scans if "ReadSchema: struct<>" in s]  # day folders only
+        assert len(pruned) == len(index) == 1 and pruned != index
+    for df in (kpi.yesterday_card(m, END), kpi.retention_summary(m, *SPAN)):
+        scans = [s for s in re.findall(r"FileScan .*", plan(df)) if "PartitionFilters: []" in s]
+        assert all("ReadSchema: struct<>" in s or "ReadSchema: struct<deviceCode:string>" in s for s in scans)
+
+
+def test_version_matrix_reads_the_devices_twice(tables):
+    trend = firmware.version_trend(tables.devices, "2024-01-30")
+    for df in (firmware.zero_filled(trend, "2024-01-30"), firmware.version_matrix(trend, "2024-01-30", ["1", "2"])):
+        assert "Join" not in plan(df)
+        main = [line for line in plan(df).split("Subquery")[0].splitlines() if "FileScan" in line]
+        assert len(main) <= 1
+        df.collect()  # the dates are found once, whatever the number of their uses
+        assert "ReusedSubquery" in plan(df)
+    assert "Exchange" not in plan(firmware.device_details(tables.devices))

@@ -344,3 +344,40 @@ def test_zero_filled_dates_without_version(spark):
     trend = spark.createDataFrame([(D("2024-01-20"), "1", 3), (D("2024-01-21"), None, 2)], "create_date date, version string, devices long")
     got = [(r[0].day, r[1], r[2]) for r in firmware.zero_filled(trend, "2024-01-25").collect()]
     assert got == [(20, "1", 3), (21, "1", 0)]
+
+
+def test_version_matrix_with_a_column_per_version(spark):
+    trend = spark.createDataFrame(
+        [(D("2024-01-20"), "2.0", 5), (D("2024-01-21"), " 10", 3), (D("2024-01-21"), None, 9), (D("2024-01-22"), "x", 4), (D("2023-01-01"), "2.0", 1)],
+        "create_date date, version string, devices long",
+    )
+    wide = firmware.version_matrix(trend, "2024-01-25", ["2.0", "10", "none"])
+    assert wide.columns == ["create_date", "2.0", "10", "none"]
+    assert [(r[0].day, *r[1:]) for r in wide.collect()] == [(20, 5, 0, 0), (21, 0, 3, 0), (22, 0, 0, 0)]
+    assert firmware.version_matrix(trend, "2025-01-25", ["2.0"]).count() == 4  # nothing recent: everything
+    nothing = trend.where("false")
+    assert firmware.version_matrix(nothing, "2024-01-25", ["1"]).count() == firmware.zero_filled(nothing, "2024-01-25").count() == 0
+
+
+def test_as_of_days_with_gaps(spark):
+    daily = [{"evt_dt": d, "deviceCode": "D1", "dau": n} for d, n in (("2023-06-01", 7), ("2024-01-01", 5), ("2024-01-20", 3), ("2024-02-01", 9))]
+    retention = [{"base_dt": f"2024-01-{n:02d}", "deviceCode": "ALL", "d1_user_ret": n / 100} for n in range(1, 21)]
+    retention.append({"base_dt": "2024-01-15", "deviceCode": "D1", "d1_user_ret": 0.99})
+    marts = Marts(daily=frame(spark, "daily", daily), retention=frame(spark, "retention", retention))
+    row = kpi.compare_days(marts, "2024-01-20", names=["dau"]).first()
+    assert (row["now_dau"], row["prev_dau"], row["week_dau"]) == (3, 5, None)  # the day before is weeks ago
+    assert kpi.compare_days(marts, "2024-01-25", names=["dau"]).first()["week_dau"] == 3.0
+    assert kpi.daily_snapshot(marts, "2023-12-31").first()["dau"] == 7
+    assert kpi.daily_snapshot(marts, "2020-01-01").first()["dau"] is None
+    # The newest base day past the end, the day before the end, the last seven before it.
+    card = kpi.yesterday_card(marts, "2024-01-15").first()
+    assert card["d1_ret"] == 20.0 and card["d1_ret_d1_delta"] is not None
+    rates = kpi._compare_rates(marts, "2024-01-15", bounded=True, names=["d1_user_ret"]).first()
+    assert tuple(rates) == (0.15, 0.14, 0.11)
+
+
+def test_bars_of_all_rows(spark):
+    df = spark.createDataFrame([(str(i), float(i)) for i in range(20)], "l string, p double")
+    assert shaping.percent_bars(df, "p", ["l"], is_ratio=False, top=None).count() == 20
+    assert shaping.number_bars(df, "p", ["l"]).count() == 20
+    assert [r["bar_width"] for r in shaping.number_bars(df, "p", ["p"], top=2).collect()] == [0, 5]

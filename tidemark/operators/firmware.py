@@ -92,28 +92,50 @@ def version_distribution(
     return counts.withColumn("pct", ratio(F.col("devices") * 100, total, 1)).orderBy(F.desc("devices"), "version")
 
 
-def zero_filled(trend: DataFrame, as_of: str, days: int = TREND_DAYS) -> DataFrame:
-    """Date x version matrix in long form, 0 where a version has no device on a day.
+def _shown(trend: DataFrame, as_of: str, days: int) -> tuple[Column, DataFrame]:
+    """The dates shown, ascending, and one count per date and version.
 
-    Keeps the last 30 days, or everything when nothing falls into them; that and the dates are decided on all
-    rows of the trend, also those without a version. ``trend`` itself is the sparse form. Only dates, of which there are
-    no more than calendar days, are gathered; versions stay rows, and counts are joined to them.
+    The last 30 days are shown, or everything when nothing falls into them; that and the dates are decided on all rows of the
+    trend, also those without a version. Dates are no more than calendar days, so one value holds them.
     """
     since = F.date_sub(F.lit(as_of).cast("date"), days)
-    newest = trend.agg(F.max("create_date")).scalar()
-    rows = trend.where((F.col("create_date") >= since) | (newest < since))
-    dates = rows.agg(F.collect_set("create_date")).scalar()
+    known = trend.agg(F.sort_array(F.collect_set("create_date")).alias("known"))
+    recent = F.filter("known", lambda d: d >= since)
+    dates = known.select(F.when(F.size(recent) > 0, recent).otherwise(F.col("known"))).scalar()
     # Versions that differ in outer blanks only are the same; the last one counts.
-    named = rows.where(F.col("version").isNotNull() & ~F.trim("version").isin("", "null"))
+    named = trend.where(F.col("version").isNotNull() & ~F.trim("version").isin("", "null"))
     counts = named.groupBy("create_date", F.trim("version").alias("version")).agg(F.max_by("devices", "version").alias("devices"))
-    spine = counts.select("version").distinct().withColumn("create_date", F.explode(dates))
-    return (
-        spine.join(counts, ["create_date", "version"], "left")
-        .select("create_date", "version", F.coalesce("devices", F.lit(0)).alias("devices"))
-        .orderBy("create_date", *version_order(F.col("version")))
+    return dates, counts.where(F.array_contains(dates, F.col("create_date")))
+
+
+def zero_filled(trend: DataFrame, as_of: str, days: int = TREND_DAYS) -> DataFrame:
+    """Date x version matrix in long form, 0 where a version has no device on a day.
+
+    Keeps the last 30 days, or everything when nothing falls into them. ``trend`` itself is the sparse form; it is read twice, for
+    the dates and for the counts. The counts of a version, one per date at most, are gathered and spread over the dates, so
+    versions, however many, stay rows and no join is needed. Rows without a date show nothing.
+    """
+    dates, counts = _shown(trend, as_of, days)
+    lines = counts.groupBy("version").agg(F.map_from_entries(F.collect_list(F.struct("create_date", "devices"))).alias("found"))
+    cells = lines.select("version", "found", F.explode(dates).alias("create_date"))
+    return cells.select("create_date", "version", F.coalesce(F.col("found")[F.col("create_date")], F.lit(0)).alias("devices")).orderBy(
+        "create_date", *version_order(F.col("version"))
     )
 
 
+def version_matrix(trend: DataFrame, as_of: str, versions: list[str], days: int = TREND_DAYS) -> DataFrame:
+    """The same matrix with one column per version of ``versions``, in that order; one row per date shown.
+
+    The list is the caller's, for example the rows of ``version_domain``, so no job runs to find it. Versions that are not
+    in the list have no column but their dates keep their rows. A name may be listed once.
+    """
+    dates, counts = _shown(trend, as_of, days)
+    days_shown = trend.sparkSession.range(1).select(F.explode(dates).alias("create_date"))
+    blank = days_shown.select("create_date", F.lit(None).cast("string").alias("version"), F.lit(None).cast("long").alias("devices"))
+    wide = counts.unionByName(blank).groupBy("create_date").pivot("version", versions).agg(F.sum("devices"))
+    return wide.fillna(0, [f"`{v}`" for v in versions]).orderBy("create_date")
+
+
 def device_details(
     devices: DataFrame,
     model: str | None = None,
@@ -121,11 +143,14 @@ def device_details(
     status: str | None = None,
     rows: int | None = None,
 ) -> DataFrame:
-    """All devices by id with readable status and region, or the first ``rows`` of them."""
+    """All devices with readable status and region, or the first ``rows`` of them by id.
+
+    Only a page of ``rows`` is in order; a frame of all devices is not sorted as a whole, its reader sorts what it shows.
+    """
     names = {code: label for label, code in STATUS_CODES.items()}
-    found = apply_filter(devices, model, region, status).orderBy("device_id")
+    found = apply_filter(devices, model, region, status)
     if rows is not None:
-        found = found.limit(rows)  # sort and cut first (a top-k), parse JSON for what remains
+        found = found.orderBy("device_id").limit(rows)  # sort and cut first (a top-k), parse JSON for what remains
     return with_version(found).select(
         "device_name",
         F.right("device_id", F.lit(8)).alias("id_suffix"),

@@ -132,6 +132,17 @@ def _mean(value: Column, digits: int) -> Column:
     return F.round(F.avg(value.cast("decimal(28,12)")), digits).cast("double")
 
 
+def _days_wanted(rows: DataFrame, day: str, last: Column | None, pick) -> Column:
+    """The days of a table up to ``last`` that ``pick`` takes from the list of all, newest first, as a scalar subquery.
+
+    Only the day column is read for it. Compared with a partition column, it prunes partitions when the query runs.
+    """
+    if last is not None:
+        rows = rows.where(F.col(day) <= last)
+    known = rows.agg(F.sort_array(F.collect_set(day), asc=False).alias("known"))
+    return known.select(pick(F.col("known"))).scalar()
+
+
 def compare_days(
     marts: Marts, end: str, device_code: str | None = None, names: list[str] | None = None
 ) -> DataFrame:
@@ -139,19 +150,27 @@ def compare_days(
     (``prev_*``), and its mean over the days present among the seven before ``end`` (``week_*``).
 
     The snapshots cover all models while the mean honours the model filter. All three come out of one
-    pass over a frame of one row per day.
+    pass over a frame of one row per day, for which at most nine days of the table are read.
     """
     day, last = F.col("evt_dt"), as_date(end)
-    before = day <= F.date_sub(last, 1)
-    week = day.between(F.date_sub(last, 7), F.date_sub(last, 1))
+
+    def before(d: Column) -> Column:
+        return d <= F.date_sub(last, 1)
+
+    def week(d: Column) -> Column:
+        return d.between(F.date_sub(last, 7), F.date_sub(last, 1))
+
     names = names or list(SNAPSHOT_DIGITS)
-    days = _day_metrics(marts.daily.where(day <= last), device_code, names)
+    wanted = _days_wanted(
+        marts.daily, "evt_dt", last, lambda known: F.concat(F.slice(known, 1, 1), F.slice(F.filter(known, before), 1, 1), F.filter(known, week))
+    )
+    days = _day_metrics(marts.daily.where(F.array_contains(wanted, day)), device_code, names)
     suffix = "_own" if device_code else ""
     columns = []
     for name in names:
         columns.append(_at(name, F.lit(True)).alias(f"now_{name}"))
-        columns.append(_at(name, before).alias(f"prev_{name}"))
-        mean = _mean(F.when(week, F.col(f"{name}{suffix}")), SNAPSHOT_DIGITS[name][1])
+        columns.append(_at(name, before(day)).alias(f"prev_{name}"))
+        mean = _mean(F.when(week(day), F.col(f"{name}{suffix}")), SNAPSHOT_DIGITS[name][1])
         columns.append(mean.alias(f"week_{name}"))
     return days.agg(*columns)
 
@@ -162,7 +181,8 @@ def daily_snapshot(marts: Marts, day: str) -> DataFrame:
 
 
 def _snapshot(marts: Marts, day: str, names: list[str]) -> DataFrame:
-    days = _day_metrics(marts.daily.where(F.col("evt_dt") <= as_date(day)), None, names)
+    newest = _days_wanted(marts.daily, "evt_dt", as_date(day), lambda known: F.slice(known, 1, 1))
+    days = _day_metrics(marts.daily.where(F.array_contains(newest, F.col("evt_dt"))), None, names)
     return days.agg(*[_at(name, F.lit(True)).alias(name) for name in names])
 
 
@@ -191,21 +211,24 @@ RATES = ["d1_user_ret", "d7_user_ret", "d1_device_ret", "d7_device_ret"]
 
 def _compare_rates(marts: Marts, end: str, bounded: bool, names: list[str] = RATES) -> DataFrame:
     """One row: each retention rate on the latest base day, the latest before ``end``, and the mean of
-    the last seven rows before ``end``. ``bounded`` limits the latest row to base days <= ``end``."""
+    the last seven rows before ``end``. ``bounded`` limits the latest row to base days <= ``end``.
+    At most eight base days of the table are read."""
     day, last = F.col("base_dt"), as_date(end)
-    past = F.when(day <= F.date_sub(last, 1), day)
-    rows = marts.retention.where(F.col("deviceCode") == ALL).select("base_dt", *names)
-    # One row per day in this table: ranking it in a single partition is cheap.
-    rank = F.row_number().over(Window.partitionBy().orderBy(past.desc_nulls_last()))
-    rows = rows.withColumn("rank", F.when(past.isNotNull(), rank))
-    now = F.when(day <= last, day) if bounded else day
+
+    def past(d: Column) -> Column:
+        return d <= F.date_sub(last, 1)
+
+    rows = marts.retention.where(F.col("deviceCode") == ALL)
+    wanted = _days_wanted(
+        rows, "base_dt", last if bounded else None, lambda known: F.concat(F.slice(known, 1, 1), F.slice(F.filter(known, past), 1, 7))
+    )
     columns = []
     for name in names:
-        columns.append(F.max_by(name, now).cast("double").alias(f"now_{name}"))
-        columns.append(F.max_by(name, past).cast("double").alias(f"prev_{name}"))
-        mean = F.round(F.avg(F.when(F.col("rank") <= 7, F.col(name))), 5)
+        columns.append(F.max_by(name, day).cast("double").alias(f"now_{name}"))
+        columns.append(F.max_by(name, F.when(past(day), day)).cast("double").alias(f"prev_{name}"))
+        mean = F.round(F.avg(F.when(past(day), F.col(name))), 5)
         columns.append(mean.cast("double").alias(f"week_{name}"))
-    return rows.agg(*columns)
+    return rows.where(F.array_contains(wanted, day)).agg(*columns)
 
 
 def yesterday_card(marts: Marts, end: str, device_code: str | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Shaping of finished, small result frames for display."""
+"""Shaping of finished result frames for display."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.measures import first_rows, ratio
 
@@ -19,14 +19,17 @@ def clip(rows: DataFrame, start: str, end: str, day: str = "dt") -> DataFrame:
 
 
 def shares(rows: DataFrame, value: str) -> DataFrame:
-    """Add ``pct``: percent of the total with one decimal, 0 when the total is 0."""
+    """Add ``pct``: percent of the total with one decimal, 0 when the total is 0.
+
+    The total is folded where the rows are and comes as a scalar, so the rows, however many, stay where they are.
+    """
     amount = F.coalesce(F.col(value).try_cast("double"), F.lit(0.0))
-    total = F.sum(amount).over(Window.partitionBy())
+    total = rows.agg(F.sum(amount)).scalar()
     return rows.withColumn("pct", F.when(total > 0, F.round(amount / total * 100, 1)).otherwise(0.0))
 
 
 def _bars(rows: DataFrame, value: Column, floor: float) -> DataFrame:
-    top = F.greatest(F.max(value).over(Window.partitionBy()), F.lit(floor))
+    top = F.greatest(rows.agg(F.max(value)).scalar(), F.lit(floor))
     return rows.withColumn("bar_value", value).withColumn("bar_width", F.floor(ratio(value, top) * 100 + 0.5))
 
 
@@ -38,7 +41,7 @@ def percent_bars(rows: DataFrame, pct: str, order: list, is_ratio: bool = True,
     return first_rows(_bars(rows, value, PERCENT_FLOOR).orderBy(*order), top)
 
 
-def number_bars(rows: DataFrame, value: str, order: list) -> DataFrame:
-    """All rows in ``order`` with a bar width of 0-100 relative to the largest one."""
+def number_bars(rows: DataFrame, value: str, order: list, top: int | None = None) -> DataFrame:
+    """All rows in ``order``, or the first ``top``, with a bar width of 0-100 relative to the largest of all rows."""
     amount = F.coalesce(F.col(value).try_cast("double"), F.lit(0.0))
-    return _bars(rows, amount, NUMBER_FLOOR).orderBy(*order)
+    return first_rows(_bars(rows, amount, NUMBER_FLOOR).orderBy(*order), top)

@@ -28,9 +28,13 @@ def run_chain(
     power_on_by_model: bool = False,
     first_report: str | None = None,
     buckets: int = BUCKETS,
+    merge: bool = False,
 ) -> None:
     """Run all jobs for one report day, or for those from ``first_report`` on; a rerun replaces what an earlier run has brought.
 
+    With ``merge`` a rerun adds to it instead: stored events stay unless the log brings a copy written later, so a log of parts, or
+    one that holds old copies, cannot undo anything.
+
     The rows of the report days, those before and those now, name the event days and the sessions that may have
     changed. Those days are rebuilt whole, however old they are, from all events reported so far; days that come back
     empty are emptied. Daily totals are running totals, so they are renewed from the oldest changed day
@@ -40,7 +44,7 @@ def run_chain(
     of whatever report day, takes it over: all steps give the same result when they are repeated, so the tables end up as if
     nothing had happened, but for the report of the stopped run if its events had not been written yet.
     """
-    for _ in chain_steps(spark, raw, root, busi_date, power_on_by_model, first_report, buckets):
+    for _ in chain_steps(spark, raw, root, busi_date, power_on_by_model, first_report, buckets, merge):
         pass
 
 
@@ -52,6 +56,7 @@ def chain_steps(
     power_on_by_model: bool = False,
     first_report: str | None = None,
     buckets: int = BUCKETS,
+    merge: bool = False,
 ) -> Iterator[str]:
     """The steps of ``run_chain``, each named after it has been done."""
     last = date.fromisoformat(busi_date)
@@ -63,7 +68,10 @@ def chain_steps(
         return name
 
     # 1. What changes: days are calendar days and come to the driver, ids stay in a table.
-    fresh = stage(latest_events(explode_events(raw, first.isoformat(), busi_date)), root, "events", busi_date)
+    fresh = explode_events(raw, first.isoformat(), busi_date)
+    if merge:
+        fresh = fresh.unionByName(on_days(read_or_empty(spark, root, "events"), reported, "dt"))
+    fresh = stage(latest_events(fresh), root, "events", busi_date)
     fresh = fresh.select(*schemas.column_names(schemas.EVENTS))
     named = on_days(read_or_empty(spark, root, "events"), reported, "dt").unionByName(fresh)
     known_days, known_ids = read_or_empty(spark, root, "run_days"), read_or_empty(spark, root, "run_ids")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark import schemas
-from tidemark.sources.tables import table_path
+from tidemark.sources.tables import read_or_empty, table_path
 
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -61,6 +61,26 @@ def replace_days(df: DataFrame, root: str, name: str, days: list, run: str = "")
     return path
 
 
+def upsert(df: DataFrame, root: str, name: str, order: list[Column], run: str = "") -> str:
+    """Merge rows into a stored table: of the stored and the new rows of a key, the last one in ``order`` stays.
+
+    A late copy of an old row thus never replaces a newer stored one; of rows equal in ``order`` the new one wins. Nothing is
+    deleted but replaced rows. Only the partitions that ``df`` touches are read and written, so the first partition column
+    must belong to the key. Every row's key is dealt to one task by a shuffle on the key, in which a key that is met very often
+    is cut to one row per map task first. The merge may be repeated after a stop: it gives the same rows.
+    """
+    ddl, columns, keys = schemas.TABLES[name]
+    if not columns or columns[0] not in keys:
+        raise ValueError(f"rows of {name} cannot be merged: a key may lie in any partition")
+    names = schemas.column_names(ddl)
+    fresh = df.select(*names)
+    touched = [r[0] for r in fresh.select(columns[0]).distinct().collect()]  # partition values only
+    stored = on_days(read_or_empty(df.sparkSession, root, name), touched, columns[0]).withColumn("_new", F.lit(False))
+    rows = stored.unionByName(fresh.withColumn("_new", F.lit(True)))
+    latest = latest_by_key(rows, keys, [*order, F.col("_new"), F.xxhash64(*names)]).drop("_new")
+    return replace_days(latest, root, name, touched, run)
+
+
 def _staging(root: str, run: str) -> str:
     return f"{root.rstrip('/')}/_staging{run and '/' + run}"
 
