@@ -361,6 +361,38 @@ def test_passages_by_brute_force(corpus, nothing, module):
     assert module.without_repeats(nothing).count() == 0
 
 
+def test_paths_end_at_branches_and_gaps(spark):
+    # Source 1: a chain of four units, of which the node "12" has two ways out; source 2 starts there. Unit 9 stands apart.
+    rows = [(1, 0, 0, 3, 10, 11), (1, 0, 3, 1, 11, 12), (1, 0, 4, 2, 12, 13), (1, 0, 6, 1, 13, 14), (1, 0, 9, 1, 14, 15), (2, 0, 5, 1, 12, 20)]
+    units = spark.createDataFrame(rows, "s_doc long, s_key long, s_start int, n int, tail long, head long")
+    nodes = debruijn.through_nodes(units)
+    assert sorted(r.node for r in nodes.collect()) == [11, 13, 14]
+    got = {(r.s_doc, r.s_start): r.path for r in debruijn.compacted(units, nodes).collect()}
+    assert got == {(1, 0): 0, (1, 3): 0, (1, 4): 4, (1, 6): 4, (1, 9): 9, (2, 5): 5}
+    # Document 7 has units 0 to 5 twice over, once with a gap; the places at another shift are a span of their own.
+    met = [(7, 0, 100, 3, 0), (7, 0, 103, 1, 3), (7, 0, 103, 1, 3), (7, 0, 200, 3, 0), (7, 0, 300, 2, 4), (7, 0, 304, 1, 8)]
+    met = spark.createDataFrame([(*m, 1, 0, 0 if m[4] < 4 else 4) for m in met], "doc_id long, text_key long, start int, n int, s_start int, s_doc long, s_key long, path int")
+    spans = sorted((r.start, r.end) for r in debruijn.parallel_spans(met, 12).collect())
+    assert spans == [(100, 115), (200, 214), (300, 313), (304, 316)]
+
+
+def test_graph_of_texts_that_part_and_meet(spark):
+    """Common stretches with changed, left out and moved words, in many documents: the graph has branches of all kinds."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(40)}" for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for doc in range(1, 40):
+        words = list(base[rng.randrange(200) : rng.randrange(200, 400)])
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(words) + 1)
+            words[at : at + rng.randrange(3)] = [f"x{doc}"] * rng.randrange(2)
+        rows.append((doc // 2 if doc % 9 == 0 else doc, "\n".join(words * (1 + doc % 2))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = debruijn.without_repeats(docs, 12)
+    got = sorted((str(r.doc_id), r.n_words, WORD.findall(r.text)) for r in out.collect())
+    assert got == passages_by_brute_force(rows, 12)
+
+
 @pytest.mark.parametrize("module", [debruijn, sparse_suffix])
 def test_passages_of_few_words(spark, module):
     """Random texts of three words: windows of 12 words meet with many different surroundings."""
