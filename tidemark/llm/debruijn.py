@@ -156,14 +156,14 @@ def repeated_spans(rows: DataFrame, tables: WorkTables, window: int = WINDOW) ->
     """
     place = F.struct("doc_id", "text_key", "start").alias("source")
     found = tables.write("stretches", stretches(rows, window))
+    # Most minimisers stand in one document: their stretches go before anything wide is grouped.
+    met_twice = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    found = tables.write("shared", found.join(tables.write("anchors", met_twice.select("anchor")), "anchor", "left_semi"))
     facts = [F.min(place).alias("source"), F.min("tail").alias("tail"), F.min("head").alias("head")]
     kinds = tables.write("kinds", found.groupBy("anchor", "h1", "h2").agg(*facts, F.max("doc_id").alias("last"), F.min("n").alias("n")))
     digest = F.struct("h1", "h2")
-    anchors = kinds.groupBy("anchor").agg(
-        F.min("source.doc_id").alias("low"), F.max("last").alias("high"), (F.min(digest) < F.max(digest)).alias("branches")
-    )
-    anchors = tables.write("anchors", anchors.where("low < high").select("anchor", "branches"))
-    kinds = tables.write("shared", kinds.join(anchors, "anchor"))
+    branches = kinds.groupBy("anchor").agg((F.min(digest) < F.max(digest)).alias("branches"))
+    kinds = tables.write("sorted_out", kinds.join(tables.write("branches", branches), "anchor"))
     source = [F.col("source.doc_id").alias("s_doc"), F.col("source.text_key").alias("s_key"), F.col("source.start").alias("s_start")]
     kind = kinds.select("anchor", "h1", "h2", *source, "last", "branches")
     places = tables.write("places", found.join(kind, ["anchor", "h1", "h2"]).drop("anchor", "h1", "h2", "tail", "head"))
