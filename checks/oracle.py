@@ -1109,3 +1109,13 @@ def _section(frames: dict) -> str:
 
 for _name, _frames in _FRAMES.items():
     Q[f"w4_section_{_name}"] = _section(_frames)
+
+# Reports from the roll-up mart: the same results as from sessions.
+for _name in [
+    "k11_adjust_summary", "k12_pause_stats", "t15_mode_session_trend", "t16_mode_minutes_trend", "b1_final_modes", "b2_suction_levels",
+    "b3_top_hours", "b8_duration_buckets", "b9_mode_sessions", "b10_mode_minutes", "b11_mode_sessions_per_user",
+    "b12_mode_minutes_per_session", "b13_hours_by_day_type", "b13_hours_by_event_weekday", "b14_mode_by_level", "b15_modes_used",
+    "b17_level_directions", "b18_adjusts_per_session", "w4_section_overview", "w4_section_sessions", "w4_section_duration", "w4_section_habits",
+]:
+    Q[f"{_name}_from_rollups"] = Q[_name]
+Q["b1_final_modes_from_rollups_model"] = Q["b1_final_modes_model"]

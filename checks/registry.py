@@ -25,7 +25,7 @@ from checks.params import (
 )
 from checks.store import RETENTION_RANGE, TestMarts, shared_folder
 from tidemark.functions.labels import STATUS_CODES, region_name, relabel
-from tidemark.operators import distributions as dist, firmware, kpi, shaping, trends, userflags
+from tidemark.operators import distributions as dist, firmware, kpi, rollups, shaping, trends, userflags
 from tidemark.operators.userflags import UserFilter
 from tidemark.plans.chain import run_chain
 from tidemark.marts import in_range
@@ -237,6 +237,32 @@ report("b20_weekly_cohorts_model", "sessions", dist.weekly_cohorts, *SPAN, MODEL
 report("b20_weekly_cohorts_from_bits", "activity_bits first_seen", dist.weekly_cohorts_from_bits, *SPAN)
 report("b20_weekly_cohorts_from_bits_model", "activity_bits first_seen", dist.weekly_cohorts_from_bits, *SPAN, MODEL)
 
+# ---- the same reports from the roll-up mart -----------------------------------------------------------
+
+ROLLED = {
+    "k11_adjust_summary": rollups.adjust_summary,
+    "k12_pause_stats": rollups.pause_stats,
+    "t15_mode_session_trend": rollups.mode_session_trend,
+    "t16_mode_minutes_trend": rollups.mode_minutes_trend,
+    "b1_final_modes": rollups.final_modes,
+    "b2_suction_levels": rollups.suction_levels,
+    "b3_top_hours": rollups.top_hours,
+    "b8_duration_buckets": rollups.duration_buckets,
+    "b9_mode_sessions": rollups.mode_sessions,
+    "b10_mode_minutes": rollups.mode_minutes,
+    "b12_mode_minutes_per_session": rollups.mode_minutes_per_session,
+    "b13_hours_by_day_type": rollups.hours_by_day_type,
+    "b14_mode_by_level": rollups.mode_by_level,
+    "b15_modes_used": rollups.modes_used,
+    "b17_level_directions": rollups.level_directions,
+    "b18_adjusts_per_session": rollups.adjusts_per_session,
+}
+for _name, _fn in ROLLED.items():
+    report(f"{_name}_from_rollups", "rollups", _fn, *SPAN)
+report("b1_final_modes_from_rollups_model", "rollups", rollups.final_modes, *SPAN, MODEL)
+report("b11_mode_sessions_per_user_from_rollups", "rollups daily", rollups.mode_sessions_per_user, *SPAN)
+report("b13_hours_by_event_weekday_from_rollups", "rollups", rollups.hours_by_day_type, *SPAN, MODEL, weekday_source="evt_dt")
+
 # ---- user flags -----------------------------------------------------------------------------------
 
 ANY = UserFilter()
@@ -358,9 +384,9 @@ def _as_text(frame: str, df: DataFrame) -> DataFrame:
     return df.select(F.lit(frame).alias("frame"), F.concat_ws(", ", *parts).alias("row"))
 
 
-def _section(name: str) -> Callable[[TestMarts], DataFrame]:
+def _section(name: str, tables: str | None = None) -> Callable[[TestMarts], DataFrame]:
     def build(m: TestMarts) -> DataFrame:
-        frames = run_section(m.marts(*SECTION_TABLES[name].split()), name, *SPAN, as_of=AS_OF_DEVICES)
+        frames = run_section(m.marts(*(tables or SECTION_TABLES[name]).split()), name, *SPAN, as_of=AS_OF_DEVICES)
         return reduce(DataFrame.unionByName, [_as_text(frame, plain(df)) for frame, df in frames.items()])
 
     return build
@@ -368,3 +394,13 @@ def _section(name: str) -> Callable[[TestMarts], DataFrame]:
 
 for _name in SECTION_TABLES:
     query(f"w4_section_{_name}", _section(_name))
+
+# Sections over the roll-up mart; sessions and session modes are given only where users or devices are counted.
+ROLLED_TABLES = {
+    "overview": "daily retention rollups",
+    "sessions": "daily sessions rollups",
+    "duration": "daily rollups",
+    "habits": "events rollups",
+}
+for _name, _tables in ROLLED_TABLES.items():
+    query(f"w4_section_{_name}_from_rollups", _section(_name, _tables))

@@ -20,6 +20,7 @@ from tidemark.plans.chain import BUCKETS, run_chain
 from tidemark.plans.daily import build_daily
 from tidemark.plans.events import explode_events
 from tidemark.plans.retention import build_retention
+from tidemark.plans.rollups import session_rollups
 from tidemark.sources.tables import read_table
 from tidemark.sources.writers import write_days
 
@@ -106,6 +107,10 @@ class TestMarts:
         seconds = self.sessions.groupBy("evt_dt", "deviceCode").agg(F.sum("total_duration_sec").alias("seconds"))
         return self._table("increments", lambda: state.increments_from(self.first_seen, seconds))
 
+    @property
+    def rollups(self) -> DataFrame:
+        return self._table("rollups", lambda: session_rollups(self.sessions, self.session_modes))
+
     @property
     def nightly(self) -> Marts:
         """A warehouse as nightly runs leave it: a first load that lacks a third of some days, the rest, and the days once more, whole."""

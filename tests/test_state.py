@@ -18,7 +18,7 @@ from tidemark.plans.sessions import build_session_modes, build_sessions
 from tidemark.sources import writers
 from tidemark.sources.tables import read_table
 
-TABLES = ["events", "session_hours", "session_days", "sessions", "session_modes", "activity_bits", "first_seen", "increments", "daily", "retention"]
+TABLES = ["events", "session_hours", "session_days", "sessions", "session_modes", "activity_bits", "first_seen", "increments", "rollups", "daily", "retention"]
 FIRST = dt.date(2024, 1, 20)
 
 
@@ -74,10 +74,10 @@ def check_against_rebuild(spark, root, other):
     assert days[0] <= FIRST and len(days) >= 40
     whole = build_retention(sessions, days[0].isoformat(), days[-1].isoformat())
     assert content(marts.retention) == content(whole.where(whole.base_dt.isin(days)))
-    for name in ("session_hours", "sessions"):
+    for name in ("session_hours", "sessions", "session_modes"):
         shutil.copytree(f"{root}/{name}", f"{other}/{name}")
     rebuild_state(spark, other)
-    for name in ("session_days", "activity_bits", "first_seen", "increments"):
+    for name in ("session_days", "activity_bits", "first_seen", "increments", "rollups"):
         assert content(read_table(spark, root, name)) == content(read_table(spark, other, name)), name
     from tidemark.plans.daily import running_totals
 
@@ -126,7 +126,7 @@ def stopped(spark, tmp_path_factory):
     return top / "old", wanted
 
 
-@pytest.mark.parametrize("step", ["record", "events", "session_days", "sessions", "first_seen"])
+@pytest.mark.parametrize("step", ["record", "events", "session_days", "sessions", "session_modes", "rollups", "first_seen"])
 def test_a_stopped_run_is_taken_over(spark, stopped, tmp_path, step):
     """The next night's run finishes what the stopped one had begun; its record is then gone."""
     old, wanted = stopped
@@ -159,7 +159,7 @@ def test_a_night_reads_only_what_it_needs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(chain, "write_days", spy)
     run_chain(spark, frame(spark, "raw", rows), root, last)
     scans = [line for text in plans for line in text.split("\n") if "FileScan" in line]
-    for table in ("events", "session_hours", "sessions"):
+    for table in ("events", "session_hours", "sessions", "session_modes"):
         own = [line for line in scans if re.search(rf"Location: [^,]*/{table}\]", line) and "_staging" not in line]
         assert own, table
         assert all(re.search(r"PartitionFilters: \[[^\]]", line) for line in own), [line for line in own][:2]

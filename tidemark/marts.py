@@ -29,15 +29,16 @@ class Marts:
     activity_bits: DataFrame | None = None
     first_seen: DataFrame | None = None
     increments: DataFrame | None = None
+    rollups: DataFrame | None = None
 
     @classmethod
     def read(cls, spark, root: str) -> "Marts":
         """All marts of a warehouse folder; a table that nobody has written there yet stays ``None``.
 
-        ``plans.chain`` writes the five usage marts and the three of its state, ``user_flags`` and ``devices`` come from other jobs.
+        ``plans.chain`` writes the five usage marts and the four of its state, ``user_flags`` and ``devices`` come from other jobs.
         """
         found = {}
-        for name in ["sessions", "session_modes", "daily", "retention", "events", "user_flags", "devices", "activity_bits", "first_seen", "increments"]:
+        for name in ["sessions", "session_modes", "daily", "retention", "events", "user_flags", "devices", "activity_bits", "first_seen", "increments", "rollups"]:
             try:
                 found[name] = read_table(spark, root, name)
             except AnalysisException as e:

@@ -12,6 +12,7 @@ from tidemark.plans import state
 from tidemark.plans.daily import POWER_ON, activity, daily_rows, power_on_counts, running_totals
 from tidemark.plans.events import explode_events, latest_events
 from tidemark.plans.retention import affected_days
+from tidemark.plans.rollups import rollups_of_days, session_rollups
 from tidemark.plans.sessions import build_session_modes, days_of, fold_hours, rebuild_from_index, session_days, session_events
 from tidemark.sources.tables import read_or_empty, read_table
 from tidemark.sources.writers import clear_run, on_days, publish, replace_days, stage, write_days
@@ -83,6 +84,7 @@ def chain_steps(
     notes = {
         "event": days,
         "start": set(days_of(read_or_empty(spark, root, "session_days"), ids, buckets, started=True)) | _noted(known_days, "start"),
+        "held": set(days_of(read_or_empty(spark, root, "session_days"), ids, buckets)) | _noted(known_days, "held"),
         "moved": _noted(known_days, "moved"),
     }
     replace(_notes(spark, busi_date, notes), "run_days", [busi_date])
@@ -100,6 +102,12 @@ def chain_steps(
     if starts:
         yield replace(rebuild_from_index(hours, index, starts, buckets), "sessions", starts)
         yield replace(build_session_modes(on_days(events, days)), "session_modes", [d for d in days if d is not None])
+        # A session is told apart from its earlier days, so all days of a changed session count as changed.
+        held = {d for d in {*days, *starts, *notes["held"], *days_of(index, ids, buckets)} if d is not None}
+        if read_or_empty(spark, root, "rollups").isEmpty():  # a warehouse from before there were any
+            held = _days(index) - {None}
+        sessions, modes = read_table(spark, root, "sessions"), read_table(spark, root, "session_modes")
+        yield replace(rollups_of_days(sessions, modes, index, sorted(held)), "rollups", sorted(held))
         yield from _renew(spark, root, busi_date, starts, notes, replace, power_on_by_model, buckets)
 
     # The newest report day has a base row, a report day that is run again may be older.
@@ -156,6 +164,7 @@ def rebuild_state(spark: SparkSession, root: str, buckets: int = BUCKETS) -> Non
     """The state tables of a warehouse whose sessions were built without them, from whole history."""
     sessions = read_table(spark, root, "sessions")
     write_days(session_days(read_table(spark, root, "session_hours"), buckets), root, "session_days", "static")
+    write_days(session_rollups(sessions, read_table(spark, root, "session_modes")), root, "rollups", "static")
     write_days(state.active_bits(sessions), root, "activity_bits", "static")
     write_days(state.all_first_seen(sessions, read_table(spark, root, "activity_bits"), buckets), root, "first_seen", "static")
     seconds = sessions.groupBy("evt_dt", "deviceCode").agg(F.sum("total_duration_sec").alias("seconds"))

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.marts import Marts
-from tidemark.operators import distributions as dist, firmware, kpi, trends
+from tidemark.operators import distributions as dist, firmware, kpi, rollups, trends
 from tidemark.operators.userflags import UserFilter, dashboard
 
 # The dashboard's sections.
@@ -22,9 +22,12 @@ def run_section(
     """Lazy frames of a section by name.
 
     Nothing runs here, and the model filter is an argument, so sections of different users do not
-    affect each other. The daily and retention tables hold a few rows per day: frames that share them
-    re-read little, and the fact tables are scanned with only the columns of each frame.
+    affect each other. The daily and retention tables and the roll-up mart hold a few rows per day: frames that share them
+    re-read little. With the roll-up mart, sessions are read only where single users or devices are counted; without it
+    they are scanned with only the columns of each frame.
     """
+    rolled = marts.rollups is not None
+    counts, habits, modes = (rollups, rollups, rollups) if rolled else (dist, kpi, trends)
     span = (start, end)
     own = (start, end, device_code)
     if section == "overview":
@@ -39,9 +42,9 @@ def run_section(
             "kpi_yesterday": kpi.yesterday_card(marts, end, device_code),
             "active_trend": trends.active_trend(marts, *own),
             "session_trend": trends.session_trend(marts, *own),
-            "final_modes": dist.final_modes(marts, *own),
-            "suction_levels": dist.suction_levels(marts, *own),
-            "top_hours": dist.top_hours(marts, *own),
+            "final_modes": counts.final_modes(marts, *own),
+            "suction_levels": counts.suction_levels(marts, *own),
+            "top_hours": counts.top_hours(marts, *own),
         }
     if section == "retention":
         return {
@@ -64,9 +67,9 @@ def run_section(
             "user_day_bucket_trend": trends.user_day_bucket_trend(marts, *span),
             "user_totals": dist.user_totals(marts, *span),
             "device_totals": dist.device_totals(marts, *own),
-            "mode_sessions": dist.mode_sessions(marts, *own),
-            "mode_session_trend": trends.mode_session_trend(marts, *own),
-            "mode_sessions_per_user": dist.mode_sessions_per_user(marts, *own),
+            "mode_sessions": counts.mode_sessions(marts, *own),
+            "mode_session_trend": modes.mode_session_trend(marts, *own),
+            "mode_sessions_per_user": counts.mode_sessions_per_user(marts, *own),
         }
     if section == "duration":
         return {
@@ -74,25 +77,25 @@ def run_section(
             "kpi_yesterday": kpi.duration_yesterday(marts, end),
             "hours_trend": trends.hours_trend(marts, *own),
             "minutes_per_user": trends.minutes_per_user_trend(marts, *own),
-            "duration_buckets": dist.duration_buckets(marts, *own),
+            "duration_buckets": counts.duration_buckets(marts, *own),
             "mean_duration": trends.mean_duration_trend(marts, *own),
             "cumulative_hours": trends.cumulative_hours_trend(marts, *own),
-            "mode_minutes": dist.mode_minutes(marts, *own),
-            "mode_minutes_trend": trends.mode_minutes_trend(marts, *own),
-            "mode_minutes_per_session": dist.mode_minutes_per_session(marts, *own),
+            "mode_minutes": counts.mode_minutes(marts, *own),
+            "mode_minutes_trend": modes.mode_minutes_trend(marts, *own),
+            "mode_minutes_per_session": counts.mode_minutes_per_session(marts, *own),
         }
     if section == "habits":
-        adjusts = dist.adjusts_per_session(marts, *own)
+        adjusts = counts.adjusts_per_session(marts, *own)
         return {
-            "hours_by_day_type": dist.hours_by_day_type(marts, *own),
-            "mode_by_level": dist.mode_by_level(marts, *own),
-            "modes_used": dist.modes_used(marts, *own),
+            "hours_by_day_type": counts.hours_by_day_type(marts, *own),
+            "mode_by_level": counts.mode_by_level(marts, *own),
+            "modes_used": counts.modes_used(marts, *own),
             "mode_transitions": dist.mode_transitions(marts, *span),
-            "level_directions": dist.level_directions(marts, *own),
+            "level_directions": counts.level_directions(marts, *own),
             "level_adjusts": adjusts.where(F.col("kind") == "level").drop("kind"),
             "mode_adjusts": adjusts.where(F.col("kind") == "mode").drop("kind"),
-            "adjust_summary": kpi.adjust_summary(marts, *own),
-            "pause_stats": kpi.pause_stats(marts, *own),
+            "adjust_summary": habits.adjust_summary(marts, *own),
+            "pause_stats": habits.pause_stats(marts, *own),
             "event_sources": dist.event_sources(marts, *span),
         }
     if section == "funnel":

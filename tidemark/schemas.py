@@ -89,7 +89,14 @@ INCREMENTS = """
     model_devices BIGINT, new_devices BIGINT, any_devices BIGINT, model_sessions BIGINT, any_sessions BIGINT, seconds BIGINT
 """
 
-# What a nightly run is about to change, by the name of the run: days of events, of starts and of moved first sightings.
+# Session counts by key, split by the day on which the same session last had the key (with any model, with this one).
+ROLLUPS = """
+    evt_dt DATE, kind STRING, k1 STRING, k2 STRING, deviceCode STRING, prev_any DATE, prev_model DATE,
+    sessions BIGINT, seconds BIGINT
+"""
+
+# What a nightly run is about to change, by the name of the run: days of events, of starts, of any rows of its sessions before
+# it, and of moved first sightings.
 RUN_DAYS = """
     run STRING, what STRING, day DATE
 """
@@ -122,6 +129,7 @@ TABLES = {
     "first_seen": (FIRST_SEEN, ["bucket"], ["kind", "id", "deviceCode"]),
     "session_days": (SESSION_DAYS, ["evt_dt", "bucket"], ["useSessionId", "evt_dt"]),
     "increments": (INCREMENTS, ["evt_dt"], ["evt_dt", "deviceCode"]),
+    "rollups": (ROLLUPS, ["evt_dt"], ["evt_dt", "kind", "k1", "k2", "deviceCode", "prev_any", "prev_model"]),
     "run_days": (RUN_DAYS, ["run"], ["run", "what", "day"]),
     "run_ids": (RUN_IDS, ["run"], ["run", "useSessionId"]),
     "user_flags": (USER_FLAGS, [], []),
