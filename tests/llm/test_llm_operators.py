@@ -393,6 +393,34 @@ def test_graph_of_texts_that_part_and_meet(spark):
     assert got == passages_by_brute_force(rows, 12)
 
 
+def test_common_words_of_sorted_neighbours(spark):
+    """Texts that sort by bytes keep what starts with the same words together, also where a word holds a byte below a blank."""
+    common = sparse_suffix.common_words
+    assert common(b"a b ", b"a b ") == 2 and common(b"a b ", b"a bc ") == 1 and common(b"a ", b"a b ") == 1
+    assert common(b"a b ", b"a b c ") == 2 and common(b"a\x01 ", b"a ") == 0
+    rng = random.Random(5)
+    texts = [b"".join(rng.choice([b"a ", b"b ", b"a\x01 ", b"ab "]) for _ in range(6)) for _ in range(300)]
+    ordered = sorted(texts)
+    for i, a in enumerate(ordered):
+        near = max(common(a, ordered[j]) for j in (i - 1, i + 1) if 0 <= j < len(ordered))
+        assert near == max(common(a, b) for j, b in enumerate(ordered) if j != i)
+
+
+def test_windows_are_cut_to_what_neighbours_share(spark):
+    """A suffix with two words before it and windows of four words; the sorted part's outermost rows stay uncut."""
+    rows = [
+        (1, 0, 2, 0, 2, b"s t b a ", b"s t x y "),
+        (2, 0, 2, 0, 2, b"s t b c ", b"s t x z "),  # right: three words with row 1, so no window that starts at the suffix
+        (3, 0, 2, 0, 2, b"s t q a ", b"s t y y "),  # right: two words, so only the window two words before it
+        (0, 0, 2, 0, 2, b"a a ", b"a a a a "),
+        (4, 0, 2, 0, 2, b"z z ", b"z z z z "),
+    ]
+    frame = spark.createDataFrame(rows, sparse_suffix.SIDES + ", right binary").coalesce(1)
+    cut = lambda df, side: {r.doc_id: (r.low, r.high) for r in sparse_suffix.extended(df, side, window=4, anchor=2).collect()}
+    assert cut(frame, "right") == {0: (0, 2), 1: (1, 2), 2: (1, 2), 3: (2, 2), 4: (0, 2)}
+    assert cut(frame, "left") == {0: (0, 2), 1: (0, 1), 2: (0, 1), 3: (0, 0), 4: (0, 2)}
+
+
 @pytest.mark.parametrize("module", [debruijn, sparse_suffix])
 def test_passages_of_few_words(spark, module):
     """Random texts of three words: windows of 12 words meet with many different surroundings."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, RangeHashes, row_slices, text_bytes, WordHashes, WorkTables
+from tidemark.llm.common import free_name, RangeHashes, row_slices, text_bytes, WordHashes
 
 WINDOW = 50
 ANCHOR = 8
@@ -26,8 +26,6 @@ BASES = (0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4D)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SPACE = "[\\x20\\x09-\\x0D]+"
 
-SEGMENT = "anchor long, content long, doc_id long, text_key long, start int, n int"
-
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, t) of rows with an id; ``text_key`` tells rows that repeat an id with another text."""
@@ -68,6 +66,7 @@ class Windows:
     def segments(self):
         """(document, first window, number of windows, anchor, content) of every segment; places count over all."""
         total, width = int(self.sizes.sum()), self.window - self.anchor + 1
+        self.owners = np.empty(0, np.int64)  # the places of the segments' owners
         if total < self.window:
             return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
         places = np.arange(total - self.anchor + 1)
@@ -83,32 +82,8 @@ class Windows:
         own = owner[start]
         opens = np.nonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]))))[0]
         count = np.diff(np.concatenate((opens, [len(start)])))
-        at = start[opens]
-        return doc[opens], at, count, runs[own[opens]], self.hashes(1, at, at + count - 1 + self.window)
-
-
-def segments(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Segments of keyed rows: hash of the owner's words, hash of all words of the segment, where it starts, windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = Windows(window, anchor)
-        for part in row_slices(batches, "t"):
-            state.load(part.column("t").to_pylist())
-            doc, at, count, owner, content = state.segments()
-            own = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(owner.view(np.int64)),
-                    pa.array(content.view(np.int64)),
-                    part.column("doc_id").take(own),
-                    part.column("text_key").take(own),
-                    pa.array((at - state.starts[doc]).astype(np.int32)),
-                    pa.array(count.astype(np.int32)),
-                ],
-                ["anchor", "content", "doc_id", "text_key", "start", "n"],
-            )
-
-    return rows.mapInArrow(run, SEGMENT)
+        at, self.owners = start[opens], own[opens]
+        return doc[opens], at, count, runs[self.owners], self.hashes(1, at, at + count - 1 + self.window)
 
 
 def single_windows(rows: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -143,31 +118,6 @@ def single_windows(rows: DataFrame, wanted: DataFrame, window: int = WINDOW) ->
     return joined.mapInArrow(run, "h1 long, h2 long, doc_id long, text_key long, start int")
 
 
-def repeated_spans(rows: DataFrame, shared: DataFrame, tables: WorkTables, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, start, end) of words in windows that also start in a document with a smaller id.
-
-    ``rows`` are keyed documents, ``shared`` at least all segments whose owner's words stand in two documents. A segment
-    with the words of one in a smaller document is covered whole. Of segments with the same words the first document
-    stands for all, and only where an owner has several different segments are those first ones taken apart into
-    their windows, which are compared one by one. Every distinct text thus gives its windows at most once.
-    """
-    # Written on their own, so that the joins below read plain shuffles and an owner or a segment that is met very often is
-    # split over several tasks.
-    whole = tables.write("whole", shared.groupBy("anchor", "content").agg(F.min("doc_id").alias("first")))
-    contents = whole.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high"))
-    branching = tables.write("branching", contents.where("low < high").select("anchor", F.lit(True).alias("branches")))
-    classes = tables.write("classes", whole.join(branching, "anchor", "left"))
-    judged = tables.write("judged", shared.join(classes, ["anchor", "content"]).drop("anchor", "content"))
-    copies = judged.where(F.col("first") < F.col("doc_id"))
-    wanted = judged.where((F.col("first") == F.col("doc_id")) & F.col("branches"))
-    single = tables.write("single", single_windows(rows, wanted, window))
-    edges = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    repeated = single.join(edges, ["h1", "h2"]).where(F.col("first") < F.col("doc_id"))
-    return copies.select("doc_id", "text_key", "start", (F.col("start") + F.col("n") - 1 + window).alias("end")).unionByName(
-        repeated.select("doc_id", "text_key", "start", (F.col("start") + window).alias("end"))
-    )
-
-
 def united(spans: DataFrame) -> DataFrame:
     """(doc_id, text_key, removed_spans): disjoint ascending spans per document; at most one span per window goes in."""
     lists = spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
