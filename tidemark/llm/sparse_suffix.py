@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WorkTables, row_slices
 from tidemark.llm.passages import ANCHOR, WINDOW, Windows, keyed, single_windows, without_spans
 
-SUFFIX = "lead binary, anchor long, content long, doc_id long, text_key long, start int, n int, at int"
+SUFFIX = "lead binary, content long, doc_id long, text_key long, start int, n int, at int"
 # low..high: how many words before the suffix its windows start.
 SIDES = "doc_id long, text_key long, at int, low int, high int, left binary"
 
 
 def suffixes(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """The suffixes of keyed rows: leading words, hash of these and of all words of its windows, word number ``at``.
+    """The suffixes of keyed rows: leading words, hash of all words of its windows, word number ``at``.
 
     ``start`` and ``n`` name the consecutive windows that a suffix stands for. Words end with a blank, so that texts sort by words.
     """
@@ -40,14 +40,13 @@ def suffixes(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
         for part in row_slices(batches, "t"):
             texts = part.column("t").to_pylist()
             state.load(texts)
-            doc, at, count, owner, content = state.segments()
+            doc, at, count, _, content = state.segments()
             words = [w for t in texts for w in t.split()]
             leads = [b" ".join(words[p : p + anchor]) + b" " for p in state.owners.tolist()]
             own = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(leads, pa.binary()),
-                    pa.array(owner.view(np.int64)),
                     pa.array(content.view(np.int64)),
                     part.column("doc_id").take(own),
                     part.column("text_key").take(own),
@@ -55,7 +54,7 @@ def suffixes(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
                     pa.array(count.astype(np.int32)),
                     pa.array((state.owners - state.starts[doc]).astype(np.int32)),
                 ],
-                ["lead", "anchor", "content", "doc_id", "text_key", "start", "n", "at"],
+                ["lead", "content", "doc_id", "text_key", "start", "n", "at"],
             )
 
     return rows.mapInArrow(run, SUFFIX)
@@ -76,7 +75,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
             lead = rows.column("lead")
             like = pc.equal(lead[1:], lead[:-1]).to_numpy(zero_copy_only=False)
             keep = np.concatenate(([head], like)) | np.concatenate((like, [tail]))
-            return rows.filter(pa.array(keep)).drop_columns(["lead"])
+            return rows.filter(pa.array(keep))
 
         for batch in batches:
             if not batch.num_rows:
@@ -89,7 +88,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
         if before is not None:
             yield settled(before, leads, True)
 
-    return rows.sort("lead", "content", "doc_id", "text_key", "start").mapInArrow(run, SUFFIX.split(", ", 1)[1])
+    return rows.sort("lead", "content", "doc_id", "text_key", "start").mapInArrow(run, SUFFIX)
 
 
 def sides(rows: DataFrame, wanted: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -171,8 +170,7 @@ def extended(rows: DataFrame, side: str, window: int = WINDOW, anchor: int = ANC
         if held is not None:
             yield settled(held, np.array([whole]))
 
-    order = [side, *(c for c in ("left", "doc_id", "text_key", "at") if c != side)]
-    return rows.sort(*order).mapInArrow(run, SIDES)
+    return rows.sort(side, "doc_id", "text_key", "at").mapInArrow(run, SIDES)
 
 
 def repeated_spans(rows: DataFrame, tables: WorkTables, window: int = WINDOW) -> DataFrame:
@@ -184,7 +182,7 @@ def repeated_spans(rows: DataFrame, tables: WorkTables, window: int = WINDOW) ->
     # Written first, so that texts are split once and the sort's sampling reads the table; the same for the tables
     # below: the joins read plain shuffles, and an owner or a stretch that is met very often is split over several tasks.
     kept = tables.write("suffixes", suffixes(rows, window))
-    shared = tables.write("shared", neighbours(kept))
+    shared = tables.write("shared", neighbours(kept).withColumn("anchor", F.xxhash64("lead")).drop("lead"))
     whole = tables.write("whole", shared.groupBy("anchor", "content").agg(F.min("doc_id").alias("first")))
     contents = whole.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high"))
     branching = tables.write("branching", contents.where("low < high").select("anchor", F.lit(True).alias("branches")))
