@@ -16,6 +16,11 @@ SETTINGS = {
 }
 
 
+def bound_splits(spark: SparkSession, size: str = "16m") -> None:
+    """Tasks read files in pieces of so many bytes: event rows take some thirty times as much in memory, where a task sorts them."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def build_session(app_name: str = "tidemark", master: str | None = None, **overrides) -> SparkSession:
     """A session with the settings above; ``overrides`` win (dots written as ``__``)."""
     builder = SparkSession.builder.appName(app_name)

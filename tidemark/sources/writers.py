@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark import schemas
+from tidemark.session import bound_splits
 from tidemark.sources.tables import read_or_empty, table_path
 
+# Rows of a task that merges wide rows; rows of a key above which it is merged on its own.
+ROWS_A_TASK = 100_000
+MANY_ROWS = 10_000
+
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the last one in ``order``.
@@ -18,18 +25,33 @@ def latest_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_rank", F.row_number().over(newest_first)).where("_rank = 1").drop("_rank")
 
 
-def write_days(df: DataFrame, root: str, name: str, mode: str = "dynamic") -> str:
+def frequent_keys(rows: DataFrame, keys: list[str], more_than: int, path: str) -> DataFrame:
+    """Keys of more than so many rows: counted on the key columns alone, written and read back, so that a join knows how few they are."""
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > more_than).drop("_n")
+    counted.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(counted.schema).parquet(path)
+
+
+def with_keys(rows: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of the given keys, or all others if ``how`` is left_anti; a missing value is a value."""
+    named = wanted.toDF(*[f"_{c}" for c in wanted.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in wanted.columns]
+    return rows.join(named, reduce(Column.__and__, same), how)
+
+
+def write_days(df: DataFrame, root: str, name: str, mode: str = "dynamic", dealt: bool = False) -> str:
     """Overwrite the partitions that occur in ``df`` and leave all others as they are (all go if ``mode`` is static).
 
     REBALANCE gathers each day into right-sized files and splits a day that is far larger than the
-    others, which a plain repartition by day would send to one task.
+    others, which a plain repartition by day would send to one task. Rows that are ``dealt`` by day already are written by the
+    tasks that hold them.
     """
     ddl, partitions, _ = schemas.TABLES[name]
     path = table_path(root, name)
     df = df.select(*schemas.column_names(ddl))
-    if partitions:
+    if partitions and not dealt:
         df = df.hint("rebalance", *partitions)
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", mode)
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", mode).option("compression", "zstd")
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.parquet(path)
@@ -48,46 +70,64 @@ def write_report_day(df: DataFrame, root: str, name: str, report_day: str) -> st
     return path
 
 
-def replace_days(df: DataFrame, root: str, name: str, days: list, run: str = "") -> str:
+def replace_days(df: DataFrame, root: str, name: str, days: list, run: str = "", dealt: bool = False) -> str:
     """Overwrite the given values of the first partition column, also those for which ``df`` has no rows any more.
 
     The rows are written to a staging folder first, one per ``run``, as the table may be among the sources of ``df``.
     """
-    staged = stage(df, root, name, run)
+    staged = stage(df, root, name, run, dealt)
     path = publish(staged, root, name, days)
-    if run:
-        ddl = schemas.TABLES[name][0]
-        _empty(df.sparkSession, table_path(_staging(root, run), name), ddl, [])
+    clear_stage(df.sparkSession, root, name, run)
     return path
 
 
+def clear_stage(spark: SparkSession, root: str, name: str, run: str = "") -> None:
+    """Empty the staging folder of a table whose rows are in place."""
+    _empty(spark, table_path(_staging(root, run), name), schemas.TABLES[name][0], [])
+
+
 def upsert(df: DataFrame, root: str, name: str, order: list[Column], run: str = "") -> str:
     """Merge rows into a stored table: of the stored and the new rows of a key, the last one in ``order`` stays.
 
     A late copy of an old row thus never replaces a newer stored one; of rows equal in ``order`` the new one wins. Nothing is
     deleted but replaced rows. Only the partitions that ``df`` touches are read and written, so the first partition column
-    must belong to the key. Every row's key is dealt to one task by a shuffle on the key, in which a key that is met very often
-    is cut to one row per map task first. The merge may be repeated after a stop: it gives the same rows.
+    must belong to the key. One shuffle, by that column and a part of the key's hash, brings the rows of a key together and serves the
+    write too; keys that are met very often, found on the key columns alone, go by a shuffle of their own, in which each is cut to one
+    row per map task first. The merge may be repeated after a stop: it gives the same rows.
     """
     ddl, columns, keys = schemas.TABLES[name]
     if not columns or columns[0] not in keys:
         raise ValueError(f"rows of {name} cannot be merged: a key may lie in any partition")
     names = schemas.column_names(ddl)
     fresh = df.select(*names)
-    touched = [r[0] for r in fresh.select(columns[0]).distinct().collect()]  # partition values only
-    stored = on_days(read_or_empty(df.sparkSession, root, name), touched, columns[0]).withColumn("_new", F.lit(False))
+    spark, day = df.sparkSession, columns[0]
+    bound_splits(spark)
+    touched = [r[0] for r in fresh.select(day).distinct().collect()]  # partition values only
+    stored = on_days(read_or_empty(spark, root, name), touched, day).withColumn("_new", F.lit(False))
     rows = stored.unionByName(fresh.withColumn("_new", F.lit(True)))
-    latest = latest_by_key(rows, keys, [*order, F.col("_new"), F.xxhash64(*names)]).drop("_new")
-    return replace_days(latest, root, name, touched, run)
+    many = frequent_keys(rows, keys, MANY_ROWS, f"{_staging(root, run)}/{name}_keys")
+    order = [*order, F.col("_new"), F.xxhash64(*names)]
+    few, none_many = rows, many.isEmpty()
+    if not none_many:
+        few = with_keys(rows, many, "left_anti")
+
+    sizes = [r["count"] for r in rows.groupBy(day).count().collect()]  # one per partition value
+    parts = max(-(-max(sizes, default=0) // ROWS_A_TASK), 1)
+    tasks = max(-(-sum(sizes) // ROWS_A_TASK), spark.sparkContext.defaultParallelism)
+    few = few.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts))).repartition(tasks, day, "_part")
+    latest = latest_by_key(few, [*keys, "_part"], order).select(*names)
+    if not none_many:
+        latest = latest.unionByName(latest_by_key(with_keys(rows, many), keys, order).select(*names).hint("rebalance", *columns))
+    return replace_days(latest, root, name, touched, run, dealt=True)
 
 
 def _staging(root: str, run: str) -> str:
     return f"{root.rstrip('/')}/_staging{run and '/' + run}"
 
 
-def stage(df: DataFrame, root: str, name: str, run: str = "") -> DataFrame:
+def stage(df: DataFrame, root: str, name: str, run: str = "", dealt: bool = False) -> DataFrame:
     """The rows, written and read back from the staging folder of the run."""
-    path = write_days(df, _staging(root, run), name, "static")
+    path = write_days(df, _staging(root, run), name, "static", dealt)
     return df.sparkSession.read.schema(schemas.TABLES[name][0]).parquet(path)
 
 
@@ -95,7 +135,7 @@ def publish(staged: DataFrame, root: str, name: str, days: list) -> str:
     """Put staged rows in place: their partitions are overwritten, others of the given days emptied. May be repeated."""
     ddl, columns, _ = schemas.TABLES[name]
     found = {tuple(r) for r in staged.select(*columns).distinct().collect()}  # partition values only
-    path = write_days(staged, root, name)
+    path = write_days(staged, root, name, dealt=True)  # in files by day, as they were staged
     table = staged.sparkSession.read.schema(ddl).parquet(path)
     stored = {tuple(r) for r in on_days(table, days, columns[0]).select(*columns).distinct().collect()}
     for gone in sorted(stored - found, key=str):
