@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark import schemas
 from tidemark.plans import state
 from tidemark.plans.daily import POWER_ON, activity, daily_rows, power_on_counts, running_totals
-from tidemark.plans.events import explode_events, latest_events
+from tidemark.plans.events import EVENT_NAME, explode_events, latest_events, latest_rows
 from tidemark.plans.retention import affected_days
 from tidemark.plans.rollups import rollups_of_days, session_rollups
 from tidemark.plans.sessions import build_session_modes, days_of, fold_hours, rebuild_from_index, session_days, session_events
+from tidemark.session import bound_splits
 from tidemark.sources.tables import read_or_empty, read_table
-from tidemark.sources.writers import clear_run, on_days, publish, replace_days, stage, write_days
+from tidemark.sources.writers import clear_run, clear_stage, frequent_keys, on_days, publish, replace_days, stage, with_keys, write_days
 
 # Into how many folders ids are dealt by hash. A fixed part of a warehouse: change it by ``rebuild_state`` only.
 BUCKETS = 16
@@ -30,11 +31,13 @@ def run_chain(
     first_report: str | None = None,
     buckets: int = BUCKETS,
     merge: bool = False,
+    dealt: bool = False,
 ) -> None:
     """Run all jobs for one report day, or for those from ``first_report`` on; a rerun replaces what an earlier run has brought.
 
     With ``merge`` a rerun adds to it instead: stored events stay unless the log brings a copy written later, so a log of parts, or
-    one that holds old copies, cannot undo anything.
+    one that holds old copies, cannot undo anything. Where the partitions of ``raw`` hold few days each (``dealt``), as those of a log stored by day
+    do, its events are written without a shuffle.
 
     The rows of the report days, those before and those now, name the event days and the sessions that may have
     changed. Those days are rebuilt whole, however old they are, from all events reported so far; days that come back
@@ -45,7 +48,7 @@ def run_chain(
     of whatever report day, takes it over: all steps give the same result when they are repeated, so the tables end up as if
     nothing had happened, but for the report of the stopped run if its events had not been written yet.
     """
-    for _ in chain_steps(spark, raw, root, busi_date, power_on_by_model, first_report, buckets, merge):
+    for _ in chain_steps(spark, raw, root, busi_date, power_on_by_model, first_report, buckets, merge, dealt):
         pass
 
 
@@ -58,6 +61,7 @@ def chain_steps(
     first_report: str | None = None,
     buckets: int = BUCKETS,
     merge: bool = False,
+    dealt: bool = False,
 ) -> Iterator[str]:
     """The steps of ``run_chain``, each named after it has been done."""
     last = date.fromisoformat(busi_date)
@@ -69,10 +73,14 @@ def chain_steps(
         return name
 
     # 1. What changes: days are calendar days and come to the driver, ids stay in a table.
-    fresh = explode_events(raw, first.isoformat(), busi_date)
+    bound_splits(spark)
+    raw = raw.where((F.col("eventname") == EVENT_NAME) & F.col("dt").between(F.lit(first), F.lit(last)))
     if merge:
-        fresh = fresh.unionByName(on_days(read_or_empty(spark, root, "events"), reported, "dt"))
-    fresh = stage(latest_events(fresh), root, "events", busi_date)
+        stored = on_days(read_or_empty(spark, root, "events"), reported, "dt")
+        fresh = stage(latest_events(explode_events(raw).unionByName(stored)), root, "events", busi_date)
+    else:
+        fresh = explode_events(_one_each(raw, f"{root.rstrip('/')}/_staging/{busi_date}/raw_keys"))
+        fresh = stage(fresh, root, "events", busi_date, dealt)
     fresh = fresh.select(*schemas.column_names(schemas.EVENTS))
     named = on_days(read_or_empty(spark, root, "events"), reported, "dt").unionByName(fresh)
     known_days, known_ids = read_or_empty(spark, root, "run_days"), read_or_empty(spark, root, "run_ids")
@@ -121,9 +129,21 @@ def chain_steps(
     for run in sorted(open_runs):
         for name in ("run_ids", "run_days"):
             clear_run(spark, root, name, run)
+    clear_stage(spark, root, "events", busi_date)
     yield "done"
 
 
+def _one_each(raw: DataFrame, keys_path: str) -> DataFrame:
+    """The rows of the log that make events, the last copy of each (id, dt).
+
+    Keys that come again are found on the two key columns; only their rows are moved and compared, those of all others stay in place.
+    """
+    again = frequent_keys(raw, ["id", "dt"], 1, keys_path)
+    if again.isEmpty():
+        return raw
+    return with_keys(raw, again, "left_anti").unionByName(latest_rows(with_keys(raw, again)))
+
+
 def _renew(spark: SparkSession, root: str, run: str, starts: list[date], notes: dict, replace, power_on_by_model: bool, buckets: int) -> Iterator[str]:
     """3. The state and the daily table. Of sessions and events, only the changed days are read; first sightings read session ids
     from the oldest of them on."""

@@ -77,3 +77,9 @@ def explode_events(raw: DataFrame, start: str | None = None, end: str | None = N
 def latest_events(events: DataFrame) -> DataFrame:
     """One row per (id, dt): the copy written last."""
     return latest_by_key(events, ["id", "dt"], [F.col("writetime"), F.col("createtime"), F.col("content")])
+
+
+def latest_rows(raw: DataFrame) -> DataFrame:
+    """The rows of the log from which ``explode_events`` makes the events that ``latest_events`` keeps."""
+    rows = raw.where(F.col("eventname") == EVENT_NAME).select("*", F.json_tuple("content", "extraData").alias("_extra"))
+    return latest_events(rows.where(F.col("_extra").isNotNull())).drop("_extra")
