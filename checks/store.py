@@ -21,6 +21,7 @@ from tidemark.plans.daily import build_daily
 from tidemark.plans.events import explode_events
 from tidemark.plans.retention import build_retention
 from tidemark.plans.rollups import session_rollups
+from tidemark.session import bound_splits
 from tidemark.sources.tables import read_table
 from tidemark.sources.writers import write_days
 
@@ -59,24 +60,30 @@ class TestMarts:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        bound_splits(spark)
         self.key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _stamp(sf_dir))
         if self.key not in _roots:
             _roots[self.key] = f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
         self.root = _roots[self.key]
 
-    def _table(self, name: str, build) -> DataFrame:
+    def _table(self, name: str, build, dealt: bool = False) -> DataFrame:
         if (self.key, name) not in _built:
-            write_days(build(), self.root, name)
+            write_days(build(), self.root, name, dealt=dealt)
             _built[(self.key, name)] = True
         return read_table(self.spark, self.root, name)
 
+    @property
+    def log(self) -> DataFrame:
+        """The raw log, made where it is read: filters on its days leave out the other sessions before any JSON is made."""
+        return testmap.raw_log(self.spark, self.sf_dir)
+
     @property
     def raw(self) -> DataFrame:
-        return self._table("raw", lambda: testmap.raw_log(self.spark, self.sf_dir))
+        return self._table("raw", lambda: self.log, dealt=True)
 
     @property
     def events(self) -> DataFrame:
-        return self._table("events", lambda: explode_events(self.raw))
+        return self._table("events", lambda: explode_events(self.log), dealt=True)
 
     @property
     def sessions(self) -> DataFrame:
@@ -88,7 +95,7 @@ class TestMarts:
 
     @property
     def daily(self) -> DataFrame:
-        return self._table("daily", lambda: build_daily(self.sessions, self.events))
+        return self._table("daily", lambda: build_daily(self.sessions, explode_events(self.log)))
 
     @property
     def retention(self) -> DataFrame:
@@ -116,10 +123,10 @@ class TestMarts:
         """A warehouse as nightly runs leave it: a first load that lacks a third of some days, the rest, and the days once more, whole."""
         root = f"{self.root}/nightly"
         if (self.key, "nightly") not in _built:
-            late = self.raw.where((F.col("dt") < "2024-01-10") | (F.floor(F.col("id") / 100) % 3 != 0))
-            run_chain(self.spark, late, root, "2024-01-20", first_report="2024-01-01")
-            run_chain(self.spark, self.raw, root, LAST_REPORT, first_report="2024-01-21")
-            run_chain(self.spark, self.raw, root, "2024-01-20", first_report="2024-01-10")
+            late = self.log.where((F.col("dt") < "2024-01-10") | (F.floor(F.col("id") / 100) % 3 != 0))
+            run_chain(self.spark, late, root, "2024-01-20", first_report="2024-01-01", dealt=True)
+            run_chain(self.spark, self.log, root, LAST_REPORT, first_report="2024-01-21", dealt=True)
+            run_chain(self.spark, self.log, root, "2024-01-20", first_report="2024-01-10", dealt=True)
             _built[(self.key, "nightly")] = True
         return Marts.read(self.spark, root)
 

@@ -35,6 +35,9 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Sessions of a task that makes raw rows: a dozen wide rows each, which are sorted in memory when they are written.
+SESSIONS_A_TASK = 20_000
+
 MODE_LABEL = "element_at(array('expression', 'massage', 'stimulation'), cast(({}) % 3 as int) + 1)"
 CODE_LABEL = "element_at(array('stimulation', 'expression', 'mixed', 'custom'), cast(({}) % 4 as int) + 1)"
 WALL_CLOCK = "timestampadd(SECOND, sec, timestamp_ntz'1970-01-01 00:00:00')"
@@ -158,9 +161,11 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"transform(filter(sequence(0, greatest({count}, 1) - 1), j -> j < {count}),"
             f" j -> named_struct('n', {first} + j, {struct}))"
         )
-    # A session becomes a dozen JSON rows: spread them before, a small file may be a single partition.
+    # A session becomes a dozen JSON rows: spread them before, a small file may be a single partition. Dealt by day, the rows made
+    # in a task belong to few days and are written where they are, without a shuffle of the wide rows.
     # A stated number of partitions is one that Spark does not merge by their size before the JSON is made.
-    rows = base(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "event_id").selectExpr(
+    tasks = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "events").count() // SESSIONS_A_TASK))
+    rows = base(spark, sf_dir).repartitionByRange(tasks, "d", "event_id").selectExpr(
         "*",
         f"if(dur is null, null, {_mode_rows('modes').rsplit(' as ', 1)[0]}) as modes",
         "if(k % 2 = 0, 'remote_app', 'manual') as op_source",
