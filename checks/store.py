@@ -17,7 +17,7 @@ from checks import testmap
 from tidemark.marts import Marts
 from tidemark.plans import state
 from tidemark.plans.chain import BUCKETS, run_chain
-from tidemark.plans.daily import build_daily
+from tidemark.plans.daily import POWER_ON, build_daily
 from tidemark.plans.events import explode_events
 from tidemark.plans.retention import build_retention
 from tidemark.plans.rollups import session_rollups
@@ -95,7 +95,7 @@ class TestMarts:
 
     @property
     def daily(self) -> DataFrame:
-        return self._table("daily", lambda: build_daily(self.sessions, explode_events(self.log)))
+        return self._table("daily", lambda: build_daily(self.sessions, explode_events(self.log, name=POWER_ON)))
 
     @property
     def retention(self) -> DataFrame:

@@ -137,7 +137,7 @@ _EVENTS = [
             "evtSource": "start_source",
             "finalModeType": MODE_LABEL.format("event_id"),
             "finalSuctionLevel": "cast(k % 14 as string)",
-            "modeDuration": "modes",
+            "modeDuration": f"to_json({_mode_rows('').rsplit(' as ', 1)[0]})",
             "usedModeCount": "n_modes",
             "endReason": "if(k % 2 = 0, 'user', 'timeout')",
         },
@@ -145,60 +145,72 @@ _EVENTS = [
 ]
 
 
+def _member(name: str, value: str, quoted: bool = True) -> str:
+    """A member of a JSON object by SQL, null for a null value. The test values hold nothing that JSON escapes."""
+    mark = '"' if quoted else ""
+    return f"concat('\"{name}\":{mark}', {value}, '{mark}')"
+
+
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw JSON log: the events of every session plus some rows of other kinds."""
-    types = {"modeDuration": "array<struct<durationSec:int,modeType:string>>", "usedModeCount": "int"}
     names = [
-        "eventName", "evtType", "evtSource", "adjustFrom", "adjustTo", "finalModeType",
+        "evtType", "evtSource", "adjustFrom", "adjustTo", "finalModeType",
         "finalSuctionLevel", "modeDuration", "usedModeCount", "endReason",
     ]
-    groups = []
-    for first, count, fields in _EVENTS:
-        struct = ", ".join(
-            f"'{n}', cast({fields.get(n, 'null')} as {types.get(n, 'string')})" for n in names
-        )
-        groups.append(
-            f"transform(filter(sequence(0, greatest({count}, 1) - 1), j -> j < {count}),"
-            f" j -> named_struct('n', {first} + j, {struct}))"
-        )
+    # A session is opened into the offsets of its events, plain numbers; the fields of an event are told from its offset, where the row is made.
+    offsets, event_names, rest, firsts = [], [], [], []
+    for first, count, fields in reversed(_EVENTS):
+        offsets.insert(0, f"if({count} > 0, sequence({first}, {first} - 1 + {count}), cast(array() as array<int>))")
+        event_names.append(f"when n >= {first} then {fields['eventName']}")
+        firsts.append(f"when n >= {first} then {first}")
+        if len(fields) > 1:
+            members = [_member(n, fields[n], n not in ("modeDuration", "usedModeCount")) for n in names if n in fields]
+            rest.append(f"when n >= {first} then concat_ws(',', {', '.join(members)})")
+        else:
+            rest.append(f"when n >= {first} then null")
     # A session becomes a dozen JSON rows: spread them before, a small file may be a single partition. Dealt by day, the rows made
     # in a task belong to few days and are written where they are, without a shuffle of the wide rows.
     # A stated number of partitions is one that Spark does not merge by their size before the JSON is made.
     tasks = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "events").count() // SESSIONS_A_TASK))
     rows = base(spark, sf_dir).repartitionByRange(tasks, "d", "event_id").selectExpr(
         "*",
-        f"if(dur is null, null, {_mode_rows('modes').rsplit(' as ', 1)[0]}) as modes",
         "if(k % 2 = 0, 'remote_app', 'manual') as op_source",
         "if(event_id % 2 = 0, 'remote_app', 'local_device') as start_source",
     )
-    rows = rows.selectExpr("*", f"explode(concat({', '.join(groups)})) as x")
-    extra = ", ".join(f"x.{n} as {n}" for n in names)
+    # modeDuration is made in the row, by a lambda: with it made before, Java leaves the code of the whole row, a method of over 8000 bytes, uncompiled.
+    rows = rows.selectExpr("*", f"explode(concat({', '.join(offsets)})) as n").selectExpr("*", f"n - case {' '.join(firsts)} end as j")
+    extra = [
+        _member("eventName", f"case {' '.join(event_names)} end"),
+        _member("evtTimestamp", "sec * 1000 + n", quoted=False),
+        _member("useSessionId", "event_id"),
+        _member("deviceCode", "model"),
+        _member("payload", "concat('00000000-00', event_id % 2)"),
+        f"case {' '.join(rest)} end",
+    ]
     rows = rows.selectExpr(
         "*",
-        "sec * 1000 + x.n as millis",
         "date_add(d, cast(if(event_id % 3 = 0, k % 9, 0) as int)) as dt",
-        "to_json(struct(" + extra.replace("x.eventName as eventName",
-            "x.eventName as eventName, sec * 1000 + x.n as evtTimestamp,"
-            " cast(event_id as string) as useSessionId, model as deviceCode,"
-            " concat('00000000-00', event_id % 2) as payload") + ")) as extra",
-    )
-    rest = "concat('s', event_id) as eventSessionId, 'phone' as deviceId, os, 'GMT+0' as timezoneOffset"
+        f"concat('{{', concat_ws(',', {', '.join(extra)}), '}}') as extra",
+    )
+    outer = [
+        _member("eventSessionId", "concat('s', event_id)"), _member("deviceId", "'phone'"), _member("os", "os"),
+        _member("timezoneOffset", "'GMT+0'"),
+    ]
     return rows.selectExpr(
-        "event_id * 100 + x.n as id",
+        "event_id * 100 + n as id",
         "dt",
         "'demo' as app",
         "'a1' as appid",
-        "unix_date(dt) * 86400000L + x.n as writetime",
+        "unix_date(dt) * 86400000L + n as writetime",
         "cast(null as string) as url",
         "cast(null as string) as traceid",
         "uid",
         "'custom' as eventtype",
         "'Pump Log' as eventname",
         # extraData is an object in one half of the log and a string in the other
-        "if(event_id % 2 = 0,"
-        f" concat('{{\"extraData\":', extra, ',', substring(to_json(struct({rest})), 2)),"
-        f" to_json(struct(extra as extraData, {rest}))) as content",
-        "unix_date(dt) * 86400000L + x.n + 1 as createtime",
+        "concat('{\"extraData\":', if(event_id % 2 = 0, extra, concat('\"', replace(extra, '\"', '\\\\\"'), '\"')),"
+        f" ',', concat_ws(',', {', '.join(outer)}), '}}') as content",
+        "unix_date(dt) * 86400000L + n + 1 as createtime",
         "'EC' as data_source",
     ).unionByName(
         base(spark, sf_dir).where("event_id % 7 = 0").selectExpr(
