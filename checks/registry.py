@@ -30,7 +30,7 @@ from tidemark.operators.userflags import UserFilter
 from tidemark.plans.chain import run_chain
 from tidemark.marts import in_range
 from tidemark.plans import state
-from tidemark.plans.daily import build_daily, cumulative, running_totals
+from tidemark.plans.daily import POWER_ON, build_daily, cumulative, running_totals
 from tidemark.plans.events import explode_events
 from tidemark.plans.retention import build_retention
 from tidemark.plans.sections import run_section
@@ -107,8 +107,9 @@ def _chain(m: TestMarts) -> DataFrame:
 
 def _chain_daily(m: TestMarts) -> DataFrame:
     """Raw log to the daily table, all columns, nothing written in between."""
-    events = explode_events(testmap.raw_log(m.spark, m.sf_dir))
-    return build_daily(build_sessions(events, "2024-02-07", 40), events, "2024-02-07", 40)
+    raw = testmap.raw_log(m.spark, m.sf_dir)
+    power_ons = explode_events(raw, name=POWER_ON)
+    return build_daily(build_sessions(explode_events(raw), "2024-02-07", 40), power_ons, "2024-02-07", 40)
 
 
 def _days_between(start: str, end: str) -> list[date]:

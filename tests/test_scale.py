@@ -1,13 +1,15 @@
 """Wide rows are moved once or not at all, and the rows stay what they were."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
 from checks import testmap
-from helpers import frame
+from helpers import frame, log, session
 from test_chain import LOGS
 from tidemark.plans.chain import _one_each
+from tidemark.plans.daily import POWER_ON, increments
 from tidemark.plans.events import explode_events, latest_events
 from tidemark.sources import writers
 from tidemark.sources.tables import read_table
@@ -46,3 +48,41 @@ def test_events_are_written_by_the_tasks_that_make_them(spark, tmp_path):
     df.write.parquet(str(tmp_path / "events.parquet"))
     plan = explode_events(testmap.raw_log(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Exchange rangepartitioning(d#" in plan
+
+
+def test_events_of_one_name_are_those_of_all_events(spark):
+    """The name plain, in a text within the text, with escaped characters at either level, as another field's value, and in no JSON at all."""
+    when = "2024-01-05T10:00:00"
+    rows = [log(1, when, POWER_ON), log(2, when, POWER_ON, as_text=True), log(3, when, "pump_user_evt", evtType=POWER_ON), log(4, when, "pump_session_start")]
+    rows += [{**rows[n], "id": 5 + n, "content": rows[n]["content"].replace("pump_startup", f"pum{sign}startup")} for n, sign in ((0, "\\u0070_"), (1, "\\\\u0070_"), (1, "\\u0070\\u005f"))]
+    rows += [{**rows[0], "id": 9, "content": POWER_ON}, {**rows[0], "id": 10, "content": None}, {**rows[0], "id": 11, "eventname": "Page Log"}]
+    raw = frame(spark, "raw", rows)
+    got = explode_events(raw, name=POWER_ON)
+    assert found(got) == found(explode_events(raw).where(F.col("eventName") == POWER_ON))
+    assert {r.id for r in got.collect()} == {1, 2, 5, 6}
+
+
+def test_texts_without_the_name_are_not_parsed(spark):
+    plan = explode_events(frame(spark, "raw", [LOGS[0]]), name=POWER_ON)._jdf.queryExecution().optimizedPlan().toString()
+    assert "json_tuple(CASE WHEN (Contains(content" in plan
+
+
+def test_running_totals_scan_sessions_once(spark):
+    days = ["2024-01-01", "2024-01-02", None]
+    rows = [session(n % 4, day, uid, deviceCode=model, total_duration_sec=None if n == 2 else n) for n, (day, uid, model) in enumerate((d, u, m) for d in days for u in ("a", "b", None) for m in ("D1", None))]
+    totals = increments(frame(spark, "sessions", rows))
+    assert totals._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    got = {(str(r.evt_dt), r.deviceCode): (r.model_users, r.new_users, r.any_users, r.model_sessions, r.any_sessions, r.seconds) for r in totals.collect()}
+    assert got["2024-01-01", "D1"] == (2, 2, 0, 2, 2, 4) and got["2024-01-01", None][5] == 9
+    assert sum(v[2] for v in got.values()) == 2 and sum(v[4] for v in got.values()) == 4
+
+
+def test_log_rows_of_odd_sessions(spark, tmp_path):
+    """The fields of an event and their order; unknown values are left out."""
+    rows = [(1, dt.datetime(2024, 1, 1, 4), 5, "view", 30.0, '{"k": 27}'), (2, None, None, "view", None, None), (4, dt.datetime(2024, 1, 2, 4), 6, "view", 1.0, '{"k": 3}')]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    log_rows = testmap.raw_log(spark, str(tmp_path))
+    assert "named_struct(n," not in log_rows._jdf.queryExecution().optimizedPlan().toString()
+    texts = {r.id: r.content for r in log_rows.collect()}
+    assert len(texts) == 12 + 2 + 9 and texts[200] == '{"extraData":{"eventName":"pump_startup_evt","useSessionId":"2","payload":"00000000-000"},"eventSessionId":"s2","deviceId":"phone","os":"iOS","timezoneOffset":"GMT+0"}'
+    assert json.loads(json.loads(texts[190])["extraData"]) == {"eventName": "pump_session_end", "evtTimestamp": 1704081600090, "useSessionId": "1", "deviceCode": "D2", "payload": "00000000-001", "evtSource": "local_device", "finalModeType": "massage", "finalSuctionLevel": "13", "modeDuration": [{"durationSec": 600, "modeType": "massage"}], "usedModeCount": 1, "endReason": "timeout"}

@@ -15,29 +15,47 @@ POWER_ON = "pump_startup_evt"
 
 
 def first_days(sessions: DataFrame) -> DataFrame:
-    """First day of every user and device with every model: (kind, id, deviceCode, day).
+    """First day of every user, device and session with every model, and the seconds of every day: (kind, id, deviceCode, of, day, seconds).
 
-    One scan and one shuffle for both kinds; the minimum is taken map-side first.
+    One scan and one shuffle for all; rows are folded map-side first. Rows of seconds have their day as ``of`` and no id; session
+    ids may recur on another day but hardly ever do.
     """
-    ids = F.array(
-        F.struct(F.lit("user").alias("kind"), F.col("uid").alias("id")),
-        F.struct(F.lit("device").alias("kind"), F.col("pump_device_id").alias("id")),
-    )
-    return (
-        sessions.select("evt_dt", "deviceCode", F.explode(ids).alias("e"))
-        .where(F.col("e.id").isNotNull())
-        .groupBy(F.col("e.kind").alias("kind"), F.col("e.id").alias("id"), "deviceCode")
-        .agg(F.min("evt_dt").alias("day"))
+    def entry(kind: str, id_: Column, of: Column | None = None, seconds: Column | None = None) -> Column:
+        none = F.lit(None)
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            id_.cast("string").alias("id"),
+            (none if of is None else of).cast("date").alias("of"),
+            (none if seconds is None else seconds).cast("bigint").alias("seconds"),
+        )
+
+    entries = F.array(
+        entry("user", F.col("uid")),
+        entry("device", F.col("pump_device_id")),
+        entry("session", F.col("useSessionId")),
+        entry("seconds", F.lit(None), F.col("evt_dt"), F.col("total_duration_sec")),
     )
+    rows = sessions.select("evt_dt", "deviceCode", F.explode(entries).alias("e")).select("evt_dt", "deviceCode", "e.*")
+    rows = rows.where(F.col("id").isNotNull() | F.col("kind").isin("session", "seconds"))
+    return rows.groupBy("kind", "id", "deviceCode", "of").agg(F.min("evt_dt").alias("day"), F.sum("seconds").alias("seconds"))
+
+
+def cumulative(sessions: DataFrame) -> DataFrame:
+    """Per (day, model): new ids, and running totals since the first day.
+
+    The distinct count up to a day is the running sum of first appearances, so history is reduced to
+    one small row per (day, model) before any window runs. The row of an unknown (NULL) model counts over all models.
+    """
+    return running_totals(increments(sessions))
 
 
-def _new_ids(sessions: DataFrame) -> DataFrame:
-    """Per (day, model): users and devices first seen with the model, and first seen at all.
+def increments(sessions: DataFrame) -> DataFrame:
+    """Per (day, model): the ids first seen there and the seconds, from all sessions.
 
-    ``new_*`` counts an id on each model it used on its very first day; ``any_*`` counts each id
-    exactly once over all models, on its first day.
+    ``model_*`` counts an id on its first day with the model, ``new_*`` on each model it used on its very first day; ``any_*`` counts
+    each id exactly once over all models, on its first day.
     """
-    per_id = Window.partitionBy("kind", "id")  # at most one row per model
+    per_id = Window.partitionBy("kind", "id", "of")  # at most one row per model
     rows = first_days(sessions).withColumns(
         {
             "is_new": F.col("day") == F.min("day").over(per_id),
@@ -45,64 +63,15 @@ def _new_ids(sessions: DataFrame) -> DataFrame:
         }
     )
     counts = []
-    for kind in ("user", "device"):
+    for kind in ("user", "device", "session"):
         this = F.col("kind") == kind
         counts += [
             F.count_if(this).alias(f"model_{kind}s"),
             F.count_if(this & F.col("is_new")).alias(f"new_{kind}s"),
             F.count_if(this & F.col("is_one")).alias(f"any_{kind}s"),
         ]
-    return rows.groupBy(F.col("day").alias("evt_dt"), "deviceCode").agg(*counts)
-
-
-def _new_sessions(sessions: DataFrame) -> DataFrame:
-    """The same for session ids, which may recur on another day but hardly ever do.
-
-    Dealt by id once, which serves the minimum per model and the one over all models. A day holds a session id
-    once, so even a damaged id has no more rows than there are days.
-    """
-    dealt = sessions.select("useSessionId", "deviceCode", "evt_dt").repartition("useSessionId")
-    firsts = dealt.groupBy("useSessionId", "deviceCode").agg(F.min("evt_dt").alias("day"))
-    order = Window.partitionBy("useSessionId").orderBy("day", "deviceCode")  # at most one row per model
-    rows = firsts.withColumn("is_one", F.row_number().over(order) == 1)
-    return rows.groupBy(F.col("day").alias("evt_dt"), "deviceCode").agg(
-        F.count("*").alias("model_sessions"),
-        F.count_if("is_one").alias("any_sessions"),
-    )
-
-
-def _seconds(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy("evt_dt", "deviceCode").agg(F.sum("total_duration_sec").alias("seconds"))
-
-
-def cumulative(sessions: DataFrame) -> DataFrame:
-    """Per (day, model): new ids, and running totals since the first day.
-
-    The distinct count up to a day is the running sum of first appearances, so history is reduced to
-    one small row per (day, model) before any window runs. The row of an unknown (NULL) model counts over all models.
-    """
-    return running_totals(increments(sessions))
-
-
-def increments(sessions: DataFrame) -> DataFrame:
-    """Per (day, model): the ids first seen there and the seconds, from all sessions."""
-    return (
-        _new_ids(sessions)
-        .unionByName(_new_sessions(sessions), allowMissingColumns=True)
-        .unionByName(_seconds(sessions), allowMissingColumns=True)
-        .groupBy("evt_dt", "deviceCode")
-        .agg(
-            *[
-                F.coalesce(F.sum(c), F.lit(0)).alias(c)
-                for c in [
-                    *[f"{scope}_{kind}" for scope in ("model", "new", "any") for kind in ("users", "devices")],
-                    "model_sessions",
-                    "any_sessions",
-                ]
-            ],
-            F.sum("seconds").alias("seconds"),
-        )
-    )
+    rows = rows.groupBy(F.col("day").alias("evt_dt"), "deviceCode").agg(*counts, F.sum("seconds").alias("seconds"))
+    return rows.drop("new_sessions")
 
 
 def running_totals(ledger: DataFrame) -> DataFrame:
