@@ -6,6 +6,8 @@ so the derived tables grow with the given ones.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import schemas
@@ -37,6 +39,11 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Sessions of a task that makes raw rows: a dozen wide rows each, which are sorted in memory when they are written.
 SESSIONS_A_TASK = 20_000
+# Those of a task that makes a part of the log to be stored: a later task reads a few such files at a time.
+SESSIONS_A_FILE = 5_000
+
+# The report day of a session's rows: those of a third of the sessions come up to eight days late.
+REPORT_DAY = "date_add(d, cast(if(event_id % 3 = 0, k % 9, 0) as int))"
 
 MODE_LABEL = "element_at(array('expression', 'massage', 'stimulation'), cast(({}) % 3 as int) + 1)"
 CODE_LABEL = "element_at(array('stimulation', 'expression', 'mixed', 'custom'), cast(({}) % 4 as int) + 1)"
@@ -151,8 +158,8 @@ def _member(name: str, value: str, quoted: bool = True) -> str:
     return f"concat('\"{name}\":{mark}', {value}, '{mark}')"
 
 
-def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw JSON log: the events of every session plus some rows of other kinds."""
+def raw_log(spark: SparkSession, sf_dir: str, days: list[date] | None = None) -> DataFrame:
+    """The raw JSON log: the events of every session plus some rows of other kinds; of the given report days only, if any are given."""
     names = [
         "evtType", "evtSource", "adjustFrom", "adjustTo", "finalModeType",
         "finalSuctionLevel", "modeDuration", "usedModeCount", "endReason",
@@ -171,8 +178,13 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A session becomes a dozen JSON rows: spread them before, a small file may be a single partition. Dealt by day, the rows made
     # in a task belong to few days and are written where they are, without a shuffle of the wide rows.
     # A stated number of partitions is one that Spark does not merge by their size before the JSON is made.
-    tasks = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "events").count() // SESSIONS_A_TASK))
-    rows = base(spark, sf_dir).repartitionByRange(tasks, "d", "event_id").selectExpr(
+    opened, pages = base(spark, sf_dir), base(spark, sf_dir).where("event_id % 7 = 0")
+    if days:
+        opened, pages = opened.where(F.expr(REPORT_DAY).isin(days)), pages.where(F.col("d").isin(days))
+    # As many tasks as the sessions of the days need.
+    known, size = (opened, SESSIONS_A_FILE) if days else (table(spark, sf_dir, "events"), SESSIONS_A_TASK)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-known.count() // size))
+    rows = opened.repartitionByRange(tasks, "d", "event_id").selectExpr(
         "*",
         "if(k % 2 = 0, 'remote_app', 'manual') as op_source",
         "if(event_id % 2 = 0, 'remote_app', 'local_device') as start_source",
@@ -189,7 +201,7 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     rows = rows.selectExpr(
         "*",
-        "date_add(d, cast(if(event_id % 3 = 0, k % 9, 0) as int)) as dt",
+        f"{REPORT_DAY} as dt",
         f"concat('{{', concat_ws(',', {', '.join(extra)}), '}}') as extra",
     )
     outer = [
@@ -213,7 +225,7 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "unix_date(dt) * 86400000L + n + 1 as createtime",
         "'EC' as data_source",
     ).unionByName(
-        base(spark, sf_dir).where("event_id % 7 = 0").selectExpr(
+        pages.selectExpr(
             "event_id * 100 + 99 as id", "d as dt", "'demo' as app", "'a1' as appid",
             "sec * 1000 as writetime", "cast(null as string) as url", "cast(null as string) as traceid",
             "uid", "'custom' as eventtype", "'Page Log' as eventname", "'{}' as content",

@@ -5,9 +5,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from checks import testmap
+from checks import registry, testmap
+from checks.store import TestMarts
 from helpers import frame, log, session
 from test_chain import LOGS
+from tidemark.plans import state
 from tidemark.plans.chain import _one_each
 from tidemark.plans.daily import POWER_ON, increments
 from tidemark.plans.events import explode_events, latest_events
@@ -86,3 +88,41 @@ def test_log_rows_of_odd_sessions(spark, tmp_path):
     texts = {r.id: r.content for r in log_rows.collect()}
     assert len(texts) == 12 + 2 + 9 and texts[200] == '{"extraData":{"eventName":"pump_startup_evt","useSessionId":"2","payload":"00000000-000"},"eventSessionId":"s2","deviceId":"phone","os":"iOS","timezoneOffset":"GMT+0"}'
     assert json.loads(json.loads(texts[190])["extraData"]) == {"eventName": "pump_session_end", "evtTimestamp": 1704081600090, "useSessionId": "1", "deviceCode": "D2", "payload": "00000000-001", "evtSource": "local_device", "finalModeType": "massage", "finalSuctionLevel": "13", "modeDuration": [{"durationSec": 600, "modeType": "massage"}], "usedModeCount": 1, "endReason": "timeout"}
+
+
+def _events_of_days(spark, path):
+    """Sessions of nine days, some without a day or a number; a third of them are reported late."""
+    rows = [(n, dt.datetime(2024, 1, 1 + n % 9, 4), n, "view", 30.0 * n, f'{{"k": {n}}}') for n in range(90)]
+    rows += [(90, None, 1, "view", 1.0, '{"k": 1}'), (93, dt.datetime(2024, 1, 4), 1, "view", None, None)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
+
+
+def test_log_of_some_days_is_made_by_as_many_tasks_as_their_sessions_need(spark, tmp_path, monkeypatch):
+    _events_of_days(spark, tmp_path)
+    days = [dt.date(2024, 1, 5), dt.date(2024, 1, 6)]
+    part = testmap.raw_log(spark, str(tmp_path), days)
+    assert found(part) == found(testmap.raw_log(spark, str(tmp_path)).where(F.col("dt").isin(days))) and part.count() > 100
+    monkeypatch.setattr(testmap, "SESSIONS_A_FILE", 1)
+    sessions = part.where("eventname = 'Pump Log'").selectExpr("id div 100").distinct().count()
+    plan = testmap.raw_log(spark, str(tmp_path), days)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"], {sessions}\n" in plan
+
+
+def test_two_runs_read_a_stored_log(spark, tmp_path, monkeypatch):
+    _events_of_days(spark, tmp_path)
+    logs = []
+    monkeypatch.setattr(registry, "run_chain", lambda spark, raw, *rest, **options: logs.append(raw._jdf.queryExecution().optimizedPlan().toString()))
+    monkeypatch.setattr(registry, "read_table", lambda spark, root, name: read_table(spark, root, "raw"))
+    registry._two_runs(TestMarts(spark, str(tmp_path)))
+    assert len(logs) == 3 and not any("Generate" in log or "RepartitionByExpression" in log for log in logs)
+
+
+def test_bits_are_opened_once_for_ids_of_the_same_days(spark):
+    days = ["2024-01-01", "2024-01-02", "2024-01-08"]
+    rows = frame(spark, "sessions", [session(f"{uid}{day}", day, uid) for uid in ("a", "b", "c", None) for day in days])
+    bits = state.active_bits(rows).localCheckpoint()
+    ledger = state.all_first_seen(rows, bits, 4)
+    opened = state.retention_from_bits(bits, ledger, [dt.date(2024, 1, 2), dt.date(2024, 1, 8)])
+    assert "count(1) AS ids" in opened._jdf.queryExecution().optimizedPlan().toString()
+    got = {str(r.base_dt): (r.base_users, float(r.d1_user_ret or 0), float(r.d7_user_ret or 0)) for r in opened.collect()}
+    assert got["2024-01-02"] == (4, 0.75, 0.0)

@@ -79,10 +79,12 @@ def _cohort() -> list[Column]:
     return tags
 
 
-def count_tags(day_sets: DataFrame, tags: list[Column]) -> DataFrame:
+def count_tags(day_sets: DataFrame, tags: list[Column], ids: Column | None = None) -> DataFrame:
+    """How many ids have a day under a tag; a row stands for as many as ``ids`` says, for one if it is not given."""
     none = F.array().cast("array<struct<what:string,day:date>>")
     tagged = F.concat(*[F.coalesce(t, none) for t in tags])
-    return day_sets.select(F.explode(tagged).alias("t")).groupBy("t.what", "t.day").agg(F.count("*").alias("n"))
+    rows = day_sets.select(F.explode(tagged).alias("t"), (F.lit(1) if ids is None else ids).cast("bigint").alias("ids"))
+    return rows.groupBy("t.what", "t.day").agg(F.sum("ids").alias("n"))
 
 
 def assemble(counts: DataFrame, base_days: Column) -> DataFrame:

@@ -194,8 +194,10 @@ def retention_from_bits(bits: DataFrame, ledger: DataFrame, days: list[date]) ->
     periods = {period_of(d) + n for d in days for n in (-1, 0, 1)}
     near = bits.where(F.col("period").isin(sorted(periods)))
     firsts = ledger.where((F.col("kind") == "user") & F.col("is_one") & F.col("day").isin(days))
-    rows = with_neighbours(near, firsts)
-    known = F.col("id").isNotNull()
+    # Ids with the same days in reach are one row with their number: bits are opened into days once for all of them.
+    known = F.col("known")
+    rows = with_neighbours(near, firsts).withColumn("known", F.col("id").isNotNull())
+    rows = rows.groupBy("kind", "known", "period", "cur", "prev", "next", "first").agg(F.count("*").alias("ids"))
     counts = []
     for kind in ("user", "device"):
         tags = [tag(f"base_{kind}s", _days(F.col("cur")))]
@@ -207,5 +209,5 @@ def retention_from_bits(bits: DataFrame, ledger: DataFrame, days: list[date]) ->
             for n in OFFSETS:
                 stayed = F.when(known, F.col("first").bitwiseAND(ahead(F.col("cur"), F.col("next"), n)))
                 tags.append(tag(f"cohort_d{n}", _days(stayed)))
-        counts.append(count_tags(rows.where(F.col("kind") == kind), tags))
+        counts.append(count_tags(rows.where(F.col("kind") == kind), tags, F.col("ids")))
     return assemble(counts[0].unionByName(counts[1]), F.array(*[F.lit(d) for d in days]))
