@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import schemas
+from tidemark.session import bound_shuffles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,7 +184,9 @@ def raw_log(spark: SparkSession, sf_dir: str, days: list[date] | None = None) ->
         opened, pages = opened.where(F.expr(REPORT_DAY).isin(days)), pages.where(F.col("d").isin(days))
     # As many tasks as the sessions of the days need.
     known, size = (opened, SESSIONS_A_FILE) if days else (table(spark, sf_dir, "events"), SESSIONS_A_TASK)
-    tasks = max(spark.sparkContext.defaultParallelism, -(-known.count() // size))
+    found = known.count()
+    bound_shuffles(spark, found)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-found // size))
     rows = opened.repartitionByRange(tasks, "d", "event_id").selectExpr(
         "*",
         "if(k % 2 = 0, 'remote_app', 'manual') as op_source",

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from checks import registry, testmap
 from checks.store import TestMarts
 from helpers import frame, log, session
 from test_chain import LOGS
+from tidemark import session as settings
 from tidemark.plans import state
 from tidemark.plans.chain import _one_each
 from tidemark.plans.daily import POWER_ON, increments
@@ -126,3 +128,23 @@ def test_bits_are_opened_once_for_ids_of_the_same_days(spark):
     assert "count(1) AS ids" in opened._jdf.queryExecution().optimizedPlan().toString()
     got = {str(r.base_dt): (r.base_users, float(r.d1_user_ret or 0), float(r.d7_user_ret or 0)) for r in opened.collect()}
     assert got["2024-01-02"] == (4, 0.75, 0.0)
+
+
+def test_tasks_of_the_log_and_its_shuffles_follow_the_sessions(spark, tmp_path, monkeypatch):
+    """No task of the chain grows with the log: neither those that make it nor those that group its events, however few partitions are set."""
+    _events_of_days(spark, tmp_path)
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    before = found(registry.QUERIES["m_chain_from_raw_log"](spark, str(tmp_path)))
+    monkeypatch.setattr(testmap, "SESSIONS_A_TASK", 2)
+    monkeypatch.setattr(settings, "ROWS_A_PARTITION", 4)
+    try:
+        chain = registry.QUERIES["m_chain_from_raw_log"](spark, str(tmp_path))
+        plan = chain._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"rangepartitioning\(d#.*, 46\)", plan)
+        assert re.findall(r"hashpartitioning\(useSessionId#.*?, (\d+)\)", plan) == ["23"] * 4
+        assert found(chain) == before
+        spark.conf.set("spark.sql.shuffle.partitions", "100")
+        testmap.raw_log(spark, str(tmp_path))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "100"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)

@@ -21,6 +21,19 @@ def bound_splits(spark: SparkSession, size: str = "16m") -> None:
     spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
+# Rows of a shuffle partition before Spark merges small ones: a group-by of rows with structs sorts its partition in memory.
+ROWS_A_PARTITION = 100_000
+
+
+def bound_shuffles(spark: SparkSession, rows: int) -> None:
+    """Shuffles of so many rows get the partitions these need, if the session has fewer; a set number of them would grow with the rows."""
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"]
+    needed = -(-rows // ROWS_A_PARTITION)
+    for name in names:
+        if int(spark.conf.get(name, None) or needed) < needed:
+            spark.conf.set(name, needed)
+
+
 def build_session(app_name: str = "tidemark", master: str | None = None, **overrides) -> SparkSession:
     """A session with the settings above; ``overrides`` win (dots written as ``__``)."""
     builder = SparkSession.builder.appName(app_name)
