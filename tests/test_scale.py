@@ -38,6 +38,38 @@ def test_upsert_by_parts_and_of_frequent_keys(spark, tmp_path, monkeypatch):
     assert results[0] == results[1] == [(0, "g"), (1, "b"), (2, "e"), (3, "i")]
 
 
+def test_merged_rows_are_taken_from_their_files(spark, tmp_path, monkeypatch):
+    """Rows that are dealt by day are merged without moving any of their columns but the key, and put in place without being read again."""
+    monkeypatch.setattr(writers, "SPAN", 3)  # several bitmaps a file
+    plans, write = [], writers.write_days
+    monkeypatch.setattr(writers, "write_days", lambda df, *args, **options: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *args, **options))
+    root, days = str(tmp_path), [dt.date(2024, 1, 5), dt.date(2024, 1, 6), None]
+    event = lambda n, written, name: {"id": None if n == 11 else n, "dt": days[n % 2], "writetime": written, "eventName": name, "evt_dt": days[n % 3]}
+    first = [event(n, 5, "a") for n in range(0, 30, 3)]
+    writers.upsert(frame(spark, "events", first), root, "events", [F.col("writetime")], dealt=True)
+    assert not plans  # nothing to merge: the files written first are the table's
+    again = [event(n, 5 if n % 2 else 4, "b") for n in range(30)] + [event(7, 6, "c"), event(11, 6, "c"), event(11, 2, "d")]
+    writers.upsert(frame(spark, "events", again), root, "events", [F.col("writetime")], dealt=True)
+    writers.upsert(frame(spark, "events", []), root, "events", [F.col("writetime")], dealt=True)
+    got = {r.id: (r.eventName, r.dt, r.evt_dt) for r in read_table(spark, root, "events").collect()}
+    name = lambda n: "c" if n in (7, 11) else "a" if n % 6 == 0 else "b"
+    assert got == {None if n == 11 else n: (name(n), days[n % 2], days[n % 3]) for n in range(30)}
+    assert read_table(spark, root, "events").count() == 30
+    assert not any(re.search(r"(?<!Broadcast)Exchange", plan) for plan in plans)
+
+
+def test_staged_files_become_the_tables(spark, tmp_path):
+    root, day = str(tmp_path), lambda n: dt.date(2024, 1, n)
+    rows = frame(spark, "sessions", [session(n, day(1 + n % 3)) for n in range(9)])
+    writers.replace_days(rows, root, "sessions", [day(1), day(2), day(3)])
+    staged = writers.stage(rows.where("evt_dt = '2024-01-01'"), root, "sessions")
+    files = {path.rsplit("/", 1)[1] for path in staged.inputFiles()}
+    writers.publish(spark, root, "sessions", [day(1), day(2)])
+    table = read_table(spark, root, "sessions")
+    assert files < {path.rsplit("/", 1)[1] for path in table.inputFiles()}
+    assert sorted(r.evt_dt for r in table.collect()) == [day(1)] * 3 + [day(3)] * 3
+
+
 def test_only_repeated_keys_of_a_log_are_compared(spark, tmp_path):
     again = [{**LOGS[0], "writetime": (LOGS[0].get("writetime") or 0) + 5, "createtime": 1}, {**LOGS[0], "writetime": (LOGS[0].get("writetime") or 0) + 9, "content": "{}"}]
     for number, rows in enumerate(([*LOGS], [*LOGS, *again])):

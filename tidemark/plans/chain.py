@@ -99,7 +99,7 @@ def chain_steps(
     yield "record"
 
     # 2. Events, hours, the index of days by session, sessions and their modes.
-    publish(fresh, root, "events", reported)
+    publish(spark, root, "events", reported, busi_date)
     yield "events"
     events, days = read_table(spark, root, "events"), sorted(days, key=str)
     yield replace(fold_hours(on_days(events, days)), "session_hours", days)
@@ -129,7 +129,8 @@ def chain_steps(
     for run in sorted(open_runs):
         for name in ("run_ids", "run_days"):
             clear_run(spark, root, name, run)
-    clear_stage(spark, root, "events", busi_date)
+    for name in ("events", "first_seen"):
+        clear_stage(spark, root, name, busi_date)
     yield "done"
 
 
@@ -159,7 +160,7 @@ def _renew(spark: SparkSession, root: str, run: str, starts: list[date], notes:
     after = stage(state.updated_first_seen(before, bits, sessions, starts, buckets), root, "first_seen", run)
     notes["moved"] |= set(state.moved_days(before, after))
     yield replace(_notes(spark, run, notes), "run_days", [run])
-    publish(after, root, "first_seen", list(range(buckets)))
+    publish(spark, root, "first_seen", list(range(buckets)), run)
     yield "first_seen"
     ledger = read_table(spark, root, "first_seen")
 

@@ -19,14 +19,20 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return df.select(*schemas.column_names(ddl))  # partition columns back in their place
 
 
-def read_or_empty(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One mart, without rows as long as nobody has written it."""
+def read_or_none(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """One mart, if anybody has written it."""
     try:
         return read_table(spark, root, name)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schemas.TABLES[name][0])
+        return None
+
+
+def read_or_empty(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One mart, without rows as long as nobody has written it."""
+    found = read_or_none(spark, root, name)
+    return spark.createDataFrame([], schemas.TABLES[name][0]) if found is None else found
 
 
 def read_jdbc(

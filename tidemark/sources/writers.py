@@ -7,11 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark import schemas
-from tidemark.session import bound_splits
-from tidemark.sources.tables import read_or_empty, table_path
-
-# Rows of a task that merges wide rows; rows of a key above which it is merged on its own.
-ROWS_A_TASK = 100_000
+from tidemark.session import bound_shuffles, bound_splits
+from tidemark.sources.tables import read_or_none, table_path
+
+# Rows of keys and places, of which a shuffle partition takes so many times as many as of wide ones.
+NARROW = 5
+# Rows whose places are one bitmap: as many as bitmap_construct_agg has bits.
+SPAN = 32_768
+# Rows of a key above which it was once merged on its own; now every key is cut to one row per map task.
 MANY_ROWS = 10_000
 
 
@@ -75,50 +78,73 @@ def replace_days(df: DataFrame, root: str, name: str, days: list, run: str = "",
 
     The rows are written to a staging folder first, one per ``run``, as the table may be among the sources of ``df``.
     """
-    staged = stage(df, root, name, run, dealt)
-    path = publish(staged, root, name, days)
+    stage(df, root, name, run, dealt)
+    path = publish(df.sparkSession, root, name, days, run)
     clear_stage(df.sparkSession, root, name, run)
     return path
 
 
 def clear_stage(spark: SparkSession, root: str, name: str, run: str = "") -> None:
-    """Empty the staging folder of a table whose rows are in place."""
-    _empty(spark, table_path(_staging(root, run), name), schemas.TABLES[name][0], [])
+    """Remove the staging folder of a table whose rows are in place."""
+    _remove(spark, table_path(_staging(root, run), name))
 
 
-def upsert(df: DataFrame, root: str, name: str, order: list[Column], run: str = "") -> str:
+def upsert(df: DataFrame, root: str, name: str, order: list[Column], run: str = "", dealt: bool = False) -> str:
     """Merge rows into a stored table: of the stored and the new rows of a key, the last one in ``order`` stays.
 
     A late copy of an old row thus never replaces a newer stored one; of rows equal in ``order`` the new one wins. Nothing is
     deleted but replaced rows. Only the partitions that ``df`` touches are read and written, so the first partition column
-    must belong to the key. One shuffle, by that column and a part of the key's hash, brings the rows of a key together and serves the
-    write too; keys that are met very often, found on the key columns alone, go by a shuffle of their own, in which each is cut to one
-    row per map task first. The merge may be repeated after a stop: it gives the same rows.
+    must belong to the key. Which rows stay is decided on keys, order and the place of a row in its file; a key that is met very often is cut to
+    one row per map task first. The places come back as a bit per row, by which wide rows are taken from their files. Where the
+    partitions of ``df`` hold few days each (``dealt``), wide rows are not moved at all; else one shuffle gathers those that stay by day.
+    The merge may be repeated after a stop: it gives the same rows.
     """
     ddl, columns, keys = schemas.TABLES[name]
     if not columns or columns[0] not in keys:
         raise ValueError(f"rows of {name} cannot be merged: a key may lie in any partition")
     names = schemas.column_names(ddl)
-    fresh = df.select(*names)
-    spark, day = df.sparkSession, columns[0]
+    spark, day, top = df.sparkSession, columns[0], _staging(root, run)
     bound_splits(spark)
-    touched = [r[0] for r in fresh.select(day).distinct().collect()]  # partition values only
-    stored = on_days(read_or_empty(spark, root, name), touched, day).withColumn("_new", F.lit(False))
-    rows = stored.unionByName(fresh.withColumn("_new", F.lit(True)))
-    many = frequent_keys(rows, keys, MANY_ROWS, f"{_staging(root, run)}/{name}_keys")
-    order = [*order, F.col("_new"), F.xxhash64(*names)]
-    few, none_many = rows, many.isEmpty()
-    if not none_many:
-        few = with_keys(rows, many, "left_anti")
-
-    sizes = [r["count"] for r in rows.groupBy(day).count().collect()]  # one per partition value
-    parts = max(-(-max(sizes, default=0) // ROWS_A_TASK), 1)
-    tasks = max(-(-sum(sizes) // ROWS_A_TASK), spark.sparkContext.defaultParallelism)
-    few = few.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts))).repartition(tasks, day, "_part")
-    latest = latest_by_key(few, [*keys, "_part"], order).select(*names)
-    if not none_many:
-        latest = latest.unionByName(latest_by_key(with_keys(rows, many), keys, order).select(*names).hint("rebalance", *columns))
-    return replace_days(latest, root, name, touched, run, dealt=True)
+    writer = df.select(*names).write.mode("overwrite").option("compression", "zstd")
+    if dealt:
+        writer = writer.partitionBy(*columns)
+    writer.parquet(f"{top}/{name}_new")
+    fresh = spark.read.schema(ddl).parquet(f"{top}/{name}_new")
+    touched = [r[0] for r in fresh.select(day).distinct().collect()]
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    rows, stored = fresh.select(*names, F.lit(True).alias("_new"), *place), read_or_none(spark, root, name)
+    if stored is not None:
+        stored = on_days(stored, touched, day).select(*names, F.lit(False).alias("_new"), *place)
+        rows, stored = rows.unionByName(stored), None if stored.isEmpty() else stored
+
+    found = rows.count()
+    bound_shuffles(spark, -(-found // NARROW))
+    order = {f"_order{n}": c for n, c in enumerate([*order, F.col("_new"), F.xxhash64(*names)])}
+    narrow = rows.select(*keys, *[c.alias(n) for n, c in order.items()], "_file", "_row")
+    stay = _places(latest_by_key(narrow, keys, [F.col(n) for n in order]), f"{top}/{name}_stay")
+    if dealt and stored is None and stay.agg(F.sum("rows")).first()[0] in (found, None):  # nothing to merge: the files are the table's
+        path = publish(spark, root, name, touched, run, f"{name}_new")
+    else:
+        path = replace_days(_at_places(rows, stay).select(*names), root, name, touched, run, dealt)
+    for folder in (f"{name}_new", f"{name}_stay"):
+        _remove(spark, f"{top}/{folder}")
+    return path
+
+
+def _places(rows: DataFrame, path: str) -> DataFrame:
+    """The places (_file, _row) of rows as a bitmap for each 32,768 rows of a file, written and read back, so that a join knows how small they are."""
+    places = rows.groupBy("_file", F.expr(f"_row div {SPAN}").alias("_span")).agg(
+        F.bitmap_construct_agg(F.col("_row") % SPAN).alias("bits"), F.count("*").alias("rows")
+    )
+    places.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(places.schema).parquet(path)
+
+
+def _at_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows that stand at the given places."""
+    rows = rows.withColumn("_span", F.expr(f"_row div {SPAN}")).join(places.drop("rows"), ["_file", "_span"])
+    byte = f"cast(conv(hex(substring(bits, cast(_row % {SPAN} div 8 + 1 as int), 1)), 16, 10) as int)"
+    return rows.where(f"getbit({byte}, cast(_row % 8 as int)) = 1")
 
 
 def _staging(root: str, run: str) -> str:
@@ -131,27 +157,60 @@ def stage(df: DataFrame, root: str, name: str, run: str = "", dealt: bool = Fals
     return df.sparkSession.read.schema(schemas.TABLES[name][0]).parquet(path)
 
 
-def publish(staged: DataFrame, root: str, name: str, days: list) -> str:
-    """Put staged rows in place: their partitions are overwritten, others of the given days emptied. May be repeated."""
-    ddl, columns, _ = schemas.TABLES[name]
-    found = {tuple(r) for r in staged.select(*columns).distinct().collect()}  # partition values only
-    path = write_days(staged, root, name, dealt=True)  # in files by day, as they were staged
-    table = staged.sparkSession.read.schema(ddl).parquet(path)
-    stored = {tuple(r) for r in on_days(table, days, columns[0]).select(*columns).distinct().collect()}
-    for gone in sorted(stored - found, key=str):
-        folder = "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for c, v in zip(columns, gone))
-        _empty(staged.sparkSession, f"{path}/{folder}", ddl, columns)
+def publish(spark: SparkSession, root: str, name: str, days: list, run: str = "", folder: str = "") -> str:
+    """Put staged rows in place: the folders of their partitions become those of the table, other partitions of the given days go.
+
+    Nothing is read or written again. It may be repeated after a stop, when the rows have been staged once more.
+    """
+    columns = schemas.TABLES[name][1]
+    path, staged = table_path(root, name), f"{_staging(root, run)}/{folder or name}"
+    fs, table = _at(spark, path)
+    fs.mkdirs(table)
+    found = _partitions(spark, staged, len(columns))
+    wanted = {_folder(spark, columns[0], day) for day in days}
+    for gone in sorted(_partitions(spark, path, len(columns), wanted) - found):
+        _remove(spark, f"{path}/{gone}")
+    for part in sorted(found):
+        _remove(spark, f"{path}/{part}")
+        (_, old), (_, new) = _at(spark, f"{staged}/{part}"), _at(spark, f"{path}/{part}")
+        fs.mkdirs(new.getParent())
+        if not fs.rename(old, new):
+            raise OSError(f"{staged}/{part} cannot be put in place")
     return path
 
 
 def clear_run(spark: SparkSession, root: str, name: str, run: str) -> None:
     """Take a finished run out of a table of runs."""
-    ddl, (column,), _ = schemas.TABLES[name]
-    _empty(spark, f"{table_path(root, name)}/{column}={run}", ddl, [column])
+    _, (column,), _ = schemas.TABLES[name]
+    _remove(spark, f"{table_path(root, name)}/{_folder(spark, column, run)}")
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as it knows it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
+def _folder(spark: SparkSession, column: str, value) -> str:
+    """The folder of a partition, as Spark names it."""
+    if value is None or value == "":
+        return f"{column}=__HIVE_DEFAULT_PARTITION__"
+    return f"{column}={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value))}"
 
 
-def _empty(spark: SparkSession, path: str, ddl: str, drop: list[str]) -> None:
-    spark.createDataFrame([], ddl).drop(*drop).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+def _partitions(spark: SparkSession, path: str, depth: int, first: set[str] | None = None) -> set[str]:
+    """The partition folders so many levels below a path; only those in the folders ``first`` of the first level, if given."""
+    fs, where = _at(spark, path)
+    if not fs.exists(where):
+        return set()
+    names = {s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()}
+    names = {n for n in names if "=" in n and (first is None or n in first)}
+    return names if depth == 1 else {f"{n}/{below}" for n in names for below in _partitions(spark, f"{path}/{n}", depth - 1)}
 
 
 def on_days(df: DataFrame, days: list, column: str = "evt_dt") -> DataFrame:
