@@ -177,7 +177,7 @@ def raw_log(spark: SparkSession, sf_dir: str, days: list[date] | None = None) ->
         else:
             rest.append(f"when n >= {first} then null")
     # A session becomes a dozen JSON rows: spread them before, a small file may be a single partition. Dealt by day, the rows made
-    # in a task belong to few days and are written where they are, without a shuffle of the wide rows.
+    # in a task belong to few days, of events and of reports, and are written where they are, in few files, without a shuffle of the wide rows.
     # A stated number of partitions is one that Spark does not merge by their size before the JSON is made.
     opened, pages = base(spark, sf_dir), base(spark, sf_dir).where("event_id % 7 = 0")
     if days:
@@ -187,7 +187,7 @@ def raw_log(spark: SparkSession, sf_dir: str, days: list[date] | None = None) ->
     found = known.count()
     bound_shuffles(spark, found)
     tasks = max(spark.sparkContext.defaultParallelism, -(-found // size))
-    rows = opened.repartitionByRange(tasks, "d", "event_id").selectExpr(
+    rows = opened.repartitionByRange(tasks, "d", F.expr(REPORT_DAY), "event_id").selectExpr(
         "*",
         "if(k % 2 = 0, 'remote_app', 'manual') as op_source",
         "if(event_id % 2 = 0, 'remote_app', 'local_device') as start_source",

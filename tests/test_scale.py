@@ -12,9 +12,10 @@ from helpers import frame, log, session
 from test_chain import LOGS
 from tidemark import session as settings
 from tidemark.plans import state
-from tidemark.plans.chain import _one_each
+from tidemark.plans.chain import _counted, _one_each, run_chain
 from tidemark.plans.daily import POWER_ON, increments
 from tidemark.plans.events import explode_events, latest_events
+from tidemark.plans.sessions import days_and_starts, id_bucket
 from tidemark.sources import writers
 from tidemark.sources.tables import read_table
 
@@ -70,6 +71,40 @@ def test_staged_files_become_the_tables(spark, tmp_path):
     assert sorted(r.evt_dt for r in table.collect()) == [day(1)] * 3 + [day(3)] * 3
 
 
+def test_a_night_writes_its_rows_once(spark, tmp_path, monkeypatch):
+    """Rows are written where they are staged and put in place from there; retention has no staging."""
+    written, write = [], writers.write_days
+    monkeypatch.setattr(writers, "write_days", lambda df, root, name, *args, **options: written.append((root, name)) or write(df, root, name, *args, **options))
+    root = str(tmp_path)
+    run_chain(spark, frame(spark, "raw", LOGS), root, "2024-01-12", first_report="2024-01-01")
+    assert {r for r, _ in written} == {f"{root}/_staging/2024-01-12"}
+    assert [name for _, name in written].count("events") == 1 and read_table(spark, root, "events").count() == len(LOGS)
+
+
+def test_days_and_ids_of_a_night_come_from_one_look(spark):
+    """Distinct pairs of id and day of the events that count; power-ons and events of no session have a day only or do not count."""
+    row = lambda name, sid, day, kind=None: {"eventName": name, "useSessionId": sid, "evt_dt": day and dt.date(2024, 1, day), "evtType": kind}
+    events = [row("pump_session_start", "a", 1), row("pump_session_end", "a", 1), row("pump_session_end", "a", 2), row("pump_session_start", "", 3)]
+    events += [row(POWER_ON, "b", 4), row(POWER_ON, None, 4), row("pump_user_evt", "c", 5, "pause"), row("pump_user_evt", "d", 6), row("pump_session_end", "e", None)]
+    got = sorted(((r.useSessionId or "", r.evt_dt and r.evt_dt.day or 0) for r in _counted(frame(spark, "events", events)).collect()))
+    assert got == [("", 4), ("a", 1), ("a", 2), ("c", 5), ("e", 0)]
+
+
+def test_days_and_starts_of_ids(spark):
+    index = [{"evt_dt": dt.date(2024, 1, n), "useSessionId": sid, "started": started} for n, sid, started in ((1, "a", True), (2, "a", False), (2, "b", True), (3, "c", False))]
+    rows = frame(spark, "session_days", index).withColumn("bucket", id_bucket(4))
+    ids = rows.where("useSessionId != 'b'").select("useSessionId")
+    held, started = days_and_starts(rows, ids, 4)
+    assert (sorted(d.day for d in held), [d.day for d in started]) == ([1, 2, 3], [1])
+
+
+def test_log_is_dealt_by_event_day_and_report_day(spark, tmp_path):
+    """A task of the log makes rows of few days of either kind, so that it writes few files."""
+    _events_of_days(spark, tmp_path)
+    plan = testmap.raw_log(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"rangepartitioning\(d#\d+ ASC NULLS FIRST, \S*#\d+ ASC NULLS FIRST, event_id#|rangepartitioning\(d#\d+ ASC NULLS FIRST, date_add\(d#", plan)
+
+
 def test_only_repeated_keys_of_a_log_are_compared(spark, tmp_path):
     again = [{**LOGS[0], "writetime": (LOGS[0].get("writetime") or 0) + 5, "createtime": 1}, {**LOGS[0], "writetime": (LOGS[0].get("writetime") or 0) + 9, "content": "{}"}]
     for number, rows in enumerate(([*LOGS], [*LOGS, *again])):

@@ -13,7 +13,7 @@ from tidemark.plans.daily import POWER_ON, activity, daily_rows, power_on_counts
 from tidemark.plans.events import EVENT_NAME, explode_events, latest_events, latest_rows
 from tidemark.plans.retention import affected_days
 from tidemark.plans.rollups import rollups_of_days, session_rollups
-from tidemark.plans.sessions import build_session_modes, days_of, fold_hours, rebuild_from_index, session_days, session_events
+from tidemark.plans.sessions import build_session_modes, days_and_starts, fold_hours, rebuild_from_index, session_days, session_events
 from tidemark.session import bound_splits
 from tidemark.sources.tables import read_or_empty, read_table
 from tidemark.sources.writers import clear_run, clear_stage, frequent_keys, on_days, publish, replace_days, stage, with_keys, write_days
@@ -85,14 +85,16 @@ def chain_steps(
     named = on_days(read_or_empty(spark, root, "events"), reported, "dt").unionByName(fresh)
     known_days, known_ids = read_or_empty(spark, root, "run_days"), read_or_empty(spark, root, "run_ids")
     open_runs = {r[0] for r in known_days.union(known_ids.selectExpr("run", "''", "null")).select("run").distinct().collect()} | {busi_date}
-    days = _days(_counted(named)) | _noted(known_days, "event")
-    ids = session_events(named).select("useSessionId").union(known_ids.select("useSessionId")).distinct()
+    named = _written(_counted(named), f"{root.rstrip('/')}/_staging/{busi_date}/named")
+    days = _days(named) | _noted(known_days, "event")
+    ids = named.select("useSessionId").where("useSessionId is not null").union(known_ids.select("useSessionId")).distinct()
     replace(ids.select(F.lit(busi_date).alias("run"), "useSessionId"), "run_ids", [busi_date])
     ids = read_table(spark, root, "run_ids").where(F.col("run") == busi_date).select("useSessionId")
+    held, started = days_and_starts(read_or_empty(spark, root, "session_days"), ids, buckets)
     notes = {
         "event": days,
-        "start": set(days_of(read_or_empty(spark, root, "session_days"), ids, buckets, started=True)) | _noted(known_days, "start"),
-        "held": set(days_of(read_or_empty(spark, root, "session_days"), ids, buckets)) | _noted(known_days, "held"),
+        "start": set(started) | _noted(known_days, "start"),
+        "held": set(held) | _noted(known_days, "held"),
         "moved": _noted(known_days, "moved"),
     }
     replace(_notes(spark, busi_date, notes), "run_days", [busi_date])
@@ -106,12 +108,13 @@ def chain_steps(
     hours = read_table(spark, root, "session_hours")
     yield replace(session_days(on_days(hours, days), buckets), "session_days", days)
     index = read_table(spark, root, "session_days")
-    starts = sorted({d for d in days if d is not None} | notes["start"] | set(days_of(index, ids, buckets, started=True)))
+    held, started = days_and_starts(index, ids, buckets)
+    starts = sorted({d for d in days if d is not None} | notes["start"] | set(started))
     if starts:
         yield replace(rebuild_from_index(hours, index, starts, buckets), "sessions", starts)
         yield replace(build_session_modes(on_days(events, days)), "session_modes", [d for d in days if d is not None])
         # A session is told apart from its earlier days, so all days of a changed session count as changed.
-        held = {d for d in {*days, *starts, *notes["held"], *days_of(index, ids, buckets)} if d is not None}
+        held = {d for d in {*days, *starts, *notes["held"], *held} if d is not None}
         if read_or_empty(spark, root, "rollups").isEmpty():  # a warehouse from before there were any
             held = _days(index) - {None}
         sessions, modes = read_table(spark, root, "sessions"), read_table(spark, root, "session_modes")
@@ -193,9 +196,15 @@ def rebuild_state(spark: SparkSession, root: str, buckets: int = BUCKETS) -> Non
 
 
 def _counted(events: DataFrame) -> DataFrame:
-    """Events that a session, a mode or a daily total counts."""
+    """(useSessionId, evt_dt) of events that a session, a mode or a daily total counts; power-ons, which are no session's, without an id."""
     rows = events.select("eventName", "evtType", "useSessionId", "evt_dt")
-    return session_events(rows).unionByName(rows.where(F.col("eventName") == POWER_ON))
+    power_ons = rows.where(F.col("eventName") == POWER_ON).withColumn("useSessionId", F.lit(None).cast("string"))
+    return session_events(rows).unionByName(power_ons).select("useSessionId", "evt_dt").distinct()
+
+
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _days(rows: DataFrame) -> set:

@@ -182,12 +182,16 @@ def id_bucket(buckets: int, *columns: str) -> Column:
 
 def days_of(index: DataFrame, ids: DataFrame, buckets: int, started: bool = False) -> list:
     """The days of the given session ids, or those on which they start: calendar days. Only the ids' buckets are read."""
+    return days_and_starts(index, ids, buckets)[started]
+
+
+def days_and_starts(index: DataFrame, ids: DataFrame, buckets: int) -> tuple[list, list]:
+    """The days of the given session ids and those on which they start, from one look at the index."""
     ids = ids.select("useSessionId", id_bucket(buckets).alias("bucket")).distinct()
     wanted = [r[0] for r in ids.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-    rows = index.where(F.col("bucket").isin(wanted))
-    if started:
-        rows = rows.where("started")
-    return [r[0] for r in rows.join(ids, ["bucket", "useSessionId"], "left_semi").select("evt_dt").distinct().collect()]
+    rows = index.where(F.col("bucket").isin(wanted)).join(ids, ["bucket", "useSessionId"], "left_semi")
+    found = rows.groupBy("evt_dt").agg(F.bool_or("started").alias("started")).collect()
+    return [r.evt_dt for r in found], [r.evt_dt for r in found if r.started]
 
 
 def rebuild_from_index(hours: DataFrame, index: DataFrame, starts: list, buckets: int) -> DataFrame:
