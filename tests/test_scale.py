@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from checks import registry, testmap
@@ -39,9 +40,21 @@ def test_upsert_by_parts_and_of_frequent_keys(spark, tmp_path, monkeypatch):
     assert results[0] == results[1] == [(0, "g"), (1, "b"), (2, "e"), (3, "i")]
 
 
-def test_merged_rows_are_taken_from_their_files(spark, tmp_path, monkeypatch):
-    """Rows that are dealt by day are merged without moving any of their columns but the key, and put in place without being read again."""
+@pytest.mark.parametrize("sent", [100, 0])
+def test_merged_rows_are_taken_from_their_files(spark, tmp_path, monkeypatch, sent):
+    """Rows that are dealt by day are merged without moving any of their columns but the key, however little Spark would broadcast; with very many
+    bitmaps it may move them, for the same rows."""
     monkeypatch.setattr(writers, "SPAN", 3)  # several bitmaps a file
+    monkeypatch.setattr(writers, "SENT_SPANS", sent)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _merged_rows(spark, tmp_path, monkeypatch, bool(sent))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def _merged_rows(spark, tmp_path, monkeypatch, sent):
     plans, write = [], writers.write_days
     monkeypatch.setattr(writers, "write_days", lambda df, *args, **options: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *args, **options))
     root, days = str(tmp_path), [dt.date(2024, 1, 5), dt.date(2024, 1, 6), None]
@@ -56,7 +69,7 @@ def test_merged_rows_are_taken_from_their_files(spark, tmp_path, monkeypatch):
     name = lambda n: "c" if n in (7, 11) else "a" if n % 6 == 0 else "b"
     assert got == {None if n == 11 else n: (name(n), days[n % 2], days[n % 3]) for n in range(30)}
     assert read_table(spark, root, "events").count() == 30
-    assert not any(re.search(r"(?<!Broadcast)Exchange", plan) for plan in plans)
+    assert plans and sent != any(re.search(r"(?<!Broadcast)Exchange", plan) for plan in plans)
 
 
 def test_staged_files_become_the_tables(spark, tmp_path):

@@ -14,6 +14,8 @@ from tidemark.sources.tables import read_or_none, table_path
 NARROW = 5
 # Rows whose places are one bitmap: as many as bitmap_construct_agg has bits.
 SPAN = 32_768
+# Bitmaps, 4 KB each, up to which a merge sends them to all tasks whatever size Spark would send: 64 MB.
+SENT_SPANS = 16_384
 # Rows of a key above which it was once merged on its own; now every key is cut to one row per map task.
 MANY_ROWS = 10_000
 
@@ -122,9 +124,11 @@ def upsert(df: DataFrame, root: str, name: str, order: list[Column], run: str =
     order = {f"_order{n}": c for n, c in enumerate([*order, F.col("_new"), F.xxhash64(*names)])}
     narrow = rows.select(*keys, *[c.alias(n) for n, c in order.items()], "_file", "_row")
     stay = _places(latest_by_key(narrow, keys, [F.col(n) for n in order]), f"{top}/{name}_stay")
-    if dealt and stored is None and stay.agg(F.sum("rows")).first()[0] in (found, None):  # nothing to merge: the files are the table's
+    spans, staying = stay.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    if dealt and stored is None and staying == found:  # nothing to merge: the files are the table's
         path = publish(spark, root, name, touched, run, f"{name}_new")
     else:
+        stay = F.broadcast(stay) if spans <= SENT_SPANS else stay
         path = replace_days(_at_places(rows, stay).select(*names), root, name, touched, run, dealt)
     for folder in (f"{name}_new", f"{name}_stay"):
         _remove(spark, f"{top}/{folder}")
@@ -142,7 +146,7 @@ def _places(rows: DataFrame, path: str) -> DataFrame:
 
 def _at_places(rows: DataFrame, places: DataFrame) -> DataFrame:
     """The rows that stand at the given places."""
-    rows = rows.withColumn("_span", F.expr(f"_row div {SPAN}")).join(places.drop("rows"), ["_file", "_span"])
+    rows = rows.withColumn("_span", F.expr(f"_row div {SPAN}")).join(places, ["_file", "_span"]).drop("rows")
     byte = f"cast(conv(hex(substring(bits, cast(_row % {SPAN} div 8 + 1 as int), 1)), 16, 10) as int)"
     return rows.where(f"getbit({byte}, cast(_row % 8 as int)) = 1")
 
